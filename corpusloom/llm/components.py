@@ -19,30 +19,25 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     both = edges.where(a != b).select(a.alias("x"), b.alias("y")).union(edges.where(a != b).select(b.alias("x"), a.alias("y")))
     current = work.save(both.distinct())
-    labels = None
+    labels, rounds = None, 0
     while not current.isEmpty():
-        parent = current.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("up"))
-        parent = work.save(parent)
-        for _ in range(2):  # two jumps towards the root
-            above = parent.select(F.col("x").alias("up"), F.col("up").alias("top"))
-            jumped = work.save(parent.join(above, "up").select("x", F.col("top").alias("up")))
-            work.drop(parent)
-            parent = jumped
+        hung = current.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("up"))
+        above = hung.select(F.col("x").alias("up"), F.col("up").alias("top"))
+        parent = work.save(hung.join(above, "up").select("x", F.col("top").alias("up")))  # one jump towards the root
         if labels is None:
             labels = parent.select(F.col("x").alias("node"), F.col("up").alias("component"))
-            labels = work.save(labels)
         else:
-            moved = labels.join(parent, labels.component == parent.x, "left").select("node", F.coalesce("up", "component").alias("component"))
-            moved = work.save(moved)
-            work.drop(labels)
-            labels = moved
+            labels = labels.join(parent, labels.component == parent.x, "left").select("node", F.coalesce("up", "component").alias("component"))
+        rounds += 1
+        if rounds % 4 == 0:
+            labels = work.save(labels)
         left = parent.select("x", F.col("up").alias("x2"))
         right = parent.select(F.col("x").alias("y"), F.col("up").alias("y2"))
         contracted = current.join(left, "x").join(right, "y").where("x2 <> y2").select(F.col("x2").alias("x"), F.col("y2").alias("y")).distinct()
         contracted = work.save(contracted)
-        work.drop(current, parent)
+        work.drop(current)
         current = contracted
     work.drop(current)
     if labels is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
-    return labels
+    return work.save(labels)

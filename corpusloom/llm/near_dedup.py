@@ -152,7 +152,10 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     left = half.join(met, "key").groupBy("id").agg(*(F.collect_set(F.when(side, F.col("key"))).alias(n) for n, side in (("first", F.col("place") < halves), ("second", F.col("place") >= halves))))
     tables = left.select("id", F.explode("first").alias("p"), "second").select("id", "p", F.explode("second").alias("q")).select(F.xxhash64("p", "q").alias("key"), "id")
     tables = work.save(tables)
-    met = tables.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    # many buckets hold the same classes; one of each is enough
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    met = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
+    met = met.groupBy("n", "mark0", "mark1").agg(F.min("key").alias("key"))
     buckets = work.save(tables.join(met.select("key"), "key"))
     work.drop(tables)
 
@@ -178,7 +181,7 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
             break
         n_docs = n_docs or sets.count()
         still = work.save(marked.join(apart.select("key"), "key"))
-        if rest <= 4 * n_docs or turn >= 5:
+        if rest <= 4 * n_docs or turn >= 3:
             one, two = still.alias("one"), still.alias("two")
             pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.component") != F.col("two.component")))
             found, tested, links = _compare(pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")), tested, links, sets, percent, work)
