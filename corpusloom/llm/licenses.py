@@ -132,11 +132,11 @@ class LicenceModel:
 
     def _row(self, ids: np.ndarray) -> np.ndarray:
         row = np.zeros(self.size + len(self.pairs) + 2, np.float32)
-        np.add.at(row, ids[ids > 0], 1)
+        row[ids[ids > 0]] = 1  # whether it occurs, not how often
         both = ids[:-1] * self.size + ids[1:]
         at = np.searchsorted(self.pairs, both)
         hit = (at < len(self.pairs)) & (self.pairs[np.minimum(at, len(self.pairs) - 1)] == both)
-        np.add.at(row, self.size + at[hit], 1)
+        row[self.size + at[hit]] = 1
         row[-2], row[-1] = np.log1p((ids == 0).sum()), 1
         return row
 
@@ -150,9 +150,10 @@ class LicenceModel:
         both = ids[first] * self.size + ids[first + 1]
         at = np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)
         hit = self.pairs[at] == both
+        once = np.unique(np.concatenate([segment[known] * len(self.weights) + ids[known], segment[first[hit]] * len(self.weights) + self.size + at[hit]]))
+        where, what = np.divmod(once, len(self.weights))
         for c in range(len(CLASSES)):
-            z[:, c] += np.bincount(segment[known], self.weights[ids[known], c], n)
-            z[:, c] += np.bincount(segment[first[hit]], self.weights[self.size + at[hit], c], n)
+            z[:, c] += np.bincount(where, self.weights[what, c], n)
         return self._softmax(z)
 
     def confirmed(self, family: str, words: list[str]) -> bool:
