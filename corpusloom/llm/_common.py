@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -75,6 +76,11 @@ class Workspace:
         for t in tables:
             self._delete(t._corpusloom_path)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps now, not when the driver next collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         sc = self.spark.sparkContext
         where = sc._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -9,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,11 @@ _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Input bytes for each bucket of hashes; a bucket is compared in one task's memory.
 _BUCKET_BYTES = 2 << 20
 
+#: What a chunk of texts sends. To a bucket: its hashes and where they are; to itself: the places that it knows
+#: to be repeated already, and which documents its rows are.
+_SENT = "bucket long, chunk long, kind string, body binary"
+_REPLY = "chunk long, kind string, body binary"
 _FOUND = "doc long, sign long, places array<int>"
-_SENT = "bucket int, sure boolean, docs array<long>, signs array<long>, rows array<int>, places array<int>, hashes binary"
 
 
 @lru_cache(maxsize=8)
@@ -49,108 +54,115 @@ class _Words:
         self.left = np.repeat(self.sizes, self.sizes) - self.places  # words from here to the text's end
 
 
-def _send(hashes: list[np.ndarray], rows: np.ndarray, places: np.ndarray, batch: pa.RecordBatch, buckets: int) -> Iterator[pa.RecordBatch]:
+def _body(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length in one compressed value; ascending ones as differences, which compress well."""
+    raw = b"".join(x.tobytes() for x in arrays)
+    return struct.pack("<II", len(arrays[0]), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _arrays(body: bytes, *kinds: str) -> list[np.ndarray]:
+    n, size = struct.unpack_from("<II", body)
+    raw = pa.decompress(body[8:], size, codec="zstd", asbytes=True)
+    out, at = [], 0
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=0).astype(np.int32)
+
+
+#: One row of a chunk and the place in it, as one number each; the first word of a text is place 0.
+_PLACE = np.int64(1) << np.int64(32)
+
+
+def _chunk_rows(hashes: list[np.ndarray], rows: np.ndarray, places: np.ndarray, batch: pa.RecordBatch, buckets: int) -> Iterator[pa.RecordBatch]:
     """Occurrences of hashes, split by bucket.
 
-    What occurs twice in this chunk is known to be repeated already: those places go out as sure, and
-    the bucket gets the hash once. So a hash is sent once a chunk at most, however frequent it is.
+    What occurs twice in this chunk is known to be repeated already: those places stay with the chunk, and
+    the bucket gets the hash once, marked by row -1. So a chunk sends a hash once at most, however frequent it is.
     """
-    docs = np.asarray(batch.column("doc"), np.int64)
-    signs = np.asarray(batch.column("sign"), np.int64)
-    order = np.lexsort(hashes[::-1])
-    hashes, rows, places = [h[order] for h in hashes], rows[order], places[order]
     if not len(rows):
         return
-    new = np.append(True, np.any([h[1:] != h[:-1] for h in hashes], axis=0))
+    docs, signs = np.asarray(batch.column("doc"), np.int64), np.asarray(batch.column("sign"), np.int64)
+    chunk = xxhash.xxh3_64_intdigest(docs.tobytes() + signs.tobytes()) >> 1
+    order = np.lexsort(hashes[::-1])
+    sorted_ = [h[order] for h in hashes]
+    new = np.append(True, np.any([h[1:] != h[:-1] for h in sorted_], axis=0))
+    several = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
     group = np.cumsum(new) - 1
-    several = np.bincount(group) > 1
-    sure = several[group]
-    bucket = (hashes[0] % np.uint64(buckets)).astype(np.int64)
-    # rows of -1: the hash is repeated, nothing to reply
-    sent = new
-    yield from _parts(bucket[sent], np.where(sure[sent], -1, rows[sent]), places[sent], [h[sent] for h in hashes], docs, signs, False)
-    if sure.any():
-        own = (docs[rows[sure]].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        yield from _parts(own, rows[sure], places[sure], [], docs, signs, True)
-
-
-def _parts(bucket, rows, places, hashes, docs, signs, sure) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(bucket, kind="stable")
-    bucket, rows, places, hashes = bucket[order], rows[order], places[order], [h[order] for h in hashes]
+    sure = np.empty(len(order), bool)
+    sure[order] = several[group]
+    sent = np.sort(order[new])  # in the order of the texts
+    bucket = (hashes[0][sent] % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    sent, bucket = sent[by], bucket[by]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    ends = np.append(cuts[1:], len(bucket))
-    used, inner, held = [], [], []
-    for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
-        u, inverse = np.unique(rows[a:b], return_inverse=True)
-        if u[0] < 0:
-            u, inverse = u[1:], inverse - 1
-        used.append(u)
-        inner.append(inverse.astype(np.int32))
-        held.append(b"".join(h[a:b].tobytes() for h in hashes))
-    counts = np.array([len(u) for u in used])
-    every = np.concatenate(used).astype(np.int64) if used else np.empty(0, np.int64)
-    n = len(cuts)
-    for i in range(0, n, 256):  # a few buckets a batch
-        j = min(n, i + 256)
-        lo, hi = int(counts[:i].sum()), int(counts[:j].sum())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[cuts[i:j]], pa.int32()),
-                pa.array([sure] * (j - i), pa.bool_()),
-                lists(docs[every[lo:hi]], counts[i:j], pa.int64()),
-                lists(signs[every[lo:hi]], counts[i:j], pa.int64()),
-                lists(np.concatenate(inner[i:j]), ends[i:j] - cuts[i:j], pa.int32()),
-                lists(places[cuts[i] : ends[j - 1]], ends[i:j] - cuts[i:j], pa.int32()),
-                pa.array(held[i:j], pa.binary()),
-            ],
-            ["bucket", "sure", "docs", "signs", "rows", "places", "hashes"],
-        )
+    marked = np.where(sure, -1, rows).astype(np.int32)
+    out: list[tuple[int, str, bytes]] = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)], strict=True):
+        at = sent[a:b]
+        kept = [h[at] // np.uint64(buckets) if i == 0 else h[at] for i, h in enumerate(hashes)]
+        out.append((int(bucket[a]), "hash", _body(*(k.astype(np.uint32) if len(kept) == 1 or i else k for i, k in enumerate(kept)), _steps(marked[at]), _steps(places[at]))))
+    own = chunk % buckets
+    out.append((own, "rows", _body(docs, signs)))
+    if sure.any():
+        out.append((own, "sure", _body(_steps(rows[sure]), _steps(places[sure]))))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in out], pa.int64()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.binary())],
+        ["bucket", "chunk", "kind", "body"],
+    )
 
 
 def _repeated(width: int):
-    """The places of one bucket whose hash occurs elsewhere too, by document."""
+    """Tells each chunk which of its places in one bucket have a hash that occurs elsewhere too; passes on what it sent to itself."""
+    kinds = ("<u4",) if width == 1 else ("<u8", "<u4")
 
     def run(got: pa.Table) -> pa.Table:
-        docs, signs, places, out_places, hashes = [], [], [], [], []
-        replies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for row in got.to_batches():
-            for i in range(row.num_rows):
-                d = np.asarray(row.column("docs")[i].values, np.int64)
-                s = np.asarray(row.column("signs")[i].values, np.int64)
-                r = np.asarray(row.column("rows")[i].values, np.int64)
-                p = np.asarray(row.column("places")[i].values, np.int32)
-                if row.column("sure")[i].as_py():
-                    replies.append((d[r], s[r], p))
-                    continue
-                real = r >= 0
-                x = np.full(len(r), -1, np.int64)
-                y = x.copy()
-                x[real], y[real] = d[r[real]], s[r[real]]
-                docs.append(x)
-                signs.append(y)
-                out_places.append(np.where(real, p, -1))
-                hashes.append(np.frombuffer(row.column("hashes")[i].as_py(), np.uint64).reshape(width, -1))
-        if docs:
-            h = np.concatenate(hashes, axis=1)
-            x, y, p = np.concatenate(docs), np.concatenate(signs), np.concatenate(out_places)
-            order = np.lexsort(h[::-1])
-            h, x, y, p = h[:, order], x[order], y[order], p[order]
-            group = np.cumsum(np.append(True, (h[:, 1:] != h[:, :-1]).any(axis=0))) - 1
+        chunk, kind, body = (got.column(c).to_pylist() for c in ("chunk", "kind", "body"))
+        out = [(c, k, b) for c, k, b in zip(chunk, kind, body, strict=True) if k != "hash"]
+        at = [i for i, k in enumerate(kind) if k == "hash"]
+        if at:
+            parts = [_arrays(body[i], *kinds, "<i4", "<i4") for i in at]
+            sizes = np.array([len(p[0]) for p in parts])
+            hashes = [np.concatenate([p[j] for p in parts]) for j in range(len(kinds))]
+            rows = np.concatenate([np.cumsum(p[-2]) for p in parts])
+            order = np.lexsort(hashes[::-1])
+            new = np.append(True, np.any([h[order][1:] != h[order][:-1] for h in hashes], axis=0))
+            group = np.empty(len(order), np.int64)
+            group[order] = np.cumsum(new) - 1
             shared = np.bincount(group) > 1
-            shared[group[p < 0]] = True
-            reply = shared[group] & (p >= 0)
-            replies.append((x[reply], y[reply], p[reply]))
-        if not replies:
-            return pa.table({"doc": pa.array([], pa.int64()), "sign": pa.array([], pa.int64()), "places": pa.array([], pa.list_(pa.int32()))})
-        x, y, places = (np.concatenate(z) for z in zip(*replies, strict=True))
-        order = np.lexsort((y, x))
-        x, y, places = x[order], y[order], places[order]
-        cuts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.empty(0, np.int64)
-        return pa.table({"doc": pa.array(x[cuts], pa.int64()), "sign": pa.array(y[cuts], pa.int64()), "places": lists(places, np.diff(np.append(cuts, len(x))), pa.int32())})
+            shared[group[rows < 0]] = True
+            reply = shared[group] & (rows >= 0)
+            for i, p, a, n in zip(at, parts, np.cumsum(sizes) - sizes, sizes, strict=True):
+                mine = reply[a : a + n]
+                if mine.any():
+                    out.append((chunk[i], "sure", _body(_steps(rows[a : a + n][mine]), _steps(np.cumsum(p[-1])[mine]))))
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.binary())], ["chunk", "kind", "body"])
 
     return run
 
 
+def _by_document(got: pa.Table) -> pa.Table:
+    """The repeated places of one chunk by document."""
+    kind, body = got.column("kind").to_pylist(), got.column("body").to_pylist()
+    known = [_arrays(b, "<i8", "<i8") for k, b in zip(kind, body, strict=True) if k == "rows"]
+    if not known:
+        raise RuntimeError("a chunk of texts was made anew with other rows; the input's order isn't deterministic")
+    docs, signs = known[0]
+    parts = [[np.cumsum(x, dtype=np.int64) for x in _arrays(b, "<i4", "<i4")] for k, b in zip(kind, body, strict=True) if k == "sure"]
+    if not parts:
+        return pa.table({"doc": pa.array([], pa.int64()), "sign": pa.array([], pa.int64()), "places": pa.array([], pa.list_(pa.int32()))})
+    rows, places = (np.concatenate(z) for z in zip(*parts, strict=True))
+    order = np.argsort(rows * _PLACE + places, kind="stable")
+    rows, places = rows[order], places[order]
+    cuts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    at = rows[cuts]
+    return pa.table({"doc": pa.array(docs[at], pa.int64()), "sign": pa.array(signs[at], pa.int64()), "places": lists(places, np.diff(np.append(cuts, len(rows))), pa.int32())})
+
+
 def _anchors(window: int, period: int, buckets: int):
     cover = np.zeros(period, bool)
     cover[list(difference_cover(period))] = True
@@ -163,7 +175,7 @@ def _anchors(window: int, period: int, buckets: int):
             h = rolled(w.hashes, width, _BASES[0])
             n = len(h)
             at = np.flatnonzero((w.left[:n] >= width) & cover[w.places[:n] % period] & (w.left[:n] + w.places[:n] >= window))
-            yield from _send([h[at]], w.rows[at], w.places[at], batch, buckets)
+            yield from _chunk_rows([h[at]], w.rows[at], w.places[at], batch, buckets)
 
     return run
 
@@ -188,7 +200,7 @@ def _windows(window: int, period: int, buckets: int):
             two = rolled(w.hashes, window, _BASES[1])
             n = len(one)
             at = np.flatnonzero(near[:n] & (w.left[:n] >= window))
-            yield from _send([one[at], two[at]], w.rows[at], w.places[at], batch, buckets)
+            yield from _chunk_rows([one[at], two[at]], w.rows[at], w.places[at], batch, buckets)
 
     return run
 
@@ -228,7 +240,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW_WORDS, period: int
     1. Anchors, shorter by period - 1 words, are hashed at positions whose residue is in a difference
        cover. Two equal windows have anchors at the same place in both, so a window without a repeated
        anchor needs no further look.
-    2. The windows around repeated anchors are hashed (128 bits) and those that occur twice are removed.
+    2. The windows around repeated anchors are hashed (96 bits) and those that occur twice are removed.
 
     Hashes meet in buckets whose number follows the input. Each chunk of texts sends a hash once at most,
     so a passage of a third of all documents loads no task more than others.
@@ -243,13 +255,17 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW_WORDS, period: int
     keyed = keyed.where("text is not null")
 
     def met(sent: DataFrame, width: int) -> DataFrame:
-        found = sent.groupBy("bucket").applyInArrow(_repeated(width), _FOUND)
-        return found.groupBy("doc", "sign").agg(F.flatten(F.collect_list("places")).alias("places"))
+        replies = sent.groupBy("bucket").applyInArrow(_repeated(width), _REPLY)
+        found = replies.groupBy("chunk").applyInArrow(_by_document, _FOUND)
+        # rows that are equal in doc_id and text may lie in several chunks
+        return found.groupBy("doc", "sign").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
     anchors = met(keyed.mapInArrow(_anchors(window, period, buckets), _SENT), 1)
     near = work.save(keyed.join(anchors, ["doc", "sign"]).select("doc", "sign", "text", "places"))
+    work.release()
     repeated = work.save(met(near.mapInArrow(_windows(window, period, buckets), _SENT), 2))
     work.drop(near)
+    work.release()
     whole = docs.select(F.struct(*keep).alias("_at"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("sign"))
     cut = whole.join(repeated, ["doc", "sign"], "left").select("_at", "text", "places")
     at = whole.schema["_at"].dataType.simpleString()
