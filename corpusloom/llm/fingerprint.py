@@ -68,25 +68,23 @@ def fingerprints(docs: DataFrame, *, k: int = K, words: int = SHINGLE_WORDS) ->
     return s.select("doc_id", "sketch", distinct_shingles(F.col("sketch"), k).alias("n_shingles"), as_text(F.col("sketch")).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
-    """Adds ``derived`` columns and ``next``, a struct of ``columns`` and these of the row that follows in
-    descending doc_id; after the last comes the first.
+def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``next``, a struct of ``columns`` of the row that follows in descending doc_id; after the last comes the first.
 
     Rows are dealt to ranges of doc_id of about equal size and ordered within; only the first row of each
     range, of which there are at most _RANGES, goes to the range before it. Rows without doc_id come last;
     rows with the same are ordered by ``columns``.
     """
-    derived = derived or {}
     ranges = int(min(_RANGES, max(1, size_in_bytes(docs) // _RANGE_BYTES)))
     bounds = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
     part = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0)
     dealt = docs.withColumn("_part", F.coalesce(F.when(F.col("doc_id").isNotNull(), part), F.lit(len(bounds) + 1)).cast("int"))
-    row = F.struct(*columns, *derived)
+    row = F.struct(*columns)
     window = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), *columns)
-    led = dealt.withColumns(derived).withColumn("_lead", F.lead(row).over(window))
-    heads = dealt.groupBy("_part").agg(F.max("doc_id").alias("_head")).withColumnRenamed("_part", "_of")
-    firsts = dealt.join(heads, (F.col("_part") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_head")))
-    firsts = firsts.groupBy("_part").agg(F.min(F.struct(*columns)).alias("_f")).select("_part", "_f.*").withColumns(derived).select("_part", row.alias("_first"))
+    led = dealt.withColumn("_lead", F.lead(row).over(window))
+    heads = dealt.groupBy("_part").agg(F.max("doc_id").alias("_head")).withColumnRenamed("_part", "_of")  # two numbers for each of at most _RANGES
+    firsts = dealt.join(F.broadcast(heads), (F.col("_part") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_head")))
+    firsts = firsts.groupBy("_part").agg(F.min(row).alias("_first"))
     order = Window.orderBy("_part")  # one row a range
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = firsts.select("_part", F.coalesce(F.lead("_first").over(order), F.first("_first").over(whole)).alias("_next_first"))
@@ -95,9 +93,9 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] |
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(docs, ["text"], {"own": sketch(shingle_hashes(F.col("text")))})
+    both = with_next(docs, ["text"])
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", F.col("next.own").alias("next_own"), F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr(F.col("next.text"), F.lit(1), half)).alias("edited"))
+    edited = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), sketch(shingle_hashes(F.col("text"))).alias("own"), sketch(shingle_hashes(F.col("next.text"))).alias("next_own"), F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr(F.col("next.text"), F.lit(1), half)).alias("edited"))
     edited = edited.withColumn("new", sketch(shingle_hashes(F.col("edited"))))
     return edited.select(
         "doc_id",
