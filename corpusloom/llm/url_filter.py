@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import ascii_lower, table
+from corpusloom.llm._common import ascii_lower, size_in_bytes, table
 
 #: (host, path, verdict)
 RULES = (
@@ -19,8 +19,8 @@ RULES = (
 DEFAULT_VERDICT = "allow"
 #: After every character of a host; ends the interval of its subdomains.
 _HIGH = "\U0010ffff"
-#: Sweeps run side by side, each over its share of the hosts and all rules.
-SWEEPS = 64
+#: Sweeps run side by side, each over its share of the hosts and all rules: this many at least and at most, else by size.
+SWEEPS, MOST_SWEEPS, SWEEP_BYTES = 64, 4096, 256 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -57,7 +57,7 @@ def boundaries(rules: DataFrame) -> DataFrame:
     return stacks.select(key.alias("key"), F.col("on").alias("stack")).union(stacks.select(F.concat(key, F.lit(_HIGH)).alias("key"), F.col("off").alias("stack")))
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, default: str = DEFAULT_VERDICT, sweeps: int = SWEEPS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, *, default: str = DEFAULT_VERDICT, sweeps: int | None = None) -> DataFrame:
     """The verdict on each url of ``pages`` (page_id, url) by ``rules`` (host, path, verdict).
 
     A rule fits its host and all subdomains if the url's path starts with the rule's. Of several the
@@ -73,6 +73,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = DEFAULT_VERDICT,
     user names belong to the host as written. Repeated rows and rules change nothing. Rules with a null
     host, path or verdict are left out.
     """
+    sweeps = sweeps or int(min(MOST_SWEEPS, max(SWEEPS, size_in_bytes(pages) // SWEEP_BYTES)))
     urls = pages.select("page_id", host_of(F.coalesce("url", F.lit(""))).alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path"))
     clean = rules.where("host is not null and path is not null and verdict is not null")
     clean = clean.select(ascii_lower(F.col("host")).alias("host"), ascii_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
