@@ -48,46 +48,46 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS = f"docs AS (SELECT doc_id, lang, {TIER} AS tier, text AS canonical, {S.lower('text')} AS low FROM documents)"
 
 
-def on_documents(name: str, column: Column, sql: str, out: str = "value") -> None:
-    register(name, lambda spark, d: instructions(spark, d).select("doc_id", column.alias(out)), f"WITH {DOCS} SELECT doc_id, {sql} AS {out} FROM docs")
-
-
-on_documents("text_normalize_space", X.normalize_space("canonical"), S.normalize_space("canonical"))
-on_documents("text_casefold", X.casefold("canonical"), S.casefold("canonical"))
-on_documents("text_sentence_case", X.sentence_case("canonical"), S.sentence_case("canonical"))
-on_documents("text_strip_period", X.strip_period("canonical"), S.strip_period("canonical"))
-on_documents("text_normalize_match", X.normalize_for_match("canonical"), S.normalize_for_match("canonical"))
-on_documents("text_sanitize_decoded", X.sanitize_decoded(F.concat(F.lit("<s> hin_Deva  "), "canonical", F.lit(" hin Deva</s>")), "hin_Deva"), S.sanitized("('<s> hin_Deva  ' || canonical || ' hin Deva</s>')", "hin_Deva"))
-on_documents("text_count_occurrences", X.count_of("canonical", " the "), S.count_of("canonical", " the "))
-on_documents("text_find_position", X.position_of("canonical", "the").cast("int"), "(instr(canonical, 'the') - 1)::INTEGER")
-on_documents("text_fill_template", X.fill_template(F.lit("At once, {phrase} / {sentence}."), phrase=F.col("canonical"), sentence=X.sentence_case("canonical")), f"'At once, ' || canonical || ' / ' || {S.sentence_case('canonical')} || '.'")
-on_documents("prompt_id_format", X.prompt_id("doc_id"), "format('kimodo_{:06d}', doc_id)")
-on_documents("classify_motion_family", R.motion_family(F.col("tier"), F.col("low")), S.motion_family("tier", "low"))
-on_documents("classify_constraint", R.constraint_type(F.col("low")), S.constraint_type("low"))
-on_documents("classify_locomotion", R.locomotion_type(F.col("low")), S.locomotion_type("low"))
-on_documents("classify_feasibility", R.robot_feasibility(F.col("tier"), F.col("low")), S.robot_feasibility("tier", "low"))
-on_documents("classify_terrain", R.terrain_dependence(F.col("low")), S.terrain_dependence("low"))
-on_documents("classify_contact", R.contact_complexity(F.col("tier"), F.col("low")), S.contact_complexity("tier", "low"))
-on_documents("classify_structure", R.compositional_structure(F.col("tier"), F.col("low")), S.compositional_structure("tier", "low"))
-on_documents("classify_ambiguity", R.ambiguity_type(F.col("low")), S.ambiguity_type("low"))
-on_documents("classify_subtier", R.subtier(F.col("tier")), S.subtier("tier"))
-on_documents("needs_scene", R.needs_scene(F.col("low")), S.any_of("low", V.SCENE_WORDS))
-on_documents("needs_body", R.needs_body(F.col("low")), S.any_of("low", V.BODY_WORDS))
-on_documents("needs_postprocess", R.needs_postprocess(F.col("tier"), R.constraint_type(F.col("low"))), f"tier IN ('T4', 'T6', 'T7') OR {S.constraint_type('low')} <> 'none'")
-on_documents("safe_to_execute", R.safe_to_execute(R.robot_feasibility(F.col("tier"), F.col("low")), R.ambiguity_flag(F.col("low"))), f"({S.robot_feasibility('tier', 'low')}) = 'safe' AND ({S.ambiguity_type('low')}) IS NULL")
-on_documents("assign_split", R.split_of(F.col("doc_id")), S.split_of("doc_id"))
-on_documents("tags_primitive", F.array_join(R.primitive_tags(F.col("canonical")), ","), f"array_to_string({S.primitive_tags(S.casefold('canonical'))}, ',')")
+def on_documents(name: str, column: Callable[[], Column], sql: str, out: str = "value") -> None:
+    register(name, lambda spark, d: instructions(spark, d).select("doc_id", column().alias(out)), f"WITH {DOCS} SELECT doc_id, {sql} AS {out} FROM docs")
+
+
+on_documents("text_normalize_space", lambda: X.normalize_space("canonical"), S.normalize_space("canonical"))
+on_documents("text_casefold", lambda: X.casefold("canonical"), S.casefold("canonical"))
+on_documents("text_sentence_case", lambda: X.sentence_case("canonical"), S.sentence_case("canonical"))
+on_documents("text_strip_period", lambda: X.strip_period("canonical"), S.strip_period("canonical"))
+on_documents("text_normalize_match", lambda: X.normalize_for_match("canonical"), S.normalize_for_match("canonical"))
+on_documents("text_sanitize_decoded", lambda: X.sanitize_decoded(F.concat(F.lit("<s> hin_Deva  "), "canonical", F.lit(" hin Deva</s>")), "hin_Deva"), S.sanitized("('<s> hin_Deva  ' || canonical || ' hin Deva</s>')", "hin_Deva"))
+on_documents("text_count_occurrences", lambda: X.count_of("canonical", " the "), S.count_of("canonical", " the "))
+on_documents("text_find_position", lambda: X.position_of("canonical", "the").cast("int"), "(instr(canonical, 'the') - 1)::INTEGER")
+on_documents("text_fill_template", lambda: X.fill_template(F.lit("At once, {phrase} / {sentence}."), phrase=F.col("canonical"), sentence=X.sentence_case("canonical")), f"'At once, ' || canonical || ' / ' || {S.sentence_case('canonical')} || '.'")
+on_documents("prompt_id_format", lambda: X.prompt_id("doc_id"), "format('kimodo_{:06d}', doc_id)")
+on_documents("classify_motion_family", lambda: R.motion_family(F.col("tier"), F.col("low")), S.motion_family("tier", "low"))
+on_documents("classify_constraint", lambda: R.constraint_type(F.col("low")), S.constraint_type("low"))
+on_documents("classify_locomotion", lambda: R.locomotion_type(F.col("low")), S.locomotion_type("low"))
+on_documents("classify_feasibility", lambda: R.robot_feasibility(F.col("tier"), F.col("low")), S.robot_feasibility("tier", "low"))
+on_documents("classify_terrain", lambda: R.terrain_dependence(F.col("low")), S.terrain_dependence("low"))
+on_documents("classify_contact", lambda: R.contact_complexity(F.col("tier"), F.col("low")), S.contact_complexity("tier", "low"))
+on_documents("classify_structure", lambda: R.compositional_structure(F.col("tier"), F.col("low")), S.compositional_structure("tier", "low"))
+on_documents("classify_ambiguity", lambda: R.ambiguity_type(F.col("low")), S.ambiguity_type("low"))
+on_documents("classify_subtier", lambda: R.subtier(F.col("tier")), S.subtier("tier"))
+on_documents("needs_scene", lambda: R.needs_scene(F.col("low")), S.any_of("low", V.SCENE_WORDS))
+on_documents("needs_body", lambda: R.needs_body(F.col("low")), S.any_of("low", V.BODY_WORDS))
+on_documents("needs_postprocess", lambda: R.needs_postprocess(F.col("tier"), R.constraint_type(F.col("low"))), f"tier IN ('T4', 'T6', 'T7') OR {S.constraint_type('low')} <> 'none'")
+on_documents("safe_to_execute", lambda: R.safe_to_execute(R.robot_feasibility(F.col("tier"), F.col("low")), R.ambiguity_flag(F.col("low"))), f"({S.robot_feasibility('tier', 'low')}) = 'safe' AND ({S.ambiguity_type('low')}) IS NULL")
+on_documents("assign_split", lambda: R.split_of(F.col("doc_id")), S.split_of("doc_id"))
+on_documents("tags_primitive", lambda: F.array_join(R.primitive_tags(F.col("canonical")), ","), f"array_to_string({S.primitive_tags(S.casefold('canonical'))}, ',')")
 #: Terms that do occur in the documents.
 OCCURRING = {"article": ("the ", "der ", "les "), "joining": (" and ", " und ", " et "), "preposition": (" of ", " von ", " de "), "rare": ("license", "contact")}
 on_documents(
     "tags_vocabulary",
-    F.array_join(R.primitive_tags(F.col("canonical"), OCCURRING, "none"), ","),
+    lambda: F.array_join(R.primitive_tags(F.col("canonical"), OCCURRING, "none"), ","),
     "array_to_string(CASE WHEN len(tags) = 0 THEN ['none'] ELSE tags END, ',') AS value FROM (SELECT doc_id, list_filter(["
     + ", ".join(f"CASE WHEN {S.any_of('f', n)} THEN {S.q(t)} END" for t, n in OCCURRING.items())
     + f"], lambda t: t IS NOT NULL) AS tags FROM (SELECT doc_id, {S.casefold('canonical')} AS f FROM docs)) -- ",
 )
 ORACLE_SQL["tags_vocabulary"] = ORACLE_SQL["tags_vocabulary"].split(" -- ")[0]
-on_documents("phrases_present", F.array_join(VF.phrases_in(X.normalize_for_match("canonical"), V.ACTIONS), ","), f"array_to_string({S.present(S.normalize_for_match('canonical'), V.ACTIONS)}, ',')")
+on_documents("phrases_present", lambda: F.array_join(VF.phrases_in(X.normalize_for_match("canonical"), V.ACTIONS), ","), f"array_to_string({S.present(S.normalize_for_match('canonical'), V.ACTIONS)}, ',')")
 
 # --- generated instructions -----------------------------------------------------------------------
 
@@ -101,35 +101,40 @@ def unique(spark: SparkSession) -> DataFrame:
     return G.dedupe_casefold(G.all_candidates(spark), "prompt", by=("tier",))
 
 
-def on_prompts(name: str, columns: dict[str, Column], sql: dict[str, str]) -> None:
+def on_prompts(name: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str]) -> None:
     """Over all distinct candidates of all tiers."""
     register(
         name,
-        lambda spark, d: unique(spark).withColumn("low", F.lower("prompt")).select("tier", "prompt", *(c.alias(n) for n, c in columns.items())),
+        lambda spark, d: unique(spark).withColumn("low", F.lower("prompt")).select("tier", "prompt", *(c.alias(n) for n, c in columns().items())),
         f"WITH {S.pool()}, p AS (SELECT tier, prompt, lower(prompt) AS low FROM ranked) SELECT tier, prompt, {', '.join(f'{e} AS {n}' for n, e in sql.items())} FROM p",
     )
 
 
-on_prompts("text_robot_natural", {"natural": X.robot_natural("prompt")}, {"natural": S.robot_natural("prompt")})
+on_prompts("text_robot_natural", lambda: {"natural": X.robot_natural("prompt")}, {"natural": S.robot_natural("prompt")})
 on_prompts(
     "annotate_prompts",
-    {"family": R.motion_family(F.col("tier"), F.col("low")), "kind": R.constraint_type(F.col("low")), "locomotion": R.locomotion_type(F.col("low")), "feasibility": R.robot_feasibility(F.col("tier"), F.col("low")),
+    lambda: {"family": R.motion_family(F.col("tier"), F.col("low")), "kind": R.constraint_type(F.col("low")), "locomotion": R.locomotion_type(F.col("low")), "feasibility": R.robot_feasibility(F.col("tier"), F.col("low")),
      "terrain": R.terrain_dependence(F.col("low")), "contact": R.contact_complexity(F.col("tier"), F.col("low")), "structure": R.compositional_structure(F.col("tier"), F.col("low")), "ambiguity": R.ambiguity_type(F.col("low")),
      "tags": F.array_join(R.primitive_tags(F.col("prompt")), ",")},
     {"family": S.motion_family("tier", "low"), "kind": S.constraint_type("low"), "locomotion": S.locomotion_type("low"), "feasibility": S.robot_feasibility("tier", "low"),
      "terrain": S.terrain_dependence("low"), "contact": S.contact_complexity("tier", "low"), "structure": S.compositional_structure("tier", "low"), "ambiguity": S.ambiguity_type("low"),
      "tags": f"array_to_string({S.primitive_tags('low')}, ',')"},
 )
-_payload = R.constraint_payload(F.col("low"))
+
+
+def _payload() -> Column:
+    return R.constraint_payload(F.col("low"))
+
+
 on_prompts(
     "constraint_payload",
-    {"path": _payload["path_type"], **{n: F.array_join(_payload[n], ",") for n in ("waypoints", "obstacles", "landmarks")}, "absent": _payload.isNull()},
+    lambda: {"path": _payload()["path_type"], **{n: F.array_join(_payload()[n], ",") for n in ("waypoints", "obstacles", "landmarks")}, "absent": _payload().isNull()},
     {"path": f"{S.bank_in('low', 'path')}[1]", **{n: f"nullif(array_to_string({S.bank_in('low', n[:-1])}, ','), '')" for n in ("waypoints", "obstacles", "landmarks")},
      "absent": " AND ".join(f"len({S.bank_in('low', b)}) = 0" for b in ("path", "waypoint", "obstacle", "landmark"))},
 )
 on_prompts(
     "landmarks_extract",
-    {"landmarks": F.array_join(R.landmarks(_payload["landmarks"], F.col("prompt")), ",")},
+    lambda: {"landmarks": F.array_join(R.landmarks(_payload()["landmarks"], F.col("prompt")), ",")},
     {"landmarks": f"array_to_string(CASE WHEN len({S.bank_in('low', 'landmark')}) > 0 THEN list_sort({S.bank_in('low', 'landmark')}) ELSE {S.landmarks_in('low')} END, ',')"},
 )
 register("dedupe_casefold", lambda spark, d: unique(spark).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("prompt").alias("least")), f"WITH {S.pool()} SELECT tier, count(*) AS n, min(prompt) AS least FROM ranked GROUP BY tier")
@@ -248,19 +253,24 @@ def on_records(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> No
     register(name, lambda spark, d: run(translated_records(spark, d)), f"WITH {LONG} {sql}")
 
 
-_b = F.col("block")
+
+
+def _block(name: str) -> Column:
+    return F.col("block")[name]
+
+
 on_records("pending_filter", lambda r: L.pending(r).select("prompt_id"), "SELECT DISTINCT prompt_id FROM jobs WHERE NOT complete")
 on_records("pending_jobs", lambda r: jobs(r).select("prompt_id", "code"), "SELECT prompt_id, code FROM jobs WHERE NOT complete")
 on_records("pending_batches", lambda r: L.batches(L.pending(r).select("prompt_id"), "prompt_id", 32), "SELECT prompt_id, (row_number() OVER (ORDER BY prompt_id) - 1) // 32 AS batch FROM (SELECT DISTINCT prompt_id FROM jobs WHERE NOT complete)")
 on_records("pending_batches_first", lambda r: L.batches(L.pending(r).select("prompt_id"), "prompt_id", 32, 3), "SELECT * FROM (SELECT prompt_id, (row_number() OVER (ORDER BY prompt_id) - 1) // 32 AS batch FROM (SELECT DISTINCT prompt_id FROM jobs WHERE NOT complete)) WHERE batch < 3")
 on_records("limit_first_n", lambda r: L.first_rows(r.select("prompt_id", "tier"), "prompt_id", 200), "SELECT prompt_id, tier FROM jobs WHERE lang_ord = 0 ORDER BY prompt_id LIMIT 200")
 on_records("limit_negative_n", lambda r: L.first_rows(r.select("prompt_id", "tier"), "prompt_id", -50), "SELECT prompt_id, tier FROM (SELECT *, row_number() OVER (ORDER BY prompt_id DESC) AS n FROM jobs WHERE lang_ord = 0) WHERE n > 50")
-on_records("status_counts", lambda r: P.status_counts(L.long_form(r), _b["status"]), "SELECT code, coalesce(status, 'missing') AS status, count(*) AS n FROM long GROUP BY ALL")
-on_records("review_counts", lambda r: P.status_counts(L.long_form(r), _b["review"]["review_status"]), "SELECT code, coalesce(review, 'missing') AS status, count(*) AS n FROM long GROUP BY ALL")
+on_records("status_counts", lambda r: P.status_counts(L.long_form(r), _block("status")), "SELECT code, coalesce(status, 'missing') AS status, count(*) AS n FROM long GROUP BY ALL")
+on_records("review_counts", lambda r: P.status_counts(L.long_form(r), _block("review")["review_status"]), "SELECT code, coalesce(review, 'missing') AS status, count(*) AS n FROM long GROUP BY ALL")
 on_records("tier_counts", lambda r: r.groupBy("tier").agg(F.count(F.lit(1)).alias("n")), "SELECT tier, count(*) AS n FROM joined GROUP BY tier")
 on_records("tier_language_counts", lambda r: L.long_form(r, "tier").groupBy("tier").pivot("code", list(V.LANGUAGES)).count(), "SELECT tier, count(*) FILTER (code = 'hi') AS hi, count(*) FILTER (code = 'bn') AS bn, count(*) FILTER (code = 'te') AS te FROM long GROUP BY tier")
-on_records("verification_pass_counts", lambda r: P.pass_counts(L.long_form(r), {c: _b["verification"][c] for c in V.CHECKS}), "SELECT code, " + ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in V.CHECKS) + " FROM long GROUP BY code HAVING " + " + ".join(f"count(*) FILTER ({c})" for c in V.CHECKS) + " > 0")
-on_records("run_state", lambda r: P.job_counts(L.long_form(r), _b["status"], _b["literal"], _b["robot_natural"]), "SELECT count(*) FILTER (complete) AS translated_language_jobs, count(*) FILTER (NOT complete) AS pending_language_jobs FROM jobs")
+on_records("verification_pass_counts", lambda r: P.pass_counts(L.long_form(r), {c: _block("verification")[c] for c in V.CHECKS}), "SELECT code, " + ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in V.CHECKS) + " FROM long GROUP BY code HAVING " + " + ".join(f"count(*) FILTER ({c})" for c in V.CHECKS) + " > 0")
+on_records("run_state", lambda r: P.job_counts(L.long_form(r), _block("status"), _block("literal"), _block("robot_natural")), "SELECT count(*) FILTER (complete) AS translated_language_jobs, count(*) FILTER (NOT complete) AS pending_language_jobs FROM jobs")
 
 
 def corpus_summary(records: DataFrame) -> DataFrame:
@@ -287,7 +297,7 @@ on_records(
 )
 on_records(
     "language_pivot",
-    lambda r: L.long_form(r, "prompt_id").groupBy("prompt_id").pivot("code", list(V.LANGUAGES)).agg(F.first(_b["literal"])),
+    lambda r: L.long_form(r, "prompt_id").groupBy("prompt_id").pivot("code", list(V.LANGUAGES)).agg(F.first(_block("literal"))),
     "SELECT prompt_id, max(literal) FILTER (code = 'hi') AS hi, max(literal) FILTER (code = 'bn') AS bn, max(literal) FILTER (code = 'te') AS te FROM long GROUP BY prompt_id",
 )
 _FLAT = ("prompt_id", "tier", "subtier", "constraint_type", "english_canonical", "split", "translation_status", "primitive_tags", "hindi_canonical", "hindi_robot", "bn_bengali_status", "te_telugu_review_status", "te_telugu_translation_notes", "hi_hindi_action_preservation")
@@ -367,15 +377,15 @@ _PAIRS = "pairs AS (SELECT * FROM (SELECT conv_id, turn, text, lead(text) OVER (
 _PAIRS += f"norm AS (SELECT conv_id, turn, {S.normalize_for_match('text')} AS a, {S.normalize_for_match('reply')} AS b FROM pairs), found AS (SELECT *, {S.present('a', TERMS)} AS p FROM norm)"
 
 
-def on_turns(name: str, column: Column, sql: str) -> None:
-    register(name, lambda spark, d: turn_pairs(spark, d).select("conv_id", "turn", column.alias("kept")), f"WITH {_PAIRS} SELECT conv_id, turn, {sql} AS kept FROM found")
+def on_turns(name: str, column: Callable[[], Column], sql: str) -> None:
+    register(name, lambda spark, d: turn_pairs(spark, d).select("conv_id", "turn", column().alias("kept")), f"WITH {_PAIRS} SELECT conv_id, turn, {sql} AS kept FROM found")
 
 
-on_turns("verify_set", VF.keeps_set(F.col("text"), F.col("reply"), TERMS), "len(list_filter(p, lambda x: NOT contains(b, x))) = 0")
+on_turns("verify_set", lambda: VF.keeps_set(F.col("text"), F.col("reply"), TERMS), "len(list_filter(p, lambda x: NOT contains(b, x))) = 0")
 _AT = "list_transform(p, lambda x: instr(b, x))"
-on_turns("verify_order", VF.keeps_vocabulary_order(F.col("text"), F.col("reply"), TERMS), f"len(list_filter({_AT}, lambda i: i = 0)) = 0 AND {_AT} = list_sort({_AT})")
+on_turns("verify_order", lambda: VF.keeps_vocabulary_order(F.col("text"), F.col("reply"), TERMS), f"len(list_filter({_AT}, lambda i: i = 0)) = 0 AND {_AT} = list_sort({_AT})")
 _SRC = "list_transform(list_sort(list_transform(p, lambda x: {'at': instr(a, x), 'p': x})), lambda s: instr(b, s.p))"
-on_turns("verify_source_order", VF.keeps_source_order(F.col("text"), F.col("reply"), TERMS), f"len(list_filter({_SRC}, lambda i: i = 0)) = 0 AND {_SRC} = list_sort({_SRC})")
+on_turns("verify_source_order", lambda: VF.keeps_source_order(F.col("text"), F.col("reply"), TERMS), f"len(list_filter({_SRC}, lambda i: i = 0)) = 0 AND {_SRC} = list_sort({_SRC})")
 
 
 def _keeps(a: str, b: str, phrases) -> str:
@@ -387,11 +397,16 @@ def _order(a: str, b: str) -> str:
     return f"(len(list_filter({at}, lambda i: i = 0)) = 0 AND {at} = list_sort({at}))"
 
 
-_checks = VF.verification(F.col("one"), F.col("one"), F.col("two"), F.col("one"))
+
+
+def _checks() -> Column:
+    return VF.verification(F.col("one"), F.col("one"), F.col("two"), F.col("one"))
+
+
 _tests = {"action_preservation": V.ACTIONS, "direction_preservation": V.DIRECTIONS, "safety_preservation": V.SAFETY}
 register(
     "verify_corpus",
-    lambda spark, d: VF.normalized(unique(spark).withColumn("natural", X.robot_natural("prompt")), one=F.col("prompt"), two=F.col("natural")).select("tier", "prompt", *(_checks[c].alias(c) for c in V.CHECKS)),
+    lambda spark, d: VF.normalized(unique(spark).withColumn("natural", X.robot_natural("prompt")), one=F.col("prompt"), two=F.col("natural")).select("tier", "prompt", *(_checks()[c].alias(c) for c in V.CHECKS)),
     f"WITH {S.pool()}, n AS (SELECT tier, prompt, {S.normalize_for_match('prompt')} AS a, {S.normalize_for_match(S.robot_natural('prompt'))} AS b FROM ranked) SELECT tier, prompt, "
     + ", ".join(f"{_keeps('a', 'b', p)} AS {c}" for c, p in _tests.items())
     + f", {_order('a', 'b')} AND {_order('a', 'a')} AS order_preservation FROM n",
