@@ -156,23 +156,27 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"mark{i}") for i in range(2)]
     met = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
     met = met.groupBy("n", "mark0", "mark1").agg(F.min("key").alias("key"))
-    buckets = work.save(tables.join(met.select("key"), "key"))
+    shared = work.save(tables.join(met.select("key", "n"), "key"))
     work.drop(tables)
+    # the text that others are copies of meets more of them than they do each other: it makes the best centre
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    buckets = work.save(shared.join(weight, "id").select("key", "id", "weight"))
+    work.drop(shared)
 
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     sets = work.save(texts.join(wanted, "doc_id").mapInArrow(_sets(shingle_words), "id long, members binary"))
     links, tested, labels, found = None, None, None, None
-    open_buckets, n_docs, turn = buckets, None, 0
+    open_buckets, n_docs, turn = buckets.withColumn("component", F.col("id")), None, 0
     while True:
-        if turn == 0:
-            centre = open_buckets.groupBy("key").agg(F.min("id").alias("centre"))
-        else:
-            centre = open_buckets.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("centre"))
-        pairs = open_buckets.join(centre, "key").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+        # a later turn tries the heaviest of another quarter first
+        rank = F.struct((F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(4)) == 0).alias("turn"), F.col("weight"), (-F.col("id")).alias("id")) if turn else F.struct(F.col("weight"), (-F.col("id")).alias("id"))
+        centre = open_buckets.groupBy("key").agg(F.max_by(F.struct("id", "component"), rank).alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.component").alias("in"))
+        apart_from = open_buckets.join(centre, "key").where("id <> centre and component <> in")
+        pairs = apart_from.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
         found, tested, links = _compare(pairs, tested, links, sets, percent, work)
         labels = connected_components(links, work)
         # what is still apart: buckets of three or more whose members lie in several components
-        marked = open_buckets.join(labels, open_buckets.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        marked = open_buckets.drop("component").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
         parts = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         apart = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("square")).where("n > 2 and square < n * n")
         apart = work.save(apart)
@@ -188,7 +192,7 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
             if not found.isEmpty():
                 labels = connected_components(links, work)
             break
-        open_buckets, turn = still.select("key", "id"), turn + 1
+        open_buckets, turn = still, turn + 1
 
     several = classes.where("copies > 1").select("set_hash", "id")
     base = signed.select("doc_id", "n_shingles", "set_hash").join(several, "set_hash", "left").withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")))
