@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import WordHashes, Workspace, bytes_of, chunks, lists, mix64, rolled, table
@@ -121,6 +121,50 @@ def _confirmed(percent: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set. ``part`` tells the texts of one id apart."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = part.column("members").to_pylist()
+            values = [np.frombuffer(x, np.int64) for x in sets]
+            counts = [len(v) for v in values]
+            own = [np.asarray(part.column("id"), np.int64), np.asarray(part.column("component"), np.int64), np.array([xxhash.xxh3_64_intdigest(x) for x in sets], np.uint64).view(np.int64), np.array(counts, np.int64)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c, counts)) for c in own), pa.array(np.concatenate(values))], ["id", "component", "part", "size", "shingle"])
+
+
+def _band(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(size.cast("double"), F.lit(1.0))) * 28).cast("int")
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``members`` (id, component) in two components whose sets can be linked; some can't.
+
+    Sets are read in one order, with what no other component has first and then from rare to frequent. A link of
+    sizes m and n takes 100 * both >= percent * (m + n - both) for ``both`` common shingles, and in either set all
+    of them stand at or after the first common one. So a pair meets at a shingle that leaves enough in both sets, and
+    the larger set need look for a shingle only among sizes it leaves enough for. A text that is a little
+    too far from the one it was copied from has too many shingles that others lack to meet them at all.
+    """
+    rows = members.join(sets, "id").mapInArrow(_shingles, "id long, component long, part long, size long, shingle long")
+    held = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    # pairs inside the component that has a shingle most often aren't formed
+    held = held.groupBy("shingle").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("most"), (F.min("component") < F.max("component")).alias("several"))
+    rows = rows.join(held.where("several").drop("several"), "shingle")
+    own = Window.partitionBy("id", "part")
+    before = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "shingle")) - 1
+    rows = rows.withColumn("rest", F.col("size") - before).withColumn("rare", F.col("component") != F.col("most"))
+    rows = rows.where(100 * F.col("rest") >= percent * F.col("size")).select("shingle", "id", "component", "size", "rest", "rare")
+    far = F.least(F.floor((100 + percent) * F.col("rest") / percent) - F.col("size"), F.col("size"))
+    larger = rows.withColumn("band", F.explode(F.sequence(_band(percent * F.col("size") / 100), _band(far)))).alias("x")
+    smaller = rows.where((100 + percent) * F.col("rest") >= 2 * percent * F.col("size")).withColumn("band", _band(F.col("size"))).alias("y")
+    fit = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component"))
+    fit &= (F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.id") < F.col("x.id")))
+    fit &= (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.size") + F.col("y.size"))
+    met = [larger.where("rare").join(smaller, fit), larger.where("not rare").join(smaller.where("rare"), fit)]
+    return met[0].unionAll(met[1]).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text; other columns are not read).
 
@@ -132,12 +176,15 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     2. A half key that only one class has can't meet; each class forms its table keys by pairing
        what is left of its first collection with what is left of its second.
     3. In each table bucket all members are compared with one centre on their full sets, so the work
-       grows with a bucket's size, not its square. Buckets whose members the links don't connect yet
-       get other centres; the pairs between components that are then left are compared one by one.
+       grows with a bucket's size, not its square.
+    4. Members of buckets whose members the links don't connect yet meet across components at
+       shingles that are rare enough for a link (``_across``), and those pairs are compared.
        No bucket is capped and no candidate dropped.
 
-    Edge cases: a null or wordless text has no shingles and no links. Rows with the same doc_id are
-    one document with several texts. A row without doc_id has no links, a null component_id, and is kept.
+    Edge cases: a null or wordless text has no shingles and no links. Exact repeats of a row are in one
+    group and all kept or not, as they share a doc_id. A doc_id that is repeated with other texts joins
+    the groups of those for which it is the smallest. A row without doc_id has no links, a null
+    component_id, and is kept.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near")
@@ -145,7 +192,7 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = work.save(texts.mapInArrow(_signatures(shingle_words, halves, rows), "doc_id long, n_shingles long, set_hash binary, halves array<long>"))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = work.save(usable.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("halves").alias("halves")))
+    classes = work.save(usable.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("halves").alias("halves")))
 
     half = classes.select("id", F.posexplode("halves").alias("place", "key"))
     met = half.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
@@ -160,39 +207,28 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     work.drop(tables)
     # the text that others are copies of meets more of them than they do each other: it makes the best centre
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    buckets = work.save(shared.join(weight, "id").select("key", "id", "weight"))
+    sizes = classes.groupBy("id").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    buckets = work.save(shared.join(weight.join(sizes, "id"), "id").select("key", "id", "weight", "lo", "hi"))
     work.drop(shared)
 
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     sets = work.save(texts.join(wanted, "doc_id").mapInArrow(_sets(shingle_words), "id long, members binary"))
-    links, tested, labels, found = None, None, None, None
-    open_buckets, n_docs, turn = buckets.withColumn("component", F.col("id")), None, 0
-    while True:
-        # a later turn tries the heaviest of another quarter first
-        rank = F.struct((F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(4)) == 0).alias("turn"), F.col("weight"), (-F.col("id")).alias("id")) if turn else F.struct(F.col("weight"), (-F.col("id")).alias("id"))
-        centre = open_buckets.groupBy("key").agg(F.max_by(F.struct("id", "component"), rank).alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.component").alias("in"))
-        apart_from = open_buckets.join(centre, "key").where("id <> centre and component <> in")
-        pairs = apart_from.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-        found, tested, links = _compare(pairs, tested, links, sets, percent, work)
-        labels = connected_components(links, work)
-        # what is still apart: buckets of three or more whose members lie in several components
-        marked = open_buckets.drop("component").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
-        parts = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        apart = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("square")).where("n > 2 and square < n * n")
-        apart = work.save(apart)
-        rest = apart.agg(F.sum((F.col("n") * F.col("n") - F.col("square")) / 2)).first()[0]
-        if not rest:
-            break
-        n_docs = n_docs or sets.count()
-        still = work.save(marked.join(apart.select("key"), "key"))
-        if rest <= 4 * n_docs or turn >= 3:
-            one, two = still.alias("one"), still.alias("two")
-            pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.component") != F.col("two.component")))
-            found, tested, links = _compare(pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")), tested, links, sets, percent, work)
-            if not found.isEmpty():
-                labels = connected_components(links, work)
-            break
-        open_buckets, turn = still, turn + 1
+    centre = buckets.groupBy("key").agg(F.max_by(F.struct("id", "lo", "hi"), F.struct(F.col("weight"), -F.col("id"))).alias("c"))
+    others = buckets.join(centre, "key").where("id <> c.id")
+    # sets whose sizes differ too much aren't linked; an id of several texts has the sizes lo to hi
+    fit = (100 * F.col("hi") >= percent * F.col("c.lo")) & (100 * F.col("c.hi") >= percent * F.col("lo"))
+    tested = work.save(others.where(fit).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
+    links = _linked(tested, sets, percent, work)
+    labels = connected_components(links, work)
+
+    component = F.coalesce("component", "id").alias("component")
+    placed = others.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", component)
+    apart = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two").select("key")
+    members = work.save(placed.join(apart, "key").select("id", "component").distinct())
+    rest = work.save(_across(members, sets, percent).distinct().join(tested, ["a", "b"], "left_anti"))
+    more = _linked(rest, sets, percent, work)
+    if not more.isEmpty():
+        labels = connected_components(links.union(more), work)
 
     several = classes.where("copies > 1").select("set_hash", "id")
     base = signed.select("doc_id", "n_shingles", "set_hash").join(several, "set_hash", "left").withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")))
@@ -200,15 +236,10 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _compare(pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, sets: DataFrame, percent: int, work: Workspace):
-    """The pairs not compared before, on full sets: those linked now, all compared, all linked."""
-    pairs = pairs.distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    pairs = work.save(pairs)
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """The pairs (a, b) that are linked, by their full sets."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("right")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("left")), "a")
-    found = work.save(joined.select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a long, b long"))
-    return found, pairs if tested is None else tested.union(pairs), found if links is None else links.union(found)
+    return work.save(joined.select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a long, b long"))
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
