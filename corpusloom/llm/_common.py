@@ -25,12 +25,14 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own if all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -93,6 +95,25 @@ class Workspace:
             pass
 
 
+#: Size of the bitmap that ``maybe_in`` broadcasts: a 64th as many rows of two longs at most.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, key: Column | str, wanted: DataFrame) -> DataFrame:
+    """(row, maybe): each row of ``df`` as a struct, and whether its key may be in the one column of ``wanted``.
+
+    False is certain; true isn't. A bitmap of bounded size tells, so that rows of no use aren't shuffled;
+    with more keys than bits most rows pass, and what follows costs what it would without.
+    """
+    key = F.col(key) if isinstance(key, str) else key
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS))
+    word, bit = lambda k: F.shiftright(place(k), 6), lambda k: F.pmod(place(k), F.lit(64)).cast("int")
+    own = F.col(wanted.columns[0])
+    marks = wanted.select(word(own).alias("word"), bit(own).alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    rows = df.select(F.struct("*").alias("row"), word(key).alias("word"), bit(key).alias("bit"))
+    return rows.join(F.broadcast(marks), "word", "left").select("row", F.coalesce(F.getbit("bits", F.col("bit")) == 1, F.lit(False)).alias("maybe"))
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size; for a plain scan, the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import WordHashes, Workspace, bytes_of, chunks, lists, mix64, rolled, table
+from corpusloom.llm._common import WordHashes, Workspace, bytes_of, chunks, lists, maybe_in, mix64, rolled, table
 from corpusloom.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -19,8 +19,6 @@ THRESHOLD = 0.75
 #: out of 2 * HALVES * ROWS. A pair of likeness s meets with probability (1 - (1 - s**ROWS)**HALVES)**2:
 #: 0.995 at 0.75, 0.9996 at 0.8, 0.0003 at 0.2.
 HALVES, ROWS = 16, 4
-#: Size of the bitmap of ids that is broadcast: at most a 64th as many rows of two longs.
-FILTER_BITS = 1 << 26
 _BASE = 0x9E3779B97F4A7C15
 #: Elements hashed at once; fits the second-level cache.
 _BLOCK = 1 << 15
@@ -214,7 +212,7 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     work.drop(shared)
 
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    sets = work.save(_likely(texts, wanted).join(wanted, "doc_id").mapInArrow(_sets(shingle_words), "id long, members binary"))
+    sets = work.save(maybe_in(texts, "doc_id", wanted).where("maybe").select("row.*").join(wanted, "doc_id").mapInArrow(_sets(shingle_words), "id long, members binary"))
     centre = buckets.groupBy("key").agg(F.max_by(F.struct("id", "lo", "hi"), F.struct(F.col("weight"), -F.col("id"))).alias("c"))
     others = buckets.join(centre, "key").where("id <> c.id")
     # sets whose sizes differ too much aren't linked; an id of several texts has the sizes lo to hi
@@ -238,15 +236,6 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose doc_id is in ``wanted``, and some others: a bitmap of FILTER_BITS at most tells
-    before the texts are shuffled. With more ids than bits it lets most rows pass, and the join behind it decides."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    word, bit = F.expr(f"pmod(xxhash64(doc_id), {FILTER_BITS}L) div 64"), (place % 64).cast("int")
-    marks = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    return texts.withColumn("word", word).join(F.broadcast(marks), "word").where(F.getbit("bits", bit) == 1).select(*texts.columns)
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("right")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("left")), "a")
@@ -254,9 +243,25 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace) ->
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose group has one of a smaller doc_id."""
+    """``docs`` without the documents whose group has one of a smaller doc_id, and without exact repeats.
+
+    Of rows that are equal in doc_id and text one stays. A row without doc_id goes if another row has its text:
+    one with a doc_id stays, else one of them. The texts of what may be repeated are shuffled, no others.
+    """
     gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    same = (F.xxhash64("text"), F.hash("text"))
+
+    def once(rows: DataFrame, key: Column, by: list[str]) -> DataFrame:
+        again = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        marked = maybe_in(rows, key, again)
+        return marked.where("not maybe").select("row.*").unionAll(marked.where("maybe").select("row.*").dropDuplicates(by))
+
+    named, nameless = left.where("doc_id is not null"), left.where("doc_id is null")
+    texts = nameless.select(*(h.alias(n) for h, n in zip(same, "xy", strict=True))).distinct()
+    owned = named.select(*(h.alias(n) for h, n in zip(same, "xy", strict=True))).join(texts, ["x", "y"], "left_semi").distinct()
+    rows = nameless.select(F.struct("*").alias("row"), *(h.alias(n) for h, n in zip(same, "xy", strict=True))).join(owned, ["x", "y"], "left_anti").select("row.*")
+    return once(named, F.xxhash64("doc_id", "text"), ["doc_id", "text"]).unionAll(once(rows, F.xxhash64("text"), ["text"]))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,37 @@ def test_near_duplicates_of_odd_ids(spark):
     assert got == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("None", "None", True)]
 
 
+def test_one_of_each_group_stays(spark, empty):
+    rows = [(1, "t u v w x y"), (1, "t u v w x y"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "n"), (None, "n"), (3, None), (3, None), (None, None), (4, ""), (4, ""), (5, ""), (6, "A b c d e f")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, word long")
+    kept = near_dedup.keep_one(df, near_dedup.near_dedup(df))
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "t u v w x y"), (2, "a b c d e f"), (None, "n"), (3, None), (4, ""), (5, "")], key=repr)
+    assert near_dedup.keep_one(empty, near_dedup.near_dedup(empty)).count() == 0
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """Copies near the limit: many are linked, many are just not, and sizes differ."""
+    rng = np.random.default_rng(8)
+    base = prose(rng, 120).split()
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(int(rng.integers(1, 9))):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + int(rng.integers(1, 3))] = prose(rng, int(rng.integers(0, 3))).split()
+        rows.append((i, " ".join(words[int(rng.integers(0, 6)) :])))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    up = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((up[a], up[b]))
+                up = [x if u == y else u for u in up]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(up)) and 20 < len(set(up)) < 240
+
+
 def cut_by_hand(texts):
     words = {d: WORD.findall(t or "") for d, t in texts.items()}
     seen = collections.Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))

@@ -42,3 +42,19 @@ def test_stages(spark, tmp_path):
     assert {p.doc_id for p in pieces} == set(left)
     whole = {tuple(r) for r in P.run(spark, d).select("doc_id", "start", "length", "ids_crc32").collect()}
     assert {r[0] for r in whole} == set(left)
+
+
+def test_repeated_rows_and_empty_tables(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    one, two, three = (prose(rng, 90) for _ in range(3))
+    rows = [(1, one), (1, one), (2, two), (None, two), (None, three), (None, three), (7, None), (7, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    d = f"file://{tmp_path}"
+    left = P.substrings(spark, P.near_duplicates(spark, df, d), d)
+    assert sorted((r.text for r in left.collect() if r.text)) == sorted([one, two, three])
+    pieces = P.packing(spark, left, d).collect()
+    assert sorted({p.doc_id for p in pieces}, key=str) == [1, 2, 7, None]
+
+    df.limit(0).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    assert P.run(spark, d).count() == 0
