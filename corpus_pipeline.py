@@ -24,7 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group; rows without doc_id all stay."""
+    """The document of the smallest doc_id of each group. Of exact repeats of a row one stays, and of rows without
+    doc_id one of each text that no row with a doc_id has, so that the next stage cuts no text out of all its copies."""
     return keep_one(docs, near_dedup(docs)).select(*COLUMNS)
 
 
