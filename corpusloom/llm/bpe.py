@@ -16,6 +16,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from corpusloom.llm._common import chunks, mix64, ship, table
 
@@ -31,11 +32,48 @@ _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 @lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
-    """The kind of each code point."""
+    """The kind of each code point, read off the library's own pattern engine, whose Unicode version decides.
+
+    All code points in one text: what is in no pre-token is space, and one of each other run tells its kind.
+    """
+    split = pre_tokenizers.Split(Regex(_PATTERN), "removed", invert=True)
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    everything = "".join(map(chr, points))
+    found = np.full(len(points), _SPACE, np.uint8)
+    for piece, (start, stop) in split.pre_tokenize_str(everything):
+        if len(split.pre_tokenize_str("a" + piece[0])) == 1:
+            found[start:stop] = _LETTER
+        else:
+            found[start:stop] = _OTHER if len(split.pre_tokenize_str(piece[0] * 2)) == 1 else _NUMBER
     out = np.full(0x110000, _OTHER, np.uint8)
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\p{White_Space}")):
-        out[[ord(c) for c in regex.findall(pattern, everything)]] = kind
+    out[points] = found
+    return out
+
+
+@lru_cache(maxsize=1)
+def _other_version() -> np.ndarray:
+    """Code points that Python's Unicode version and the library's may treat differently: those that Python's
+    doesn't know, marks that the two order differently, and marks that only one of them composes."""
+    own = normalizers.NFC()
+    odd = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+    same = lambda text: own.normalize_str(text) == unicodedata.normalize("NFC", text)
+    for c in map(chr, [*range(0x300, 0xD800), *range(0xE000, 0x110000)]):
+        if unicodedata.combining(c) and not (same("q\u0315" + c) and same("q" + c + "\u0301") and same("q" + c + "\u0334")):
+            odd[ord(c)] = True
+        elif unicodedata.decomposition(c)[:1] not in ("", "<"):
+            parts = unicodedata.normalize("NFD", c)
+            if not (same(c) and same(parts)):
+                odd[[ord(c), ord(parts[-1])]] = True
+    return odd
+
+
+def _normal(parts: list[str]) -> list[str]:
+    """Composed and in lower case. Capital sigma is lower-cased alike everywhere, at the end of words too."""
+    out = [unicodedata.normalize("NFC", x).replace("Σ", "σ").lower() for x in parts]
+    known = [x.isascii() or not _other_version()[np.frombuffer(x.encode("utf-32-le"), np.uint32)].any() for x in parts]
+    if not all(known):
+        own = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        out = [y if k else own.normalize_str(x) for x, y, k in zip(parts, out, known, strict=True)]
     return out
 
 
@@ -302,8 +340,7 @@ class Bpe:
                 start = m.end()
             parts.append((text or "")[start:])
             plan.append([*steps, None])
-        # capital sigma is lower-cased alike everywhere, at the end of words too
-        parts = [unicodedata.normalize("NFC", x).replace("Σ", "σ").lower() for x in parts]
+        parts = _normal(parts)
         text = "\n".join(parts)
         encoded = text.encode()
         raw = np.frombuffer(encoded, np.uint8)

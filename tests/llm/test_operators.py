@@ -168,6 +168,18 @@ def test_tokens(spark, docs, empty, tokenizer):
     assert bpe.encode(empty).count() == 0
 
 
+def test_tokens_of_every_code_point(tokenizer):
+    """Alone between letters, digits and signs, after an accent, and next to its neighbours."""
+    own = bpe.load(bpe.default_path())
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    texts = ["".join(map(chr, points[i : i + 256])) for i in range(0, len(points), 256)]
+    texts += ["".join(f"a{c}b1{c}!{c}e\u0301{c}\u0323\u0301 " for c in map(chr, points[i : i + 64])) for i in range(0, len(points), 64) if i < 0x33500 or i >= 0xE0000]
+    for i in range(0, len(texts), 256):
+        part = texts[i : i + 256]
+        for text, ids, want in zip(part, own.encode_all(part), tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, hex(ord(text[0]))
+
+
 def test_packing(docs, empty, tokenizer):
     pieces = packing.pack(docs, group=16).collect()
     by, sequences = collections.defaultdict(list), collections.defaultdict(list)
