@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vocab as V
-from corpusloom.functions.text import casefold, count_of
+from corpusloom.functions.text import count_of
 
 
 def strings(items: Iterable[str]) -> Column:
@@ -127,9 +127,11 @@ def tier_value(tier: Column, field: int, kind: str) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown tier "), F.coalesce(tier, F.lit("null")))).cast(kind))
 
 
-def primitive_tags(text: Column, primitives: dict[str, Sequence[str]] = V.PRIMITIVES, unknown: str = V.UNKNOWN_PRIMITIVE) -> Column:
-    """All tags with a needle in the case-folded text, in table order; ``unknown`` if there is none."""
-    folded = casefold(text)
+def primitive_tags(folded: Column, primitives: dict[str, Sequence[str]] = V.PRIMITIVES, unknown: str = V.UNKNOWN_PRIMITIVE) -> Column:
+    """All tags with a needle in the text, in table order; ``unknown`` if there is none.
+
+    ``folded`` is a column that holds the case-folded text: an expression would be worked out anew for every needle.
+    """
     tags = F.array_compact(F.array(*(F.when(any_of(folded, needles), tag) for tag, needles in primitives.items())))
     return F.when(F.size(tags) == 0, strings([unknown])).otherwise(tags)
 
@@ -151,8 +153,8 @@ def payload_json(lowered: Column) -> Column:
     return F.when(payload.isNotNull(), F.to_json(payload))
 
 
-def landmarks(payload_landmarks: Column, canonical: Column) -> Column:
-    """Distinct landmarks of the payload in order; if it has none, those named in the text."""
+def landmarks(payload_landmarks: Column, folded: Column) -> Column:
+    """Distinct landmarks of the payload in order; if it has none, those named in the text, a column that holds it case-folded."""
     own = F.coalesce(payload_landmarks, strings([]))
-    named = F.array_sort(F.filter(strings("the " + n for n in V.LANDMARK_NOUNS), lambda p: F.contains(casefold(F.coalesce(canonical, F.lit(""))), p)))
+    named = F.array_sort(F.filter(strings("the " + n for n in V.LANDMARK_NOUNS), lambda p: F.contains(folded, p)))
     return F.when(F.size(own) > 0, F.array_sort(F.array_distinct(own))).otherwise(named)

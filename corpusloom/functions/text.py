@@ -6,15 +6,19 @@ White space is what Unicode calls so and the four separators U+001C to U+001F. N
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vocab as V
 
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: Spelled out: a class that Java looks up in Unicode tables takes several times as long.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_S = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE = f"{_S}+"
 
 
 def _col(c: Column | str) -> Column:
@@ -43,19 +47,32 @@ def strip_period(c: Column | str) -> Column:
     return F.when(F.endswith(c, F.lit(".")), F.substr(c, F.lit(1), F.length(c) - 1)).otherwise(c)
 
 
+def _where(c: Column, patterns: list[tuple[str, str]], part: Callable[[Column], Column] = lambda t: t) -> Column:
+    """The (pattern, replacement) pairs one after the other, if any of the patterns is found in ``part`` of the text.
+
+    One search tells for most texts that nothing is to be done. The lambda holds the text: an expression
+    would be worked out anew at each use.
+    """
+    some = "|".join(f"(?:{p})" for p, _ in patterns)
+    replaced = lambda t: reduce(lambda x, p: F.regexp_replace(x, *p), patterns, t)
+    return F.get(F.transform(F.array(c), lambda t: F.when(F.regexp_like(part(t), F.lit(some)), replaced(t)).otherwise(t)), F.lit(0))
+
+
 def robot_natural(c: Column | str) -> Column:
     """Plain wording: neutral adverbs dropped, verbs of moving unified, ended by one full stop.
 
-    Each pattern applies once, in the vocabulary's order; case doesn't matter to them.
+    Each pattern applies once, in the vocabulary's order; case doesn't matter to them. Those that hold to an
+    end of the text are looked for there, in as many characters as the longest takes and some.
     """
-    out = F.regexp_replace(strip_period(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
-    for phrase in V.LEADING:
-        out = F.regexp_replace(out, rf"(?iuUd)^{re.escape(phrase)}[\s\x1c-\x1f]+", "")
-    for phrase in V.TRAILING:
-        out = F.regexp_replace(out, rf"(?iuUd)[\s\x1c-\x1f]+{re.escape(phrase)}$", "")
-    for phrase, start, new in V.REWRITES:
-        out = F.regexp_replace(out, rf"(?iuUd){'^' if start else chr(92) + 'b'}{re.escape(phrase)}\b", new)
-    out = F.regexp_replace(F.regexp_replace(out, SPACE, " "), r"^[ ,;]+|[ ,;]+\z", "")
+    most = 8 + max(len(p) for p in (*V.LEADING, *V.TRAILING, *(p for p, _, _ in V.REWRITES)))
+    head, tail = lambda t: F.left(t, F.lit(most)), lambda t: F.right(t, F.lit(most))
+    out = F.btrim(strip_period(c), F.lit(SPACES))
+    out = _where(out, [(rf"(?iud)^{re.escape(phrase)}{SPACE}", "") for phrase in V.LEADING], head)
+    out = _where(out, [(rf"(?iud){SPACE}{re.escape(phrase)}$", "") for phrase in V.TRAILING], tail)
+    for start, rules in groupby(V.REWRITES, key=lambda r: r[1]):
+        patterns = [(rf"(?iuUd){'^' if start else chr(92) + 'b'}{re.escape(phrase)}\b", new) for phrase, _, new in rules]
+        out = _where(out, patterns, head) if start else _where(out, patterns)
+    out = F.btrim(F.regexp_replace(out, SPACE, " "), F.lit(" ,;"))
     return F.concat(sentence_case(out), F.lit("."))
 
 

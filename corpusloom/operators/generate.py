@@ -95,10 +95,10 @@ def select_corpus(pool: DataFrame) -> DataFrame:
     return chosen.withColumn("review_required", review).join(before, "tier").withColumn("number", F.col("first") + F.col("rank") - 1).drop("first")
 
 
-def entry_columns(selected: DataFrame) -> DataFrame:
-    """The raw corpus record of each selected instruction."""
+def entry_columns(selected: DataFrame, *keep: str) -> DataFrame:
+    """The raw corpus record of each selected instruction, behind it the columns ``keep``."""
     tier = F.col("tier")
-    df = selected.select("tier", "number", "review_required", F.col("prompt").alias("canonical"), F.lower("prompt").alias("low"), X.robot_natural("prompt").alias("natural"))
+    df = selected.select(*keep, "tier", "number", "review_required", F.col("prompt").alias("canonical"), F.lower("prompt").alias("low"), X.robot_natural("prompt").alias("natural"))
     low = F.col("low")
     df = df.withColumns({"motion_family": R.motion_family(tier, low), "constraint_type": R.constraint_type(low), "feasibility": R.robot_feasibility(tier, low), "ambiguity_type": R.ambiguity_type(low)})
     ambiguous = F.col("ambiguity_type").isNotNull()
@@ -142,6 +142,7 @@ def entry_columns(selected: DataFrame) -> DataFrame:
             F.lit("unverified").alias("validation_status"),
             R.split_of(F.col("number")).alias("split"),
         ).alias("metadata"),
+        *keep,
     )
 
 

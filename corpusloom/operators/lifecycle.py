@@ -11,16 +11,6 @@ from corpusloom.functions import rules as R
 from corpusloom.functions import text as X
 from corpusloom.functions import vocab as V
 
-CHECKS_TYPE = "struct<" + ",".join(f"{c}:boolean" for c in V.CHECKS) + ">"
-BLOCK_TYPE = (
-    "struct<language:string,literal:string,robot_natural:string,status:string,translation_notes:array<string>,"
-    f"verification:{CHECKS_TYPE},metadata:struct<translation_style_options:array<string>,ambiguity_flag:boolean,ambiguity_type:string,"
-    "requires_scene_context:boolean,requires_body_reference:boolean,safe_for_direct_execution:boolean>,"
-    "review:struct<bilingual_reviewer:string,adjudicator:string,review_status:string,review_notes:string>,"
-    "provenance:struct<source_language:string,source_prompt_id:string,source_canonical:string,source_robot_natural:string,translation_model:string,translation_method:string>>"
-)
-
-
 def block_name(code: str) -> str:
     return f"translation_{code}"
 
@@ -45,26 +35,26 @@ def field(df: DataFrame, path: str, default: Column) -> Column:
 
 
 def pending_block(code: str, prompt_id: Column, canonical: Column, natural: Column, metadata: dict[str, Column]) -> Column:
-    """The block of a language before translation."""
-    block = F.struct(
+    """The block of a language before translation. Its fields have their types one by one: a cast of the whole
+    would keep the optimizer from leaving out those that nobody reads."""
+    return F.struct(
         F.lit(V.LANGUAGES[code][0]).alias("language"),
         _null().alias("literal"),
         _null().alias("robot_natural"),
         F.lit("pending").alias("status"),
         R.strings([]).alias("translation_notes"),
         F.struct(*(_null("boolean").alias(c) for c in V.CHECKS)).alias("verification"),
-        F.struct(R.strings(["literal", "robot_natural"]).alias("translation_style_options"), *(c.alias(n) for n, c in metadata.items())).alias("metadata"),
+        F.struct(R.strings(["literal", "robot_natural"]).alias("translation_style_options"), *(c.cast("string" if n == "ambiguity_type" else "boolean").alias(n) for n, c in metadata.items())).alias("metadata"),
         F.struct(_null().alias("bilingual_reviewer"), _null().alias("adjudicator"), F.lit("pending").alias("review_status"), _null().alias("review_notes")).alias("review"),
         F.struct(
             F.lit("en").alias("source_language"),
-            prompt_id.alias("source_prompt_id"),
+            prompt_id.cast("string").alias("source_prompt_id"),
             canonical.alias("source_canonical"),
             natural.alias("source_robot_natural"),
             _null().alias("translation_model"),
             _null().alias("translation_method"),
         ).alias("provenance"),
     )
-    return block.cast(BLOCK_TYPE)
 
 
 def make_ready(raw: DataFrame, *, label: str = "validated_assumed", overwrite: bool = True) -> DataFrame:
@@ -72,7 +62,7 @@ def make_ready(raw: DataFrame, *, label: str = "validated_assumed", overwrite: b
     missing or empty, protocol and pipeline state set, a pending block for each language.
 
     Preparing again drops the translations that records have; with ``overwrite=False`` that is refused.
-    One projection.
+    Two projections, the first of which folds the text once for all that looks into it.
     """
     if not overwrite and any(_has(raw, block_name(c)) for c in V.LANGUAGES):
         raise ValueError("the records have translation blocks already")
@@ -99,29 +89,30 @@ def make_ready(raw: DataFrame, *, label: str = "validated_assumed", overwrite: b
     forms = F.struct(F.struct(canonical.alias("canonical"), natural.alias("robot_natural")).alias("en"), *(field(raw, f"instruction_multilingual.{c}", stub).alias(c) for c in V.LANGUAGES))
     stamped = F.col("metadata") if _has(raw, "metadata") else F.struct(F.lit("").alias("translation_status"))
     validator = F.col(V.VALIDATOR) if _has(raw, V.VALIDATOR) else F.struct(F.lit(True).alias("validated"))
-    return raw.withColumns(
+    return raw.withColumn("_folded", X.casefold(canonical)).withColumns(
         {
             V.VALIDATOR: validator.withField("validated", F.lit(True)).withField("validation_status", F.lit(label)),
             "metadata": stamped.withField("translation_status", F.lit("ready_for_translation")).withField("validation_status", F.lit(label)),
             "subtier": F.coalesce(F.nullif(field(raw, "subtier", _null()), F.lit("")), R.subtier(F.col("tier"))),
-            "primitive_tags": F.coalesce(full(field(raw, "primitive_tags", _null("array<string>"))), R.primitive_tags(canonical)),
-            "landmarks": F.coalesce(full(field(raw, "landmarks", _null("array<string>"))), R.landmarks(own_landmarks, canonical)),
+            "primitive_tags": F.coalesce(full(field(raw, "primitive_tags", _null("array<string>"))), R.primitive_tags(F.col("_folded"))),
+            "landmarks": F.coalesce(full(field(raw, "landmarks", _null("array<string>"))), R.landmarks(own_landmarks, F.col("_folded"))),
             "translation_protocol": protocol,
             "pipeline": F.struct(*(F.lit(v).alias(k) for k, v in state.items()), *done, _null().alias("review_gate")),
             "instruction_multilingual": forms,
             **{block_name(c): pending_block(c, F.col("prompt_id"), canonical, natural, metadata) for c in V.LANGUAGES},
         }
-    )
+    ).drop("_folded")
 
 
-def blocks(records: DataFrame) -> Column:
+def blocks(fields: tuple[str, ...]) -> Column:
     """The record's blocks as an array of (lang_ord, language_code, block), in the order of the languages."""
-    return F.array(*(F.struct(F.lit(i).alias("lang_ord"), F.lit(c).alias("code"), F.col(block_name(c)).alias("block")) for i, c in enumerate(V.LANGUAGES)))
+    some = lambda b: F.struct(*(b[f].alias(f) for f in fields))
+    return F.array(*(F.struct(F.lit(i).alias("lang_ord"), F.lit(c).alias("code"), some(F.col(block_name(c))).alias("block")) for i, c in enumerate(V.LANGUAGES)))
 
 
-def long_form(records: DataFrame, *keep: str) -> DataFrame:
-    """One row for each record and language: ``keep``, lang_ord, code, block."""
-    return records.select(*keep, F.inline(blocks(records)))
+def long_form(records: DataFrame, *keep: str | Column, fields: tuple[str, ...]) -> DataFrame:
+    """One row for each record and language: ``keep``, lang_ord, code, block with those of its fields that are named."""
+    return records.select(*keep, F.inline(blocks(fields)))
 
 
 def text_given(c: Column) -> Column:
@@ -229,7 +220,7 @@ def missing_translations(records: DataFrame) -> DataFrame:
     """prompt_id, lang_ord, code of languages without a literal or a natural form; blanks count as text here."""
     b = F.col("block")
     none = lambda n: F.coalesce(b[n], F.lit("")) == ""
-    return long_form(records, "prompt_id").where(none("literal") | none("robot_natural")).select("prompt_id", "lang_ord", "code")
+    return long_form(records, "prompt_id", fields=("literal", "robot_natural")).where(none("literal") | none("robot_natural")).select("prompt_id", "lang_ord", "code")
 
 
 def unapproved(records: DataFrame) -> DataFrame:

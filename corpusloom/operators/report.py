@@ -34,7 +34,7 @@ def manifest(records: DataFrame) -> DataFrame:
     )
     b = F.col("block")
     name = F.element_at(F.create_map(*(F.lit(x) for c, (n, _) in V.LANGUAGES.items() for x in (c, n))), F.col("code"))
-    return long_form(kept, "prompt_id", "tier", "subtier", "instruction_en", "context").select(
+    return long_form(kept, "prompt_id", "tier", "subtier", "instruction_en", "context", fields=("literal", "robot_natural", "verification", "review", "translation_notes")).select(
         "prompt_id",
         "tier",
         "subtier",
@@ -67,7 +67,7 @@ def summary(records: DataFrame, assumptions: dict[str, Any]) -> dict[str, Any]:
     tiers = dict(sorted(tiers.items(), key=lambda x: (x[0] is None, x[0] or "")))
     total = sum(tiers.values())
     b = F.col("block")
-    long = long_form(records)
+    long = long_form(records, fields=("status", "review", "verification"))
     groups = long.groupBy("code", F.coalesce(b["status"], F.lit("missing")).alias("status"), F.coalesce(b["review"]["review_status"], F.lit("missing")).alias("review"))
     rows = groups.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.coalesce(b["verification"][c], F.lit(False))).alias(c) for c in V.CHECKS)).collect()
     status: dict[str, dict[str, int]] = {}
@@ -107,7 +107,7 @@ def job_counts(long: DataFrame, status: Column, literal: Column, natural: Column
 
 def run_state(records: DataFrame, *, method: str, model: str, verifier: str | None, completed: int, total: int) -> dict[str, Any]:
     b = F.col("block")
-    jobs = job_counts(long_form(records), b["status"], b["literal"], b["robot_natural"]).first()
+    jobs = job_counts(long_form(records, fields=("status", "literal", "robot_natural")), b["status"], b["literal"], b["robot_natural"]).first()
     return {"translation_method": method, "translation_model": model, "verification_model": verifier, "completed_batches": completed, "total_batches": total, **jobs.asDict()}
 
 

@@ -39,10 +39,10 @@ TIER = "'T' || (1 + doc_id % 7)"
 
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, tier, canonical, low of each document."""
+    """doc_id, lang, tier, canonical, low, folded of each document."""
     docs = read(spark, sf_dir, "documents")
     tier = F.concat(F.lit("T"), (1 + F.pmod("doc_id", F.lit(7))).cast("string"))
-    return docs.select("doc_id", "lang", tier.alias("tier"), F.col("text").alias("canonical"), F.lower("text").alias("low"))
+    return docs.select("doc_id", "lang", tier.alias("tier"), F.col("text").alias("canonical"), F.lower("text").alias("low"), X.casefold("text").alias("folded"))
 
 
 DOCS = f"docs AS (SELECT doc_id, lang, {TIER} AS tier, text AS canonical, {S.lower('text')} AS low FROM documents)"
@@ -76,12 +76,12 @@ on_documents("needs_body", lambda: R.needs_body(F.col("low")), S.any_of("low", V
 on_documents("needs_postprocess", lambda: R.needs_postprocess(F.col("tier"), R.constraint_type(F.col("low"))), f"tier IN ('T4', 'T6', 'T7') OR {S.constraint_type('low')} <> 'none'")
 on_documents("safe_to_execute", lambda: R.safe_to_execute(R.robot_feasibility(F.col("tier"), F.col("low")), R.ambiguity_flag(F.col("low"))), f"({S.robot_feasibility('tier', 'low')}) = 'safe' AND ({S.ambiguity_type('low')}) IS NULL")
 on_documents("assign_split", lambda: R.split_of(F.col("doc_id")), S.split_of("doc_id"))
-on_documents("tags_primitive", lambda: F.array_join(R.primitive_tags(F.col("canonical")), ","), f"array_to_string({S.primitive_tags(S.casefold('canonical'))}, ',')")
+on_documents("tags_primitive", lambda: F.array_join(R.primitive_tags(F.col("folded")), ","), f"array_to_string({S.primitive_tags(S.casefold('canonical'))}, ',')")
 #: Terms that do occur in the documents.
 OCCURRING = {"article": ("the ", "der ", "les "), "joining": (" and ", " und ", " et "), "preposition": (" of ", " von ", " de "), "rare": ("license", "contact")}
 on_documents(
     "tags_vocabulary",
-    lambda: F.array_join(R.primitive_tags(F.col("canonical"), OCCURRING, "none"), ","),
+    lambda: F.array_join(R.primitive_tags(F.col("folded"), OCCURRING, "none"), ","),
     "array_to_string(CASE WHEN len(tags) = 0 THEN ['none'] ELSE tags END, ',') AS value FROM (SELECT doc_id, list_filter(["
     + ", ".join(f"CASE WHEN {S.any_of('f', n)} THEN {S.q(t)} END" for t, n in OCCURRING.items())
     + f"], lambda t: t IS NOT NULL) AS tags FROM (SELECT doc_id, {S.casefold('canonical')} AS f FROM docs)) -- ",
@@ -105,7 +105,7 @@ def on_prompts(name: str, columns: Callable[[], dict[str, Column]], sql: dict[st
     """Over all distinct candidates of all tiers."""
     register(
         name,
-        lambda spark, d: unique(spark).withColumn("low", F.lower("prompt")).select("tier", "prompt", *(c.alias(n) for n, c in columns().items())),
+        lambda spark, d: unique(spark).withColumns({"low": F.lower("prompt"), "folded": X.casefold("prompt")}).select("tier", "prompt", *(c.alias(n) for n, c in columns().items())),
         f"WITH {S.pool()}, p AS (SELECT tier, prompt, lower(prompt) AS low FROM ranked) SELECT tier, prompt, {', '.join(f'{e} AS {n}' for n, e in sql.items())} FROM p",
     )
 
@@ -115,7 +115,7 @@ on_prompts(
     "annotate_prompts",
     lambda: {"family": R.motion_family(F.col("tier"), F.col("low")), "kind": R.constraint_type(F.col("low")), "locomotion": R.locomotion_type(F.col("low")), "feasibility": R.robot_feasibility(F.col("tier"), F.col("low")),
      "terrain": R.terrain_dependence(F.col("low")), "contact": R.contact_complexity(F.col("tier"), F.col("low")), "structure": R.compositional_structure(F.col("tier"), F.col("low")), "ambiguity": R.ambiguity_type(F.col("low")),
-     "tags": F.array_join(R.primitive_tags(F.col("prompt")), ",")},
+     "tags": F.array_join(R.primitive_tags(F.col("folded")), ",")},
     {"family": S.motion_family("tier", "low"), "kind": S.constraint_type("low"), "locomotion": S.locomotion_type("low"), "feasibility": S.robot_feasibility("tier", "low"),
      "terrain": S.terrain_dependence("low"), "contact": S.contact_complexity("tier", "low"), "structure": S.compositional_structure("tier", "low"), "ambiguity": S.ambiguity_type("low"),
      "tags": f"array_to_string({S.primitive_tags('low')}, ',')"},
@@ -134,7 +134,7 @@ on_prompts(
 )
 on_prompts(
     "landmarks_extract",
-    lambda: {"landmarks": F.array_join(R.landmarks(_payload()["landmarks"], F.col("prompt")), ",")},
+    lambda: {"landmarks": F.array_join(R.landmarks(_payload()["landmarks"], F.col("folded")), ",")},
     {"landmarks": f"array_to_string(CASE WHEN len({S.bank_in('low', 'landmark')}) > 0 THEN list_sort({S.bank_in('low', 'landmark')}) ELSE {S.landmarks_in('low')} END, ',')"},
 )
 register("dedupe_casefold", lambda spark, d: unique(spark).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("prompt").alias("least")), f"WITH {S.pool()} SELECT tier, count(*) AS n, min(prompt) AS least FROM ranked GROUP BY tier")
@@ -220,10 +220,7 @@ def translated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     (quality 0), every tenth with a blank form; reviews are approved unless the label says toxic."""
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
     prompt = docs.select(F.concat(F.lit("T"), (1 + F.pmod("doc_id", F.lit(7))).cast("string")).alias("tier"), F.col("text").alias("prompt"), F.col("doc_id").alias("number"), (F.pmod("doc_id", F.lit(5)) == 0).alias("review_required"), "quality", "toxic")
-    # entry columns drop what they don't know; the labels ride along by number
-    entries = G.entry_columns(prompt).withColumn("_id", F.substr("prompt_id", F.lit(len("kimodo_") + 1)).cast("long"))
-    marks = prompt.select(F.col("number").alias("_id"), "quality", "toxic")
-    ready = L.make_ready(entries).join(marks, "_id").withColumn("doc_id", F.col("_id")).drop("_id")
+    ready = L.make_ready(G.entry_columns(prompt.withColumn("doc_id", F.col("number")), "doc_id", "quality", "toxic"))
     canonical = F.col("instruction_en.canonical")
     for i, code in enumerate(V.LANGUAGES):
         b = F.col(L.block_name(code))
@@ -265,12 +262,12 @@ on_records("pending_batches", lambda r: L.batches(L.pending(r).select("prompt_id
 on_records("pending_batches_first", lambda r: L.batches(L.pending(r).select("prompt_id"), "prompt_id", 32, 3), "SELECT * FROM (SELECT prompt_id, (row_number() OVER (ORDER BY prompt_id) - 1) // 32 AS batch FROM (SELECT DISTINCT prompt_id FROM jobs WHERE NOT complete)) WHERE batch < 3")
 on_records("limit_first_n", lambda r: L.first_rows(r.select("prompt_id", "tier"), "prompt_id", 200), "SELECT prompt_id, tier FROM jobs WHERE lang_ord = 0 ORDER BY prompt_id LIMIT 200")
 on_records("limit_negative_n", lambda r: L.first_rows(r.select("prompt_id", "tier"), "prompt_id", -50), "SELECT prompt_id, tier FROM (SELECT *, row_number() OVER (ORDER BY prompt_id DESC) AS n FROM jobs WHERE lang_ord = 0) WHERE n > 50")
-on_records("status_counts", lambda r: P.status_counts(L.long_form(r), _block("status")), "SELECT code, coalesce(status, 'missing') AS status, count(*) AS n FROM long GROUP BY ALL")
-on_records("review_counts", lambda r: P.status_counts(L.long_form(r), _block("review")["review_status"]), "SELECT code, coalesce(review, 'missing') AS status, count(*) AS n FROM long GROUP BY ALL")
+on_records("status_counts", lambda r: P.status_counts(L.long_form(r, fields=("status",)), _block("status")), "SELECT code, coalesce(status, 'missing') AS status, count(*) AS n FROM long GROUP BY ALL")
+on_records("review_counts", lambda r: P.status_counts(L.long_form(r, fields=("review",)), _block("review")["review_status"]), "SELECT code, coalesce(review, 'missing') AS status, count(*) AS n FROM long GROUP BY ALL")
 on_records("tier_counts", lambda r: r.groupBy("tier").agg(F.count(F.lit(1)).alias("n")), "SELECT tier, count(*) AS n FROM joined GROUP BY tier")
-on_records("tier_language_counts", lambda r: L.long_form(r, "tier").groupBy("tier").pivot("code", list(V.LANGUAGES)).count(), "SELECT tier, count(*) FILTER (code = 'hi') AS hi, count(*) FILTER (code = 'bn') AS bn, count(*) FILTER (code = 'te') AS te FROM long GROUP BY tier")
-on_records("verification_pass_counts", lambda r: P.pass_counts(L.long_form(r), {c: _block("verification")[c] for c in V.CHECKS}), "SELECT code, " + ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in V.CHECKS) + " FROM long GROUP BY code HAVING " + " + ".join(f"count(*) FILTER ({c})" for c in V.CHECKS) + " > 0")
-on_records("run_state", lambda r: P.job_counts(L.long_form(r), _block("status"), _block("literal"), _block("robot_natural")), "SELECT count(*) FILTER (complete) AS translated_language_jobs, count(*) FILTER (NOT complete) AS pending_language_jobs FROM jobs")
+on_records("tier_language_counts", lambda r: L.long_form(r, "tier", fields=("language",)).groupBy("tier").pivot("code", list(V.LANGUAGES)).count(), "SELECT tier, count(*) FILTER (code = 'hi') AS hi, count(*) FILTER (code = 'bn') AS bn, count(*) FILTER (code = 'te') AS te FROM long GROUP BY tier")
+on_records("verification_pass_counts", lambda r: P.pass_counts(L.long_form(r, fields=("verification",)), {c: _block("verification")[c] for c in V.CHECKS}), "SELECT code, " + ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in V.CHECKS) + " FROM long GROUP BY code HAVING " + " + ".join(f"count(*) FILTER ({c})" for c in V.CHECKS) + " > 0")
+on_records("run_state", lambda r: P.job_counts(L.long_form(r, fields=("status", "literal", "robot_natural")), _block("status"), _block("literal"), _block("robot_natural")), "SELECT count(*) FILTER (complete) AS translated_language_jobs, count(*) FILTER (NOT complete) AS pending_language_jobs FROM jobs")
 
 
 def corpus_summary(records: DataFrame) -> DataFrame:
@@ -297,7 +294,7 @@ on_records(
 )
 on_records(
     "language_pivot",
-    lambda r: L.long_form(r, "prompt_id").groupBy("prompt_id").pivot("code", list(V.LANGUAGES)).agg(F.first(_block("literal"))),
+    lambda r: L.long_form(r, "prompt_id", fields=("literal",)).groupBy("prompt_id").pivot("code", list(V.LANGUAGES)).agg(F.first(_block("literal"))),
     "SELECT prompt_id, max(literal) FILTER (code = 'hi') AS hi, max(literal) FILTER (code = 'bn') AS bn, max(literal) FILTER (code = 'te') AS te FROM long GROUP BY prompt_id",
 )
 _FLAT = ("prompt_id", "tier", "subtier", "constraint_type", "english_canonical", "split", "translation_status", "primitive_tags", "hindi_canonical", "hindi_robot", "bn_bengali_status", "te_telugu_review_status", "te_telugu_translation_notes", "hi_hindi_action_preservation")
@@ -415,7 +412,7 @@ register(
 
 def tag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, tag, n: how many documents of each language have each tag."""
-    tagged = instructions(spark, sf_dir).select("lang", F.explode(R.primitive_tags(F.col("canonical"))).alias("tag"))
+    tagged = instructions(spark, sf_dir).select("lang", F.explode(R.primitive_tags(F.col("folded"))).alias("tag"))
     return tagged.groupBy("lang", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -65,7 +65,7 @@ def jobs(records: DataFrame, *, whole_records: bool = False) -> DataFrame:
     """prompt_id, code, canonical, natural of what is to be translated: incomplete languages, or with
     ``whole_records`` all languages of records with any."""
     b = F.col("block")
-    long = long_form(records, "prompt_id", F.col("instruction_en.canonical").alias("canonical"), F.col("instruction_en.robot_natural").alias("natural"))
+    long = long_form(records, "prompt_id", F.col("instruction_en.canonical").alias("canonical"), F.col("instruction_en.robot_natural").alias("natural"), fields=("status", "literal", "robot_natural"))
     open_ = long.where(~block_complete(b["status"], b["literal"], b["robot_natural"])).select("prompt_id", "code", "canonical", "natural")
     if whole_records:
         ids = open_.select("prompt_id").distinct()
@@ -81,7 +81,10 @@ def translate(todo: DataFrame, load: Load, *, verify: bool = True, batch_size: i
     if batch_size < 1:
         raise ValueError("a batch has at least one row")
     ship(todo.sparkSession)
-    raw = todo.select("prompt_id", "code", "canonical", "natural").mapInPandas(_batch_runner(load, verify, batch_size), DONE)
+    # the model costs most by far: its work is dealt evenly, however the records came to lie
+    parts = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = todo.select("prompt_id", "code", "canonical", "natural").repartition(parts, "prompt_id", "code")
+    raw = dealt.mapInPandas(_batch_runner(load, verify, batch_size), DONE)
     for name in ("literal", "robot_natural"):
         cleaned = F.col(name)
         for code, (_, target) in V.LANGUAGES.items():

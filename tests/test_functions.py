@@ -70,7 +70,7 @@ def test_payload_matches_inside_words(spark):
 
 def test_structure_tags_split(spark):
     assert values(spark, ["Walk forward, and after that turn left."], v=R.compositional_structure(F.lit("T3"), F.col("low"))) == ["2_step_sequence"]
-    assert values(spark, ["Walk to the checkpoint.", "Xyz."], v=R.primitive_tags(F.col("t"))) == [["inspect"], [V.UNKNOWN_PRIMITIVE]]
+    assert values(spark, ["Walk to the checkpoint.", "Xyz."], v=R.primitive_tags(X.casefold("t"))) == [["inspect"], [V.UNKNOWN_PRIMITIVE]]
     assert [r[0] for r in spark.createDataFrame([(i,) for i in (0, 1, 2, 10, 11)], "n long").select(R.split_of(F.col("n"))).collect()] == ["dev", "test", "train", "dev", "test"]
 
 
