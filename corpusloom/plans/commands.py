@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import importlib
 from dataclasses import asdict, dataclass
+from functools import partial
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,7 @@ from corpusloom.operators import report as P
 from corpusloom.session import session
 from corpusloom.sources import records as S
 from corpusloom.streaming import translate as M
+from corpusloom.streaming.models import DEVICES, DTYPES, Seq2SeqTranslator, usable_verifier
 
 
 @dataclass
@@ -36,6 +38,11 @@ class Paths:
 
 def generate(spark: SparkSession, paths: Paths) -> None:
     S.write_jsonl(G.raw_corpus(spark), paths.raw, ("prompt_id",))
+    pool = G.dedupe_casefold(G.all_candidates(spark), "prompt", by=("tier",))
+    rows = G.selection_report(pool).orderBy("tier").collect()  # a row a tier
+    for r in rows:
+        print(f"{r.tier}: {r.raw:5d} generated, {r.pool:5d} in the review pool, {r.selected:5d} selected" + (f", short by {r.shortfall}" if r.shortfall else ""))
+    print(f"{sum(r.pool for r in rows)} candidates retained, {sum(r.selected for r in rows)} prompts selected, saved to {paths.raw}")
 
 
 def read_records(spark: SparkSession, path: str, ready: bool = True):
@@ -56,21 +63,36 @@ def prepare(spark: SparkSession, paths: Paths, *, label: str = "validated_assume
     _publish(read_records(spark, paths.ready), paths.manifest, paths.summary, {"validation_status_label": label})
 
 
-def translate(spark: SparkSession, paths: Paths, load: M.Load, *, model: str, verifier: str | None, method: str = "local", batch_size: int = 32, max_batches: int | None = None) -> bool:
-    """False if nothing was pending; then nothing is written and no model loaded."""
+def translate(
+    spark: SparkSession, paths: Paths, load: M.Load, *, model: str, back: M.Load | None = None, verifier: str | None = None, fallback: bool = True,
+    method: str = "local", batch_size: int = 32, batches_a_commit: int = 64, max_batches: int | None = None,
+) -> bool:
+    """False if nothing was pending; then nothing is written and no model loaded.
+
+    ``verifier`` names the model of the way back, which ``back`` makes (``load`` without it); None skips verification.
+    With ``fallback`` a run goes on unverified if that model is refused. The run state is written after every
+    commit of ``batches_a_commit`` batches, records, manifest and summary when the run ends.
+    """
     records = read_records(spark, paths.ready)
     todo = L.pending(records)
     waiting = todo.count()
     if not waiting or max_batches == 0:
         return False
-    total = -(-waiting // batch_size) if max_batches is None else min(max_batches, -(-waiting // batch_size))
+    if verifier is not None and not usable_verifier(spark, back or load, fallback=fallback):
+        verifier = None
+    state = {"method": method, "model": model, "verifier": verifier}
+
+    def progress(completed: int, total: int) -> None:
+        so_far = spark.read.parquet(paths.translations).dropDuplicates(["prompt_id", "code"])
+        now = P.run_state(L.merge_translations(records, so_far, model=model, method=method), **state, completed=completed, total=total)
+        S.write_json(spark, paths.state, now)
+
     chosen = L.batches(todo, "prompt_id", batch_size, max_batches).drop("batch")
-    done = M.translate_resumably(chosen, paths.translations, load, batch_size=batch_size, verify=verifier is not None)
+    done = M.translate_resumably(chosen, paths.translations, load, back=back, verify=verifier is not None, batch_size=batch_size, batches_a_commit=batches_a_commit, after=progress)
     S.write_jsonl(L.merge_translations(records, done, model=model, method=method), paths.ready, ("prompt_id",))
     merged = read_records(spark, paths.ready)
     names = {"translation_method": method, "translation_model": model, "verification_model": verifier}
     _publish(merged, paths.manifest, paths.summary, names)
-    S.write_json(spark, paths.state, P.run_state(merged, method=method, model=model, verifier=verifier, completed=total, total=total))
     return True
 
 
@@ -85,6 +107,11 @@ def export(spark: SparkSession, paths: Paths, *, limit: int | None = None) -> in
     return S.write_workbook(P.flat(L.first_rows(read_records(spark, paths.ready), "prompt_id", limit)), paths.workbook, ("prompt_id",))
 
 
+def _named(place: str) -> M.Load:
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("step", choices=["generate", "prepare", "translate", "finalize", "export"])
@@ -92,9 +119,16 @@ def main(args: list[str] | None = None) -> None:
         parser.add_argument(f"--{name.replace('_', '-')}", default=value)
     parser.add_argument("--limit", type=int)
     parser.add_argument("--validation-status-label", default="validated_assumed")
-    parser.add_argument("--translator", help="module:function that makes the model, e.g. corpusloom.streaming.translate:EchoTranslator")
-    parser.add_argument("--model", default="unnamed")
-    parser.add_argument("--verifier")
+    parser.add_argument("--translator", help="module:function that makes the model, e.g. corpusloom.streaming.translate:EchoTranslator; without it --model and --verifier are loaded")
+    parser.add_argument("--back-translator", help="the same for the way back")
+    parser.add_argument("--model", default="unnamed", help="name or folder of the model into the languages")
+    parser.add_argument("--verifier", help="name or folder of the model back to the source language")
+    parser.add_argument("--processor", help="module:name of what prepares sentences for the models")
+    parser.add_argument("--device", choices=DEVICES, default="auto")
+    parser.add_argument("--dtype", choices=DTYPES, default="auto")
+    parser.add_argument("--max-length", type=int, default=256)
+    parser.add_argument("--num-beams", type=int, default=5)
+    parser.add_argument("--allow-verification-fallback", action=argparse.BooleanOptionalAction, default=True)
     parser.add_argument("--skip-verification", action="store_true")
     parser.add_argument("--batch-size", type=int, default=32)
     parser.add_argument("--max-batches", type=int)
@@ -111,12 +145,15 @@ def main(args: list[str] | None = None) -> None:
     elif got.step == "prepare":
         prepare(spark, paths, label=got.validation_status_label, limit=got.limit)
     elif got.step == "translate":
-        if not got.translator:
-            parser.error("translate needs --translator")
-        module, _, name = got.translator.partition(":")
-        load = getattr(importlib.import_module(module), name)
+        if not got.translator and got.model == "unnamed":
+            parser.error("translate needs --translator or --model")
+        options = {n: getattr(got, n) for n in ("device", "dtype", "max_length", "num_beams", "processor")}
+        load = _named(got.translator) if got.translator else partial(Seq2SeqTranslator, got.model, **options)
         verifier = None if got.skip_verification else got.verifier or got.model
-        if not translate(spark, paths, load, model=got.model, verifier=verifier, batch_size=got.batch_size, max_batches=got.max_batches):
+        back = _named(got.back_translator) if got.back_translator else None
+        if back is None and got.verifier and not got.translator:
+            back = partial(Seq2SeqTranslator, got.verifier, **options)
+        if not translate(spark, paths, load, model=got.model, back=back, verifier=verifier, fallback=got.allow_verification_fallback, batch_size=got.batch_size, max_batches=got.max_batches):
             print("No pending translations.")
     elif got.step == "finalize":
         finalize(spark, paths, require_approved=got.require_approved_review)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -24,13 +25,19 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
-    """Renames, over what the target held before; what it held is gone only once the source is in place."""
+    """Renames, over what the target held before.
+
+    A file is replaced in one step. No file system does that for a folder: its old content is set aside first and
+    deleted once the new one is in place, and ``recover`` puts it back if a crash came between.
+    """
     src, fs = _path(spark, source)
     dst, _ = _path(spark, target)
     if dst.getParent() is not None:
         fs.mkdirs(dst.getParent())
     old = None
     if fs.exists(dst):
+        if fs.getFileStatus(src).isFile() and fs.getFileStatus(dst).isFile() and _replace(spark, src, dst):
+            return
         old, _ = _path(spark, f"{target}.old-{uuid.uuid4().hex}")
         fs.rename(dst, old)
     if not fs.rename(src, dst):
@@ -41,6 +48,29 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         fs.delete(old, True)
 
 
+def _replace(spark: SparkSession, src, dst) -> bool:
+    """Renames a file over another in one step; False where the store can't."""
+    sc = spark.sparkContext
+    fs = sc._jvm.org.apache.hadoop.fs
+    how = sc._gateway.new_array(fs.Options.Rename, 1)
+    how[0] = fs.Options.Rename.OVERWRITE
+    try:
+        fs.FileContext.getFileContext(src.toUri(), sc._jsc.hadoopConfiguration()).rename(src, dst, how)
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Where a folder is missing because a move was cut off, its old content takes its place again."""
+    p, fs = _path(spark, path.rstrip("/"))
+    if any(c in path for c in "*?[{,") or fs.exists(p) or not fs.exists(p.getParent()):
+        return
+    aside = [s.getPath() for s in fs.listStatus(p.getParent()) if s.getPath().getName().startswith(f"{p.getName()}.old-")]
+    if len(aside) == 1:
+        fs.rename(aside[0], p)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Writes one file beside the target, then renames it."""
     beside = f"{path}.new-{uuid.uuid4().hex}"

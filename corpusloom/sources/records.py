@@ -25,6 +25,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None
 
     With a schema only its fields are parsed. Without, the schema is inferred from all lines.
     """
+    files.recover(spark, path)
     reader = spark.read.option("mode", "FAILFAST")
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
@@ -42,8 +43,8 @@ def variant_text(v: str | Column, path: str, missing: Column) -> Column:
 
 
 def write_jsonl(df: DataFrame, path: str, order: tuple[str, ...] = (), *, single: bool = False) -> None:
-    """JSON lines in ``order``, nulls written, text not escaped. Readers see the old data or all of the new:
-    a folder is written beside the target, then renamed, so input and target may be the same path.
+    """JSON lines in ``order``, nulls written, text not escaped. A folder is written beside the target, then
+    renamed, so input and target may be the same path; after a crash ``read_jsonl`` finds the old data or all of the new.
 
     ``single`` makes one file instead of a folder of parts, by one task: for exports of known size.
     """

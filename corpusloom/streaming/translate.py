@@ -38,11 +38,14 @@ JOB = "prompt_id string, code string, canonical string, natural string"
 DONE = JOB + ", literal string, robot_natural string, literal_back string, natural_back string"
 
 
-def _batch_runner(load: Load, verify: bool, batch_size: int):
+def _batch_runner(load: Load, back_load: Load | None, batch_size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Translator | None = None
+        backward: Translator | None = None
         for frame in frames:
             model = model or load()
+            if back_load is not None:
+                backward = backward or (model if back_load is load else back_load())
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start : start + batch_size].copy()
                 for code, rows in part.groupby("code", sort=True):
@@ -53,7 +56,7 @@ def _batch_runner(load: Load, verify: bool, batch_size: int):
                         order = sentences.str.len().sort_values(kind="stable").index
                         made = model.translate(list(sentences[order]), V.SOURCE_CODE, target)
                         part.loc[order, column] = made
-                        part.loc[order, back] = model.translate(list(made), target, V.SOURCE_CODE) if verify else None
+                        part.loc[order, back] = backward.translate(list(made), target, V.SOURCE_CODE) if backward else None
                 for column in ("literal_back", "natural_back"):
                     part[column] = part[column].astype(object).where(part[column].notna(), None)
                 yield part[[c.split()[0] for c in DONE.split(", ")]]
@@ -73,9 +76,11 @@ def jobs(records: DataFrame, *, whole_records: bool = False) -> DataFrame:
     return open_
 
 
-def translate(todo: DataFrame, load: Load, *, verify: bool = True, batch_size: int = 32, engine: str = "the translation model", source_order: bool = False) -> DataFrame:
+def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify: bool = True, batch_size: int = 32, engine: str = "the translation model", source_order: bool = False) -> DataFrame:
     """Translations of jobs with their verification and notes: one Python stage, the checks in Catalyst.
 
+    ``back`` makes the model of the way back to the source language; without it the same model goes both ways.
+
     A model that isn't deterministic must have its result written before it is used twice.
     """
     if batch_size < 1:
@@ -84,7 +89,7 @@ def translate(todo: DataFrame, load: Load, *, verify: bool = True, batch_size: i
     # the model costs most by far: its work is dealt evenly, however the records came to lie
     parts = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = todo.select("prompt_id", "code", "canonical", "natural").repartition(parts, "prompt_id", "code")
-    raw = dealt.mapInPandas(_batch_runner(load, verify, batch_size), DONE)
+    raw = dealt.mapInPandas(_batch_runner(load, (back or load) if verify else None, batch_size), DONE)
     for name in ("literal", "robot_natural"):
         cleaned = F.col(name)
         for code, (_, target) in V.LANGUAGES.items():
@@ -101,12 +106,13 @@ def translate(todo: DataFrame, load: Load, *, verify: bool = True, batch_size: i
     return done.withColumn("translation_notes", notes).select("prompt_id", "code", "literal", "robot_natural", "verification", "translation_notes")
 
 
-def translate_resumably(records: DataFrame, path: str, load: Load, *, batch_size: int = 32, batches_a_commit: int = 64, max_batches: int | None = None, **options) -> DataFrame:
+def translate_resumably(records: DataFrame, path: str, load: Load, *, batch_size: int = 32, batches_a_commit: int = 64, max_batches: int | None = None, after: Callable[[int, int], None] | None = None, **options) -> DataFrame:
     """Translates what ``records`` and the table at ``path`` lack, appending a commit for every
     ``batches_a_commit`` batches; returns all translations in the table.
 
     A run that is stopped loses what its last commit had begun. No batch is taken twice, as what the
-    table holds is left out; a key that it holds more than once counts once.
+    table holds is left out; a key that it holds more than once counts once. ``after`` is told the number of
+    batches done, and of all, when a commit is in the table.
     """
     spark = records.sparkSession
     todo = jobs(records)
@@ -114,10 +120,12 @@ def translate_resumably(records: DataFrame, path: str, load: Load, *, batch_size
         todo = todo.join(spark.read.parquet(path).select("prompt_id", "code"), ["prompt_id", "code"], "left_anti")
     todo = batches(todo.withColumn("key", F.concat_ws("|", "prompt_id", "code")), "key", batch_size, max_batches)
     todo = todo.withColumn("commit", F.floor(F.col("batch") / batches_a_commit))
-    last = todo.agg(F.max("commit")).first()[0]
+    last, batches_ = todo.agg(F.max("commit"), F.max("batch") + 1).first()
     for commit in range(0 if last is None else last + 1):
         part = todo.where(F.col("commit") == commit)
         translate(part, load, batch_size=batch_size, **options).write.mode("append").parquet(path)
+        if after:
+            after(min((commit + 1) * batches_a_commit, batches_), batches_)
     if not files.exists(spark, path):
         return translate(todo, load, batch_size=batch_size, **options)
     return spark.read.parquet(path).dropDuplicates(["prompt_id", "code"])

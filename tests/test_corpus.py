@@ -1,7 +1,11 @@
 """Invariants of the generated corpus and of its way to a release."""
 
+import contextlib
 import json
+import os
+import sys
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from corpusloom.operators import lifecycle as L
 from corpusloom.operators import report as P
 from corpusloom.plans import commands as C
 from corpusloom.sources import records as S
+from corpusloom.streaming import models as K
 from corpusloom.streaming import translate as M
 
 #: Distinct candidates of each tier.
@@ -106,3 +111,107 @@ def test_rows_in_order(spark):
     assert {r.k: r.batch for r in L.batches(df, "k", 4).collect()} == {f"{i:02d}": i // 4 for i in range(10)}
     with pytest.raises(ValueError):
         L.batches(df, "k", 0)
+
+
+class Backward(M.EchoTranslator):
+    """A model of the way back only."""
+
+    def translate(self, sentences, source, target):
+        assert target == V.SOURCE_CODE
+        return [s.split("] ", 1)[-1] + " carefully" for s in sentences]
+
+
+def refused():
+    raise OSError("403 Client Error: access to model is restricted")
+
+
+def broken():
+    raise ValueError("no such weights")
+
+
+def test_two_models_and_a_verifier_that_is_refused(spark, raw, tmp_path):
+    paths = C.Paths(**{k: f"file://{tmp_path}/{v}" for k, v in C.asdict(C.Paths()).items()})
+    S.write_jsonl(raw.where("tier = 'T1' and prompt_id like '%07'"), paths.raw, ("prompt_id",))
+    C.prepare(spark, paths, limit=6)
+    with pytest.raises(RuntimeError, match="no such weights"):
+        C.translate(spark, paths, M.EchoTranslator, model="there", back=broken, verifier="back")
+    with pytest.raises(RuntimeError, match="403"):
+        C.translate(spark, paths, M.EchoTranslator, model="there", back=refused, verifier="back", fallback=False)
+    assert C.translate(spark, paths, M.EchoTranslator, model="there", back=refused, verifier="back", batch_size=2, max_batches=1)
+    state = json.loads((tmp_path / "corpus_build/translation_run_state.json").read_text())
+    assert state["verification_model"] is None and state["translated_language_jobs"] == 6 and state["pending_language_jobs"] == 12
+    seen = []
+    after = C.P.run_state
+    C.P.run_state = lambda *a, **k: seen.append((k["completed"], k["total"])) or after(*a, **k)
+    try:
+        assert C.translate(spark, paths, M.EchoTranslator, model="there", back=Backward, verifier="back", batch_size=2, batches_a_commit=2)
+    finally:
+        C.P.run_state = after
+    assert seen == [(2, 6), (4, 6), (6, 6)]
+    done = C.read_records(spark, paths.ready).orderBy("prompt_id").collect()
+    assert sum(r.translation_te.translation_notes[-1].endswith("was skipped for this run.") for r in done) == 2
+    assert sum(any(n.endswith(" carefully") for n in r.translation_te.translation_notes) for r in done) == 4
+
+
+def test_model_loading(tmp_path, monkeypatch):
+    assert K.is_access_error(OSError("You are trying to access a GATED REPO.")) and not K.is_access_error("time out")
+    assert K.is_network_error("Temporary failure in name resolution") and not K.is_network_error("gated repo")
+    for i, name in enumerate(("old", "new")):
+        (tmp_path / "models--a--b" / "snapshots" / name).mkdir(parents=True)
+        os.utime(tmp_path / "models--a--b" / "snapshots" / name, (i, i))
+    assert K.local_source("a/b", tmp_path).endswith("/new") and K.local_source("a/c", tmp_path) == "a/c" and K.local_source(str(tmp_path)) == str(tmp_path)
+    asked = []
+
+    class Batch(dict):
+        def to(self, device):
+            return self
+
+    class Tokenizer:
+        def __call__(self, batch, **options):
+            return Batch(ids=batch)
+
+        def batch_decode(self, made, **options):
+            return made
+
+    class Model:
+        def to(self, device):
+            self.device = device
+            return self
+
+        def generate(self, ids, **options):
+            return [f"{options['num_beams']} {x}" for x in ids]
+
+    def model(source, **options):
+        asked.append(options)
+        if len(asked) == 1:
+            raise ImportError("flash_attention_2 isn't installed")
+        return Model()
+
+    def tokenizer(source, local_files_only=False, **options):
+        if not local_files_only:
+            raise OSError("Connection error")
+        return Tokenizer()
+
+    torch = SimpleNamespace(cuda=SimpleNamespace(is_available=lambda: True), float16="f16", float32="f32", bfloat16="bf16", no_grad=contextlib.nullcontext)
+    monkeypatch.setitem(sys.modules, "torch", torch)
+    monkeypatch.setitem(sys.modules, "transformers", SimpleNamespace(AutoTokenizer=SimpleNamespace(from_pretrained=tokenizer), AutoModelForSeq2SeqLM=SimpleNamespace(from_pretrained=model)))
+    made = K.Seq2SeqTranslator("a/b", num_beams=3)
+    assert "attn_implementation" in asked[0] and "attn_implementation" not in asked[1] and asked[1]["torch_dtype"] == "f16" and made.model.device == "cuda"
+    assert made.translate(["x", "y"], "s", "t") == ["3 x", "3 y"] and made.translate([], "s", "t") == []
+    torch.cuda.is_available = lambda: False
+    assert K.device_of(torch, "auto") == "cpu" and K.dtype_of(torch, "auto", "cpu") == "f32" and K.dtype_of(torch, "bfloat16", "cpu") == "bf16"
+    with pytest.raises(OSError):
+        K.device_of(torch, "cuda")
+    with pytest.raises(ImportError, match="no_such_library"):
+        K.library("no_such_library")
+
+
+def test_a_move_that_was_cut_off(spark, tmp_path):
+    df = spark.createDataFrame([("1",)], "n string")
+    S.write_jsonl(df, f"file://{tmp_path}/t.jsonl")
+    (tmp_path / "t.jsonl").rename(tmp_path / "t.jsonl.old-7")
+    assert S.read_jsonl(spark, f"file://{tmp_path}/t.jsonl", "n string").count() == 1
+    S.write_json(spark, f"file://{tmp_path}/one.json", {"a": 1})
+    S.write_json(spark, f"file://{tmp_path}/one.json", {"a": 2})
+    assert json.loads((tmp_path / "one.json").read_text()) == {"a": 2}
+    assert not [p for p in tmp_path.iterdir() if "one.json" in p.name and p.name not in ("one.json", ".one.json.crc")]
