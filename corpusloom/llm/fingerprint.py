@@ -72,23 +72,35 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``next``, a struct of ``columns`` of the row that follows in descending doc_id; after the last comes the first.
 
     Rows are dealt to ranges of doc_id of about equal size and ordered within; only the first row of each
-    range, of which there are at most _RANGES, goes to the range before it. Rows without doc_id come last;
-    rows with the same are ordered by ``columns``.
+    range goes to the range before it. Rows without doc_id come last; rows with the same are ordered by a hash
+    of ``columns``, then by these. A doc_id of many rows, and the rows without one, are cut into ranges of that hash.
     """
     ranges = int(min(_RANGES, max(1, size_in_bytes(docs) // _RANGE_BYTES)))
-    bounds = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
+    cuts = [int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)] if ranges > 1 else []
+    bounds = sorted(set(cuts))
+    hot = {b: cuts.count(b) for b in bounds if cuts.count(b) > 1}
+    total, nameless = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first() if ranges > 1 else (1, 0)
     part = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0)
-    dealt = docs.withColumn("_part", F.coalesce(F.when(F.col("doc_id").isNotNull(), part), F.lit(len(bounds) + 1)).cast("int"))
+    part = F.when(F.col("doc_id").isNotNull(), part).otherwise(len(bounds) + 1).cast("long")
+    # of a hash range: from 0 in the order of the hash
+    slice_ = lambda n: F.least(F.floor((F.col("_hash").cast("double") + F.lit(_SPAN / 2)) / F.lit(_SPAN) * n), F.lit(n - 1)).cast("long")
+    within = F.when(F.col("doc_id").isNull(), slice_(max(1, round(ranges * nameless / max(1, total)))))
+    for b, n in hot.items():
+        within = within.when(F.col("doc_id") == b, 1 + slice_(n))
+    dealt = docs.withColumn("_hash", F.xxhash64(*columns)).withColumn("_part", part * (_RANGES + 2) + within.otherwise(F.lit(0)))
     row = F.struct(*columns)
-    window = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), *columns)
+    window = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), "_hash", *columns)
     led = dealt.withColumn("_lead", F.lead(row).over(window))
-    heads = dealt.groupBy("_part").agg(F.max("doc_id").alias("_head")).withColumnRenamed("_part", "_of")  # two numbers for each of at most _RANGES
-    firsts = dealt.join(F.broadcast(heads), (F.col("_part") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_head")))
+    heads = dealt.groupBy("_part").agg(F.max(F.struct("doc_id", -F.col("_hash"))).alias("_head"))
+    heads = heads.select(F.col("_part").alias("_of"), F.col("_head.doc_id").alias("_id"), F.negative("_head.col2").alias("_least"))  # three numbers a range
+    firsts = dealt.join(F.broadcast(heads), (F.col("_part") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_least")))
     firsts = firsts.groupBy("_part").agg(F.min(row).alias("_first"))
-    order = Window.orderBy("_part")  # one row a range
+    order = Window.orderBy("_part")  # one number a range
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = firsts.select("_part", F.coalesce(F.lead("_first").over(order), F.first("_first").over(whole)).alias("_next_first"))
-    return led.join(following, "_part").withColumn("next", F.coalesce("_lead", "_next_first")).drop("_part", "_lead", "_next_first")
+    numbers = heads.select(F.col("_of").alias("_part"))
+    after = numbers.select("_part", F.coalesce(F.lead("_part").over(order), F.first("_part").over(whole)).alias("_after"))
+    following = after.join(firsts.select(F.col("_part").alias("_after"), F.col("_first").alias("_next_first")), "_after").drop("_after")
+    return led.join(following, "_part").withColumn("next", F.coalesce("_lead", "_next_first")).drop("_part", "_lead", "_next_first", "_hash")
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
