@@ -1,7 +1,8 @@
-"""Licence statements, found by a trained classifier of text segments and confirmed against templates."""
+"""Licence statements, found by a trained classifier of paragraphs and confirmed against templates."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,41 +12,100 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._common import bytes_of, chunks, ship, table
 
-#: Statements of each family, in the words of the licences' own notices.
+#: Sentences of each family, in the words of the licences' own notices and, where those are short, of the whole texts.
 TEMPLATES = {
-    "apache": ("licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "spdx license identifier apache 2.0"),
-    "mit": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "spdx license identifier mit"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "spdx license identifier gpl 3.0 or later"),
-    "lgpl": ("licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd 3 clause license", "use of this source code is governed by a bsd style license"),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license version 2.0", "licensed under the mozilla public license"),
-    "cc": ("this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "licensed under cc by sa 4.0", "licensed under cc by nc 4.0", "licensed under cc by nc nd 4.0"),
-}
-_OPENINGS = ("", "licensed under the", "released under the", "distributed under the", "available under the", "this work is licensed under the", "this software is released under the", "the code is licensed under the", "this document is made available under the", "provided under the terms of the")
-_NAMES = {
-    "apache": ("apache license", "apache license version 2.0", "apache 2.0 license", "apache license 2.0", "apache software license"),
+    "apache": (
+        "licensed under the apache license version 2.0 the license", "you may not use this file except in compliance with the license", "you may obtain a copy of the license at http www.apache.org licenses license 2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+    ),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "use of this source code is governed by a bsd style license",
+    ),
+    "gpl": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "you should have received a copy of the gnu general public license along with this program", "see the gnu general public license for more details",
+    ),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "you should have received a copy of the gnu lesser general public license along with this library", "see the gnu lesser general public license for more details",
+    ),
+    "agpl": (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        "you should have received a copy of the gnu affero general public license along with this program", "see the gnu affero general public license for more details",
+    ),
+    "mpl": (
+        "this source code form is subject to the terms of the mozilla public license v. 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0",
+    ),
+    "epl": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v. 2.0", "the accompanying materials are made available under the eclipse public license which is available at http www.eclipse.org legal epl 2.0",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+    ),
+    "cc": (
+        "this work is licensed under a creative commons attribution 4.0 international license", "to view a copy of this license visit http creativecommons.org licenses by 4.0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    ),
+}
+#: How each family is named, SPDX identifiers among them.
+NAMES = {
+    "apache": ("apache license", "apache license version 2.0", "apache 2.0 license", "apache license 2.0", "apache software license", "apache 2.0"),
     "mit": ("mit license", "mit licence", "mit open source license", "mit x11 license", "expat mit license"),
-    "gpl": ("gnu general public license", "gnu gpl", "gpl version 3", "gnu general public license version 2", "gplv3", "gnu general public license version 3"),
-    "lgpl": ("gnu lesser general public license", "lgpl", "gnu lesser general public license version 3", "lgpl version 2.1"),
-    "bsd": ("bsd license", "bsd 2 clause license", "bsd 3 clause license", "new bsd license", "simplified bsd license"),
+    "isc": ("isc license", "isc licence", "internet systems consortium license"),
+    "bsd": ("bsd license", "bsd 2 clause license", "bsd 3 clause license", "new bsd license", "simplified bsd license", "bsd 3 clause", "bsd 2 clause"),
+    "gpl": ("gnu general public license", "gnu gpl", "gpl version 3", "gnu general public license version 2", "gplv3", "gplv2", "gnu general public license version 3", "gpl 2.0 only", "gpl 3.0 only", "gpl 2.0 or later", "gpl 3.0 or later"),
+    "lgpl": ("gnu lesser general public license", "lgpl", "gnu lesser general public license version 3", "gnu library general public license", "lgpl version 2.1", "lgpl 2.1 only", "lgpl 3.0 or later"),
+    "agpl": ("gnu affero general public license", "gnu affero general public license version 3", "gnu agpl", "agpl", "agplv3", "agpl 3.0 only", "agpl 3.0 or later"),
     "mpl": ("mozilla public license", "mozilla public license version 2.0", "mpl 2.0", "mpl"),
-    "cc": ("cc by 4.0", "cc by sa 4.0", "cc by nc 4.0", "cc by nc sa 4.0", "creative commons attribution license", "creative commons license", "cc0", "creative commons attribution noncommercial license"),
-}
-#: Sentences with words of licences that state none.
+    "epl": ("eclipse public license", "eclipse public license version 2.0", "epl 2.0", "epl 1.0"),
+    "unlicense": ("unlicense", "the unlicense"),
+    "cc": ("cc by 4.0", "cc by sa 4.0", "cc by nc 4.0", "cc by nc sa 4.0", "cc by nd 4.0", "cc by nc nd 4.0", "creative commons attribution license", "creative commons license", "cc0", "cc0 1.0", "creative commons attribution noncommercial license"),
+}
+_OPENINGS = ("", "licensed under the", "released under", "distributed under the", "available under the", "this work is licensed under the", "this software is released under the", "the code is licensed under", "this document is made available under the", "provided under the terms of the", "spdx license identifier", "license")
+#: Wordings that only calibration sees.
+_OTHER_OPENINGS = ("subject to the", "we publish all of it under the", "its use falls under the terms of the", "covered by the", "project license", "you may share this text under the", "for the licence see the file copying it is the")
+#: Sentences with words of licences that state none; the second set is for calibration.
 _OTHER = (
     "he lost his driving license", "the license plate was stolen", "she is a licensed nurse", "the public works department", "the mit campus is large", "the apache tribe lived in the plains", "a free copy of the book",
     "software version 2.0 was released", "the work is under way", "general public opinion", "the source code is large", "permission is needed to enter", "use of the form is free of charge", "released under pressure", "the terms of the contract",
     "this work is about the public", "the file is subject to change", "version 3", "the creative process", "under the common law", "you may not use the lift", "it is the law of the land", "this is the end of the story", "any person may attend", "and or the other",
+    "the solar eclipse was seen by the public", "the library is open to the general public", "copyright law is old", "in no event was he late", "the author was liable for damages", "a fee is charged for any purpose",
+)
+_MORE_OTHER = (
+    "a fishing license costs ten dollars", "the pilot holds a commercial licence", "apache helicopters flew over the town", "students at mit built a robot", "the general spoke to the public", "the public library closes at six",
+    "version 2.0 of the plan was subject to review", "they distributed copies of the notice to all", "free software is a matter of liberty", "the terms were agreed in writing", "creative people in the commons", "an eclipse is rare", "the software is slow", "either way the author lost",
+    "permission was granted to leave", "the warranty of the car is void", "he works for the foundation", "under the bridge", "binary forms and source texts", "charge the battery",
 )
 #: Words of statements that also stand alone, in other languages too.
-_STRAY = ("mit", "by", "des mit", "mit und", "mit der", "by the", "free", "public", "general", "open", "version", "license", "work", "software", "apache", "source", "sa", "nc", "4.0", "2.0", "3", "is licensed", "the terms", "under the", "expat", "creative", "commons", "is mit", "simplified", "new")
+_STRAY = ("mit", "by", "des mit", "mit und", "mit der", "by the", "free", "public", "general", "open", "version", "license", "work", "software", "apache", "source", "sa", "nc", "4.0", "2.0", "3", "is licensed", "the terms", "under the", "expat", "creative", "commons", "is mit", "simplified", "new", "only", "the eclipse", "eclipse", "later", "library", "isc")
 UNKNOWN, NONE = "unknown", "none"
 CLASSES = (NONE, UNKNOWN, *TEMPLATES)
-#: A statement is confirmed if so much of the word pairs of a template of its family, or of a name, is in it.
+#: A statement is confirmed if so much of the word pairs of a template of its family, or of a name, is in it,
+#: and of no other family's more.
 CONFIRM = 0.6
-#: Share of held-out statements whose probability may fall below the cut that calibration sets.
-_MISS = 0.01
+#: Share of the right calibration statements whose probability may fall below the cut.
+_MISS = 0.02
 _STRIP = b"\"'()[]{}<>*_.,;:!?-"
+_OWN = {"license", "licence", "licensed", "gnu", "gpl", "lgpl", "agpl", "mozilla", "spdx", "cc", "bsd", "mpl", "epl", "gplv3", "gplv2", "agplv3", "cc0", "unlicense", "affero", "isc"}
 
 
 def clean(word: bytes) -> str:
@@ -56,16 +116,23 @@ def tokens(segment: str) -> list[str]:
     return [t for w in segment.replace("-", " ").encode().split() if (t := clean(w))]
 
 
+def _invented(rng: np.random.Generator) -> str:
+    return "".join(rng.choice(list("bdklmnrstv")) + rng.choice(list("aeiou")) for _ in range(rng.integers(2, 5)))
+
+
 def examples(seed: int = 11) -> list[tuple[str, int]]:
-    """Made-up segments with the number of their class: statements of each family in many wordings, of licences
+    """Made-up sentences with the number of their class: statements of each family in many wordings, of licences
     of invented names (unknown), and sentences that state no licence (none)."""
     rng = np.random.default_rng(seed)
-    invent = lambda: "".join(rng.choice(list("bdklmnrstv")) + rng.choice(list("aeiou")) for _ in range(rng.integers(2, 5)))
-    out = [(t, CLASSES.index(f)) for f, ts in TEMPLATES.items() for t in ts for _ in range(6)]
-    for f, names in _NAMES.items():
+    invent = lambda: _invented(rng)
+    out = [(t, CLASSES.index(f)) for f, ts in TEMPLATES.items() for t in ts for _ in range(4)]
+    for f, ts in TEMPLATES.items():  # parts of the long ones, as wrapped lines give them
+        for words in map(str.split, ts):
+            out += [(" ".join(words[i : i + 14]), CLASSES.index(f)) for i in range(0, len(words) - 8, 7)]
+    for f, names in NAMES.items():
         for name in names:
             out += [(f"{o} {name}", CLASSES.index(f)) for o in _OPENINGS]
-            out += [(f"{invent()} {o} {name} {invent()}", CLASSES.index(f)) for o in _OPENINGS]
+            out += [(f"{invent()} {o} {name} {invent()}", CLASSES.index(f)) for o in _OPENINGS[::2]]
     for o in _OPENINGS[1:]:
         for tail in ("license", "public license", "license version 1.0", "open license 2.0", "community license"):
             out += [(f"{o} {invent()} {tail}", CLASSES.index(UNKNOWN)) for _ in range(4)]
@@ -78,26 +145,36 @@ def examples(seed: int = 11) -> list[tuple[str, int]]:
         for n in (0, 0, 1, 1, 2, 3, 6, 12):
             at = int(rng.integers(0, n + 1))
             out.append((" ".join([*(invent() for _ in range(at)), w, *(invent() for _ in range(n - at))]), 0))
-    common = sorted({w for s, _ in out for w in tokens(s)} - {"license", "licence", "licensed", "gnu", "gpl", "lgpl", "mozilla", "spdx", "cc", "bsd", "mpl", "gplv3", "cc0"})
-    for _ in range(600):
+    common = sorted({w for s, _ in out for w in tokens(s)} - _OWN)
+    for _ in range(900):
         n = int(rng.integers(1, 24))
         out.append((" ".join(invent() if rng.random() < 0.75 else str(rng.choice(common)) for _ in range(n)), 0))
     return out
 
 
+def calibration(seed: int = 23) -> list[tuple[str, int]]:
+    """As ``examples``, in wordings that training has none of."""
+    rng = np.random.default_rng(seed)
+    out = [(f"{_invented(rng)} {o} {name}", CLASSES.index(f)) for f, names in NAMES.items() for name in names for o in _OTHER_OPENINGS]
+    out += [(" ".join(w for w in t.split() if rng.random() > 0.1) + f" {_invented(rng)}", CLASSES.index(f)) for f, ts in TEMPLATES.items() for t in ts for _ in range(4)]
+    out += [(f"{o} {_invented(rng)} {tail}", CLASSES.index(UNKNOWN)) for o in _OTHER_OPENINGS for tail in ("source license", "license v4", "permissive license", "public license 1.1") for _ in range(3)]
+    out += [(f"{_invented(rng)} {s} {_invented(rng)}", 0) for s in _MORE_OTHER for _ in range(4)]
+    out += [(" ".join(_invented(rng) for _ in range(int(rng.integers(1, 20)))), 0) for _ in range(200)]
+    return out
+
+
 class LicenceModel:
     """Multinomial logistic regression on single words and word pairs of a fixed vocabulary."""
 
     def __init__(self, rounds: int = 300, decay: float = 1e-3):
         data = examples()
-        held = np.arange(len(data)) % 5 == 0
         split = [tokens(s) for s, _ in data]
         y = np.array([c for _, c in data])
         self.words = {w: i + 1 for i, w in enumerate(sorted({w for t in split for w in t if sum(map(str.isalnum, w))}))}
         for s, c in data:
             if c < 2:  # invented words stay outside the vocabulary
                 for w in tokens(s):
-                    if not any(w in tokens(x) for x in (*_OTHER, *_OPENINGS, "license public version 1.0 open 2.0 community")) and not any(w in tokens(x) for ts in (*TEMPLATES.values(), *_NAMES.values()) for x in ts):
+                    if not any(w in tokens(x) for x in (*_OTHER, *_OPENINGS, "license public version 1.0 open 2.0 community")) and not any(w in tokens(x) for ts in (*TEMPLATES.values(), *NAMES.values()) for x in ts):
                         self.words.pop(w, None)
         self.words = {w: i + 1 for i, w in enumerate(sorted(self.words))}
         self.size = len(self.words) + 1
@@ -111,19 +188,26 @@ class LicenceModel:
         self.weights = np.zeros((width, len(CLASSES)), np.float32)
         target = np.eye(len(CLASSES), dtype=np.float32)[y]
         weight = (1 / np.bincount(y, minlength=len(CLASSES)))[y][:, None].astype(np.float32) * len(y) / len(CLASSES)
-        train, moment, speed = ~held, np.zeros_like(self.weights), np.zeros_like(self.weights)
+        moment, speed = np.zeros_like(self.weights), np.zeros_like(self.weights)
         for step in range(1, rounds + 1):
-            p = self._softmax(x[train] @ self.weights)
-            g = x[train].T @ ((p - target[train]) * weight[train]) / train.sum() + decay * self.weights
+            p = self._softmax(x @ self.weights)
+            g = x.T @ ((p - target) * weight) / len(x) + decay * self.weights
             moment, speed = 0.9 * moment + 0.1 * g, 0.99 * speed + 0.01 * g * g
             self.weights -= 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(speed / (1 - 0.99**step)) + 1e-6)
-        p = self._softmax(x[held] @ self.weights)
-        right = (p.argmax(1) == y[held]) & (y[held] > 1)
+        other = calibration()
+        truth = np.array([c for _, c in other])
+        p = self.dense([s for s, _ in other])
+        right = (p.argmax(1) == truth) & (truth > 1)
         #: A family's statement below this probability is of an unknown licence.
         self.cut = float(max(0.5, np.quantile(p.max(1)[right], _MISS))) if right.any() else 0.5
-        self.held_out_accuracy = float((p.argmax(1) == y[held]).mean())
-        self.proofs = {f: [set(zip(t, t[1:], strict=False)) for s in (*TEMPLATES[f], *_NAMES[f]) if len(t := tokens(s)) > 1] for f in TEMPLATES}
-        self.names = {f: {t[0] for s in _NAMES[f] if len(t := tokens(s)) == 1} for f in TEMPLATES}
+        judged = np.where((p.argmax(1) > 1) & (p.max(1) < self.cut), 1, p.argmax(1))
+        self.accuracy = float((judged == truth).mean())
+        self.proofs = {f: [set(zip(t, t[1:], strict=False)) for s in (*TEMPLATES[f], *NAMES[f]) if len(t := tokens(s)) > 1] for f in TEMPLATES}
+        self.names = {f: {t[0] for s in NAMES[f] if len(t := tokens(s)) == 1} for f in TEMPLATES}
+
+    def dense(self, segments: list[str]) -> np.ndarray:
+        """Probabilities of the classes, worked out one sentence at a time."""
+        return self._softmax(np.array([self._row(np.array([self.words.get(w, 0) for w in tokens(s)], np.int64)) for s in segments]) @ self.weights)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -157,14 +241,17 @@ class LicenceModel:
         return self._softmax(z)
 
     def confirmed(self, family: str, words: list[str]) -> bool:
+        """Whether a template or name of the family is in the words, and no other family's is more."""
         if family not in self.proofs:
             return False
-        found = set(zip(words, words[1:], strict=False))
-        return bool(self.names[family] & set(words)) or any(len(p & found) >= CONFIRM * len(p) for p in self.proofs[family])
+        found, single = set(zip(words, words[1:], strict=False)), set(words)
+        # how much of it is there; of equals the longer says more
+        likeness = {f: max([(len(p & found) / len(p), len(p & found)) for p in self.proofs[f]] + [(1.0, 1) for n in self.names[f] & single]) for f in self.proofs}
+        return likeness[family][0] >= CONFIRM and likeness[family] == max(likeness.values())
 
 
 class _Ids(dict):
-    """Raw word -> the ids of its parts and whether it ends a segment; remembers the words met last."""
+    """Raw word -> its id, whether it is no word but signs, ends a paragraph, ends a sentence; remembers the words met last."""
 
     LIMIT = 1 << 18
 
@@ -175,67 +262,83 @@ class _Ids(dict):
     def __missing__(self, raw: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        out = self[raw] = self.words.get(clean(raw), 0) * 2 + (raw.endswith((b".", b"!", b"?", b"\0")))
+        word = clean(raw)
+        out = self[raw] = self.words.get(word, 0) * 8 + 4 * (not word or raw == b"\0") + 2 * (raw == b"\0") + raw.endswith((b".", b"!", b"?", b"\0"))
         return out
 
 
-_FOUND = "array<struct<segment:int,family:string,probability:double,confirmed:boolean,text:string>>"
+_FOUND = "array<struct<paragraph:int,family:string,probability:double,confirmed:boolean,text:string>>"
+#: A line that goes on in lower case after one that doesn't end a sentence is of the same paragraph.
+_WRAPPED = re.compile(rb"(?<=[^\s.!?:;])[ \t\r]*\n[ \t]*(?=[a-z])")
+
+
+def paragraphs(text: bytes) -> list[bytes]:
+    """The lines of a text, wrapped ones joined."""
+    return _WRAPPED.sub(b" ", text.replace(b"\0", b" ")).split(b"\n")
 
 
 def _scan(model: LicenceModel, keep: list[str]):
-    kind = pa.list_(pa.struct([("segment", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _Ids(model.words)
         for batch in chunks(batches):
-            words: list[list[bytes]] = [t.replace(b"\n", b" \0 ").replace(b"-", b" ").split() + [b"\0"] if t else [b"\0"] for t in bytes_of(batch.column("text"))]
+            words: list[list[bytes]] = [b" \0 ".join(paragraphs(t)).replace(b"-", b" ").split() + [b"\0"] if t else [b"\0"] for t in bytes_of(batch.column("text"))]
             sizes = np.fromiter(map(len, words), np.int64, len(words))
             raw = np.fromiter((ids_of[w] for ws in words for w in ws), np.int64, sizes.sum())
             ends = (raw & 1).astype(bool)
+            last = (raw & 2).astype(bool)  # of a paragraph
             segment = np.cumsum(ends) - ends
             n = int(segment[-1]) + 1
             starts = np.cumsum(sizes) - sizes
             first_segment = segment[starts]
-            p = model.probabilities(raw >> 1, segment, n)
+            paragraph = np.cumsum(last) - last
+            real = (raw & 4) == 0
+            p = model.probabilities(raw[real] >> 3, segment[real], n)
             best = p.argmax(axis=1)
             at = np.flatnonzero(best > 0)
             row_of = np.searchsorted(first_segment, at, "right") - 1
             begin = np.searchsorted(segment, at)
             stop = np.searchsorted(segment, at, "right")
-            found: list[list[dict]] = [[] for _ in words]
+            found: list[dict[tuple[int, str], dict]] = [{} for _ in words]
             for s, r, a, b in zip(at.tolist(), row_of.tolist(), begin.tolist(), stop.tolist(), strict=True):
                 own = [w for w in words[r][a - int(starts[r]) : b - int(starts[r])] if w != b"\0"]
-                cleaned = [t for w in own if (t := clean(w))]
                 family, probability = CLASSES[best[s]], float(p[s, best[s]])
-                sure = model.confirmed(family, cleaned)
+                sure = model.confirmed(family, [t for w in own if (t := clean(w))])
                 if not sure:
                     if 1 - float(p[s, 0]) < model.cut:
                         continue
                     if probability < model.cut:
                         family = UNKNOWN
-                found[r].append({"segment": s - int(first_segment[r]), "family": family, "probability": probability, "confirmed": sure, "text": b" ".join(own).decode()})
-            counts = np.diff(np.append(first_segment, n))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(found, kind)], [*keep, "n_segments", "found"])
+                number = int(paragraph[a] - paragraph[starts[r]])
+                # the surest sentence of a family speaks for its paragraph
+                new = {"paragraph": number, "family": family, "probability": probability, "confirmed": sure, "text": b" ".join(own).decode()}
+                old = found[r].get((number, family))
+                if old is None or (sure, probability) > (old["confirmed"], old["probability"]):
+                    found[r][number, family] = new
+            counts = np.add.reduceat(last, starts, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array([list(f.values()) for f in found], kind)], [*keep, "n_paragraphs", "found"])
 
     return run
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
-    """Licence statements of each text: doc_id, n_segments, found (segment number, family, probability, confirmed, text).
+    """Licence statements of each text: doc_id, n_paragraphs, found (paragraph, family, probability, confirmed, text).
 
-    A segment ends at a line's end or behind a word that ends with . ! or ?. All segments of whole texts
-    are classified. A family's statement that is neither confirmed by a template nor above the calibrated
-    probability is ``unknown``. No shuffle.
+    Paragraphs are lines; a line that goes on in lower case after one that ends no sentence is of the same paragraph.
+    Their sentences are classified, all of them and whole, and the surest of each family speaks for the paragraph.
+    A family's statement that is neither confirmed by a template nor above the calibrated probability is
+    ``unknown``. No shuffle.
 
-    Edge cases: null and empty texts have one empty segment and nothing found. Repeated rows are judged
+    Edge cases: null and empty texts have one empty paragraph and nothing found. Repeated rows are judged
     alike. Other columns are not read.
     """
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_scan(model or LicenceModel(), ["doc_id"]), f"doc_id {dict(docs.dtypes)['doc_id']}, n_segments long, found {_FOUND}")
+    return docs.select("doc_id", "text").mapInArrow(_scan(model or LicenceModel(), ["doc_id"]), f"doc_id {dict(docs.dtypes)['doc_id']}, n_paragraphs long, found {_FOUND}")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     families = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))
     sure = F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda x: x["confirmed"]), lambda x: x["family"])))
-    return found.select("doc_id", "n_segments", F.size("found").cast("long").alias("n_statements"), F.array_join(families, ",").alias("families"), F.array_join(sure, ",").alias("confirmed_families"), F.array_max(F.transform("found", lambda x: x["probability"])).alias("top_probability"))
+    return found.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_statements"), F.array_join(families, ",").alias("families"), F.array_join(sure, ",").alias("confirmed_families"), F.array_max(F.transform("found", lambda x: x["probability"])).alias("top_probability"))
