@@ -181,13 +181,17 @@ def fold(doc_id: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS, label: str = "quality") -> Gam:
-    """Fits the model on labelled documents outside fold 0: at most ``rows``, those of the smallest id hashes."""
+    """Fits the model on labelled documents outside fold 0: at most ``rows``, those of the smallest id hashes.
+
+    Of rows that share a doc_id one text is learnt from, so that what reaches the driver is bounded.
+    """
     ship(docs.sparkSession)
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")  # at most ``rows`` pairs of numbers
-    got = texts.mapInArrow(_table_of_features(["_id", "_y"]), f"_id long, _y {dict(chosen.dtypes)['_y']}, x array<double>").toArrow()
+    rated = texts.mapInArrow(_table_of_features(["_id", "_y"]), f"_id long, _y {dict(chosen.dtypes)['_y']}, x array<double>")
+    got = rated.groupBy("_id").agg(F.max("_y").alias("_y"), F.max("x").alias("x")).toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = np.array(got.column("_y").to_pylist(), np.float64)
     order = np.lexsort((*x.T, np.array(got.column("_id").to_pylist(), np.int64)))
