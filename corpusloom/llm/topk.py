@@ -159,9 +159,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, top: int = TOP, scale: int
     query_id, rank from 1, vec_id, score; ties go to the smaller vec_id. Exact: a pair is skipped only
     if an upper bound from its segment statistics is below what the query's k-th has already.
 
-    Queries and candidates are packed into blocks of a bounded number of vectors. Each candidate block
-    meets each query block once; query blocks are copied to as many parts as candidate blocks are dealt
-    to, and what leaves a pair of blocks is ``top`` rows a query at most.
+    Queries and candidates are packed into blocks of a bounded number of vectors. Parts form a grid: a
+    candidate block goes to all parts of its row, a query block to all of its column, and each pair of blocks
+    meets in one part. With queries a hundredth of the vectors, a column for every ten rows copies least.
+    What leaves a pair of blocks is ``top`` rows a query at most.
 
     Edge cases: vectors that are null, empty or hold null or non-finite components take no part, nor do
     rows without vec_id. Vectors of another length than the query's are not compared. With fewer
@@ -174,8 +175,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, top: int = TOP, scale: int
     good = lambda df: df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     parts = int(max(spark.sparkContext.defaultParallelism, min(4096, size_in_bytes(vectors) // (1 << 20))))
     asked = good(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    q = asked.mapInArrow(_blocks("q", scale, block, 1), _block_schema("q")).drop("part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    c = good(vectors).mapInArrow(_blocks("c", scale, block, parts), _block_schema("c"))
+    columns = max(1, round(math.sqrt(parts / 100)))
+    rows = -(-parts // columns)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = asked.mapInArrow(_blocks("q", scale, block, columns), _block_schema("q")).withColumn("row", every(rows))
+    q = q.withColumn("part", F.col("row") * columns + F.col("part")).drop("row")
+    c = good(vectors).mapInArrow(_blocks("c", scale, block, rows), _block_schema("c")).withColumn("column", every(columns))
+    c = c.withColumn("part", F.col("part") * columns + F.col("column")).drop("column")
     met = c.join(q, ["part", "dims"]).select("q_ids", "q_x", "c_ids", "c_x", "dims")
     found = met.mapInArrow(_search(top), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
