@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import Workspace, size_in_bytes, table
+from corpusloom.llm._common import Workspace, table
 
 #: Bytes of text in a shard at most.
 SHARD_BYTES = 16 << 20
@@ -70,7 +70,8 @@ def shard(docs: DataFrame, *, limit: int = SHARD_BYTES, keys: tuple[str, ...] =
     work = Workspace(docs.sparkSession, "shards")
     sized = docs.select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), row_hash(*keys).alias("h"))
     sized = work.save(sized)
-    start = 3 + max(1, (4 * size_in_bytes(docs) // limit)).bit_length()
+    total = sized.agg(F.sum("n_bytes")).first()[0] or 0
+    start = min(BITS, 3 + max(1, 4 * total // limit).bit_length())
     buckets = shard_directory(sized, limit, work, start).select("depth", "prefix", F.col("n_bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))
     buckets = work.save(buckets)
     deepest = buckets.agg(F.max("depth")).first()[0] or 0
@@ -96,6 +97,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+#: So small a limit that the documents of a small table split too.
+FINE_BYTES = 64 << 10
+
+
+def sharding_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), limit=FINE_BYTES)
+
+
 def shard_sql(limit: int = SHARD_BYTES) -> str:
     return f"""
 WITH sized AS (

@@ -276,3 +276,17 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW_WORDS, period: int
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: Every window as text, those that start more than once, and the words that these cover.
+OP5_SQL = rf"""
+WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW_WORDS - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW_WORDS - 2})) AS i FROM words)),
+repeated AS (SELECT doc_id, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW_WORDS})) AS i FROM repeated),
+gone AS (SELECT doc_id, list(i) AS at, count(*) AS n FROM covered GROUP BY doc_id),
+kept AS (SELECT k.doc_id, string_agg(k.v, ' ' ORDER BY k.i) AS text FROM (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM words) k
+  LEFT JOIN covered c ON c.doc_id = k.doc_id AND c.i = k.i WHERE c.i IS NULL GROUP BY k.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""

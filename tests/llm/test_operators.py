@@ -281,6 +281,21 @@ def test_fingerprints(spark, docs, empty, tmp_path):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def test_next_document_of_repeated_and_missing_ids(spark, monkeypatch):
+    """Ranges of a few bytes: one doc_id and the rows without one are cut into several."""
+    monkeypatch.setattr(fingerprint, "_RANGE_BYTES", 60)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"t{i % 90}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprint.with_next(df, ["text"]).select("doc_id", "text", "next.text", F.xxhash64("text")).collect()
+    order = sorted(got, key=lambda r: (r[0] is None, -(r[0] or 0), r[3], r[1]))
+    assert sorted(map(str, rows)) == sorted(str((r[0], r[1])) for r in got)
+    want, have = collections.Counter(), collections.Counter()
+    for r, s in zip(order, [*order[1:], order[0]]):
+        want[r[0], r[1], s[1]] += 1
+        have[r[0], r[1], r[2]] += 1
+    assert want == have
+
+
 def test_fingerprints_merge(spark):
     df = spark.createDataFrame([("a b c d e f g h", "c d e f g h i j k")], "x string, y string").select(fingerprint.sketch(fingerprint.shingle_hashes(F.col("x"))).alias("x"), fingerprint.sketch(fingerprint.shingle_hashes(F.col("y"))).alias("y"))
     r = df.select(fingerprint.resemblance(F.col("x"), F.col("y")), fingerprint.containment(F.col("x"), F.col("y")), F.size(fingerprint.merge(F.col("x"), F.col("y")))).first()
@@ -293,13 +308,50 @@ def test_licences(spark, empty):
         4: ("Licensed under CC BY-NC 4.0.", {"cc"}), 5: ("Der Mann geht mit der Frau. By and by.", set()), 6: (None, set()), 7: ("", set()), 8: ("Licensed under the Zorblax Public License.", {"unknown"}), 9: ("and " * 500, set()),
     }
     model = licenses.LicenceModel()
-    assert model.held_out_accuracy > 0.95
+    assert model.accuracy > 0.9  # on wordings that training hasn't seen
     df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
     for r in licenses.scan(df, model).collect():
         assert {f.family for f in r.found} == texts[r.doc_id][1], (texts[r.doc_id], r.found)
     assert licenses.scan(empty, model).count() == 0
 
 
+WRAPPED = """Copyright (c) 2020 Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_licences_like_one_sentence_after_the_other(spark):
+    rng = np.random.default_rng(12)
+    texts = [WRAPPED, "SPDX-License-Identifier: AGPL-3.0-or-later", "GPL-2.0-only", "You can redistribute it under the terms of the GNU Affero General Public License.", prose(rng, 30_000) + "\nReleased under the MIT License.\n" + prose(rng, 100)]
+    texts += [f"{prose(rng, 8)}. {s} {prose(rng, 3)}.\n{prose(rng, 5)}" for s, _ in licenses.calibration()[::9]]
+    texts += [texts[0]] * 3
+    model = licenses.LicenceModel()
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_paragraphs long, found string")
+    got = {r.doc_id: r for r in licenses.scan(df, model).collect()}
+    for i, text in enumerate(texts):
+        want, parts = {}, licenses.paragraphs(text.encode())
+        for number, part in enumerate(parts):
+            for sentence in re.findall(r"[^\s](?:.*?[.!?](?=\s|$)|.*$)", part.decode().replace("-", " "), re.S):
+                p = model.dense([sentence])[0]
+                family, sure = licenses.CLASSES[p.argmax()], False
+                if family != licenses.NONE:
+                    sure = model.confirmed(family, licenses.tokens(sentence))
+                    if not sure and 1 - p[0] < model.cut:
+                        continue
+                    if not sure and p.max() < model.cut:
+                        family = licenses.UNKNOWN
+                    want[number, family] = max(want.get((number, family), (False, 0.0)), (sure, float(p.max())))
+        assert got[i].n_paragraphs == len(parts)
+        found = {(f.paragraph, f.family): (f.confirmed, f.probability) for f in got[i].found}
+        assert found.keys() == want.keys(), text
+        assert all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 1e-4 for k in want)
+    assert [(f.family, f.confirmed) for f in got[0].found] == [("isc", True)]
+    assert [[(f.family, f.confirmed) for f in got[i].found] for i in (1, 2, 3, 4)] == [[("agpl", True)], [("gpl", True)], [("agpl", True)], [("mit", True)]]
+
+
 def test_quality(spark, empty):
     rng = np.random.default_rng(3)
     rows, labels = [], []
@@ -339,3 +391,20 @@ def test_top_k(spark):
     assert got[1100] == [(1101, 256 * 1024 + 1024 * 2048)]
     assert set(got) == {*range(0, 700, 100), 1100}
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    twice = df.where("vec_id < 60").unionAll(df.where("vec_id in (0, 5)"))
+    again = topk.top_k(twice, twice.where("vec_id = 0")).orderBy("rank").collect()
+    want = sorted([(int(j), int(q[j] @ q[0])) for j in [*range(1, 60), 5]], key=lambda p: (-p[1], p[0]))[:10]
+    assert [(r.vec_id, r.score) for r in again] == want
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    long = prose(rng, 60_000)
+    pages = spark.createDataFrame([(1, "https://www.example.com/en/" + long.replace(" ", "/"))], "page_id long, url string")
+    r = url_filter.judge(pages, url_filter.rule_table(spark, url_filter.RULES)).first()
+    assert (r.rule, r.verdict) == ("www.example.com/en/", "allow") and r.path.startswith("/en/") and len(r.path) > 100_000
+    docs = spark.createDataFrame([(i, long if i == 3 else prose(rng, 50)) for i in range(20)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    assert quality.rate(docs, quality.learn(docs.unionAll(docs), marks)).count() == 20
+    assert [len(r.sketch) for r in fingerprint.fingerprints(docs.where("doc_id = 3")).collect()] == [fingerprint.K]
+    assert sharding.shard(docs, limit=1000).where("doc_id = 3").first().n_bytes == len(long.encode())
