@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One batch of texts that Python works on at a time; a single longer text is a batch of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 # --- tables in the folder that all executors share ---------------------------------------------
@@ -38,8 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: What goes to a Python worker at once, where the session has Spark's own settings: at 10,000 rows long texts would
+#: fill gigabytes on either side.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that their Python workers can import it."""
+    """Sends this package to the executors, once a session, so that their Python workers can import it, and bounds what they get at once."""
+    for key, usual, value in BATCHES:
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_corpusloom_shipped", False):
         return
@@ -143,7 +151,7 @@ def ascii_lower(c: Column) -> Column:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for the words met last."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -8,6 +8,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -24,7 +25,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Of the two hashes of a pre-token.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Bytes of text encoded together.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 #: Pre-tokens: a contraction, a run of letters, one number, or a run of anything else but space.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
@@ -34,19 +35,18 @@ _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 def _kinds() -> np.ndarray:
     """The kind of each code point, read off the library's own pattern engine, whose Unicode version decides.
 
-    All code points in one text: what is in no pre-token is space, and one of each other run tells its kind.
+    Many code points in one text: what is in no pre-token is space, and one of each other run tells its kind.
     """
     split = pre_tokenizers.Split(Regex(_PATTERN), "removed", invert=True)
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    everything = "".join(map(chr, points))
-    found = np.full(len(points), _SPACE, np.uint8)
-    for piece, (start, stop) in split.pre_tokenize_str(everything):
-        if len(split.pre_tokenize_str("a" + piece[0])) == 1:
-            found[start:stop] = _LETTER
-        else:
-            found[start:stop] = _OTHER if len(split.pre_tokenize_str(piece[0] * 2)) == 1 else _NUMBER
     out = np.full(0x110000, _OTHER, np.uint8)
-    out[points] = found
+    for block in (*range(0, 0xD800, 0x800), *range(0xE000, 0x110000, 0x800)):
+        out[block : block + 0x800] = _SPACE
+        for piece, (start, stop) in split.pre_tokenize_str("".join(map(chr, range(block, block + 0x800)))):
+            if len(split.pre_tokenize_str("a" + piece[0])) == 1:
+                kind = _LETTER
+            else:
+                kind = _OTHER if len(split.pre_tokenize_str(piece[0] * 2)) == 1 else _NUMBER
+            out[block + start : block + stop] = kind
     return out
 
 
@@ -57,7 +57,7 @@ def _other_version() -> np.ndarray:
     own = normalizers.NFC()
     odd = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
     same = lambda text: own.normalize_str(text) == unicodedata.normalize("NFC", text)
-    for c in map(chr, [*range(0x300, 0xD800), *range(0xE000, 0x110000)]):
+    for c in map(chr, chain(range(0x300, 0xD800), range(0xE000, 0x110000))):
         if unicodedata.combining(c) and not (same("q\u0315" + c) and same("q" + c + "\u0301") and same("q" + c + "\u0334")):
             odd[ord(c)] = True
         elif unicodedata.decomposition(c)[:1] not in ("", "<"):

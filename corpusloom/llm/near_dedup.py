@@ -248,20 +248,29 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     Of rows that are equal in doc_id and text one stays. A row without doc_id goes if another row has its text:
     one with a doc_id stays, else one of them. The texts of what may be repeated are shuffled, no others.
     """
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    same = (F.xxhash64("text"), F.hash("text"))
-
-    def once(rows: DataFrame, key: Column, by: list[str]) -> DataFrame:
-        again = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        marked = maybe_in(rows, key, again)
-        return marked.where("not maybe").select("row.*").unionAll(marked.where("maybe").select("row.*").dropDuplicates(by))
-
-    named, nameless = left.where("doc_id is not null"), left.where("doc_id is null")
-    texts = nameless.select(*(h.alias(n) for h, n in zip(same, "xy", strict=True))).distinct()
-    owned = named.select(*(h.alias(n) for h, n in zip(same, "xy", strict=True))).join(texts, ["x", "y"], "left_semi").distinct()
-    rows = nameless.select(F.struct("*").alias("row"), *(h.alias(n) for h, n in zip(same, "xy", strict=True))).join(owned, ["x", "y"], "left_anti").select("row.*")
-    return once(named, F.xxhash64("doc_id", "text"), ["doc_id", "text"]).unionAll(once(rows, F.xxhash64("text"), ["text"]))
+    work = Workspace(docs.sparkSession, "keep")
+    gone = work.save(groups.where("not kept").select("doc_id").distinct())
+    same = F.xxhash64("doc_id", "text")
+    again = work.save(docs.where("doc_id is not null").groupBy(same.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+
+    def without(rows: DataFrame) -> DataFrame:
+        marked = maybe_in(rows, "doc_id", gone)
+        left = marked.where("maybe").select("row.*").join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+        return marked.where("not maybe").select("row.*").unionAll(left)
+
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if again.isEmpty():
+        out = without(named)
+    else:
+        marked = maybe_in(named, same, again)
+        out = without(marked.where("not maybe").select("row.*")).unionAll(without(marked.where("maybe").select("row.*")).dropDuplicates(["doc_id", "text"]))
+    if nameless.isEmpty():
+        return out
+    by = {"_x": F.xxhash64("text"), "_y": F.hash("text")}
+    texts = nameless.select(*(h.alias(n) for n, h in by.items())).distinct()
+    owned = named.select(*(h.alias(n) for n, h in by.items())).join(texts, [*by], "left_semi").distinct()
+    rows = nameless.select(F.struct("*").alias("row"), *(h.alias(n) for n, h in by.items())).join(owned, [*by], "left_anti").select("row.*")
+    return out.unionAll(rows.dropDuplicates(["text"]))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
