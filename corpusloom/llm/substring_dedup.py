@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import WordHashes, Workspace, bytes_of, chunks, dealt, lists, rolled, table
+from corpusloom.llm._common import WordHashes, Workspace, bytes_of, chunks, dealt, lists, maybe_in, rolled, table
 
 WINDOW_WORDS = 35
 #: Positions modulo PERIOD at which anchors are hashed: 5 of 21.
@@ -242,7 +242,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW_WORDS, period: int
        anchor needs no further look.
     2. The windows around repeated anchors are hashed (96 bits) and those that occur twice are removed.
 
-    Hashes meet in buckets whose number follows the input. Each chunk of texts sends a hash once at most,
+    Only texts with a repeated anchor, and in the end those with a repeated window, are shuffled. Hashes meet in buckets whose number follows the input. Each chunk of texts sends a hash once at most,
     so a passage of a third of all documents loads no task more than others.
 
     Edge cases: null and empty texts have no words. Rows equal in doc_id and text count as separate
@@ -260,14 +260,19 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW_WORDS, period: int
         # rows that are equal in doc_id and text may lie in several chunks
         return found.groupBy("doc", "sign").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
-    anchors = met(keyed.mapInArrow(_anchors(window, period, buckets), _SENT), 1)
-    near = work.save(keyed.join(anchors, ["doc", "sign"]).select("doc", "sign", "text", "places"))
+    key = F.xxhash64("doc", "sign")
+    anchors = work.save(met(keyed.mapInArrow(_anchors(window, period, buckets), _SENT), 1))
     work.release()
+    near = maybe_in(keyed, key, anchors.select(key)).where("maybe").select("row.*")
+    near = work.save(near.join(anchors, ["doc", "sign"]).select("doc", "sign", "text", "places"))
+    work.drop(anchors)
     repeated = work.save(met(near.mapInArrow(_windows(window, period, buckets), _SENT), 2))
     work.drop(near)
     work.release()
     whole = docs.select(F.struct(*keep).alias("_at"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("sign"))
-    cut = whole.join(repeated, ["doc", "sign"], "left").select("_at", "text", "places")
+    marked = maybe_in(whole, key, repeated.select(key))
+    untouched = marked.where("not maybe").select("row._at", "row.text", F.lit(None).cast("array<int>").alias("places"))
+    cut = marked.where("maybe").select("row.*").join(repeated, ["doc", "sign"], "left").select("_at", "text", "places").unionAll(untouched)
     at = whole.schema["_at"].dataType.simpleString()
     out = cut.mapInArrow(_cut(window), f"_at {at}, n_words long, n_removed long, kept_text string")
     return out.select(*(F.col("_at").getField(c).alias(c) for c in keep), "n_words", "n_removed", "kept_text")
