@@ -169,8 +169,9 @@ def first_rows(df: DataFrame, order: str, n: int | None) -> DataFrame:
 
 
 def last_wins(updates: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
-    """One update a key: the last in ``order``."""
-    return updates.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
+    """One update a key: the last in ``order``, null being before all. A hot key's updates are reduced before the shuffle."""
+    last = F.max_by(F.struct("*"), F.struct(order)).alias("_last")  # a struct, as a null alone is never the largest
+    return updates.groupBy(*key).agg(last).select("_last.*")
 
 
 def merge_translations(records: DataFrame, translations: DataFrame, *, model: str, method: str) -> DataFrame:
