@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ SHINGLE_WORDS = 5
 #: Hashes in a sketch; a likeness of 1/3 is estimated with a standard error of 0.04.
 K = 128
 #: Bytes of input for each range of documents, and ranges at most; a larger range spills.
-_RANGE_BYTES, _RANGES = 4 << 20, 2048
+_RANGE_BYTES, _RANGES = 4 << 20, 1 << 16
+#: Ids in the sample that a range is cut by.
+_RANGE_SAMPLE = 32
 _SPAN = 2.0**64
 
 
@@ -68,6 +72,26 @@ def fingerprints(docs: DataFrame, *, k: int = K, words: int = SHINGLE_WORDS) ->
     return s.select("doc_id", "sketch", distinct_shingles(F.col("sketch"), k).alias("n_shingles"), as_text(F.col("sketch")).alias("fingerprint"))
 
 
+def _longs(values: list[int]) -> Column:
+    """An array of constants, made of one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def _larger(falling: list[int], value: Column) -> Column:
+    """How many of the constants, which fall, are larger than ``value``; found by halving."""
+    steps = _longs([1 << i for i in reversed(range(len(falling).bit_length()))])
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda at, step: F.when(F.get(_longs(falling), (at + step - 1).cast("int")) > value, at + step).otherwise(at)).cast("int")
+
+
+def _cuts(ids: DataFrame, ranges: int, total: int) -> list[int]:
+    """Where ranges of about as many ids are cut, from a sample in proportion to ``ranges``, not to the ids; any cuts give right results."""
+    if ranges < 2:
+        return []
+    share = min(1.0, _RANGE_SAMPLE * ranges / max(1, total))
+    some = ids.sample(share, seed=7) if share < 1 else ids
+    return [int(x) for x in some.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)]
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``next``, a struct of ``columns`` of the row that follows in descending doc_id; after the last comes the first.
 
@@ -76,17 +100,16 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     of ``columns``, then by these. A doc_id of many rows, and the rows without one, are cut into ranges of that hash.
     """
     ranges = int(min(_RANGES, max(1, size_in_bytes(docs) // _RANGE_BYTES)))
-    cuts = [int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)] if ranges > 1 else []
-    bounds = sorted(set(cuts))
-    hot = {b: cuts.count(b) for b in bounds if cuts.count(b) > 1}
     total, nameless = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first() if ranges > 1 else (1, 0)
-    part = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0)
-    part = F.when(F.col("doc_id").isNotNull(), part).otherwise(len(bounds) + 1).cast("long")
+    cuts = Counter(_cuts(docs.where("doc_id is not null").select("doc_id"), ranges, total - nameless))
+    bounds = sorted(cuts, reverse=True)
+    place = _larger(bounds, F.col("doc_id"))
+    part = F.when(F.col("doc_id").isNotNull(), place).otherwise(len(bounds) + 1).cast("long")
     # of a hash range: from 0 in the order of the hash
-    slice_ = lambda n: F.least(F.floor((F.col("_hash").cast("double") + F.lit(_SPAN / 2)) / F.lit(_SPAN) * n), F.lit(n - 1)).cast("long")
-    within = F.when(F.col("doc_id").isNull(), slice_(max(1, round(ranges * nameless / max(1, total)))))
-    for b, n in hot.items():
-        within = within.when(F.col("doc_id") == b, 1 + slice_(n))
+    slice_ = lambda n: F.least(F.floor((F.col("_hash").cast("double") + F.lit(_SPAN / 2)) / F.lit(_SPAN) * n), n - 1).cast("long")
+    times = F.get(_longs([cuts[b] for b in bounds]), place)
+    hot = (F.get(_longs(bounds), place) == F.col("doc_id")) & (times > 1)
+    within = F.when(F.col("doc_id").isNull(), slice_(F.lit(max(1, round(ranges * nameless / max(1, total)))))).when(hot, 1 + slice_(times))
     dealt = docs.withColumn("_hash", F.xxhash64(*columns)).withColumn("_part", part * (_RANGES + 2) + within.otherwise(F.lit(0)))
     row = F.struct(*columns)
     window = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), "_hash", *columns)

@@ -281,9 +281,11 @@ def test_fingerprints(spark, docs, empty, tmp_path):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
-def test_next_document_of_repeated_and_missing_ids(spark, monkeypatch):
-    """Ranges of a few bytes: one doc_id and the rows without one are cut into several."""
+@pytest.mark.parametrize("sampled", [32, 0.5])
+def test_next_document_of_repeated_and_missing_ids(spark, monkeypatch, sampled):
+    """Ranges of a few bytes: one doc_id and the rows without one are cut into several, also by few ids."""
     monkeypatch.setattr(fingerprint, "_RANGE_BYTES", 60)
+    monkeypatch.setattr(fingerprint, "_RANGE_SAMPLE", sampled)
     rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"t{i % 90}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = fingerprint.with_next(df, ["text"]).select("doc_id", "text", "next.text", F.xxhash64("text")).collect()
@@ -296,6 +298,12 @@ def test_next_document_of_repeated_and_missing_ids(spark, monkeypatch):
     assert want == have
 
 
+def test_ranges_found_by_halving(spark):
+    for falling in ([], [5], [9, 7, 5], [*range(300, 0, -3)]):
+        got = spark.range(-2, 305).select("id", fingerprint._larger(falling, F.col("id"))).collect()
+        assert all(n == sum(b > i for b in falling) for i, n in got)
+
+
 def test_fingerprints_merge(spark):
     df = spark.createDataFrame([("a b c d e f g h", "c d e f g h i j k")], "x string, y string").select(fingerprint.sketch(fingerprint.shingle_hashes(F.col("x"))).alias("x"), fingerprint.sketch(fingerprint.shingle_hashes(F.col("y"))).alias("y"))
     r = df.select(fingerprint.resemblance(F.col("x"), F.col("y")), fingerprint.containment(F.col("x"), F.col("y")), F.size(fingerprint.merge(F.col("x"), F.col("y")))).first()
