@@ -103,14 +103,15 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     total, nameless = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first() if ranges > 1 else (1, 0)
     cuts = Counter(_cuts(docs.where("doc_id is not null").select("doc_id"), ranges, total - nameless))
     bounds = sorted(cuts, reverse=True)
-    place = _larger(bounds, F.col("doc_id"))
+    place = F.col("_place")
     part = F.when(F.col("doc_id").isNotNull(), place).otherwise(len(bounds) + 1).cast("long")
     # of a hash range: from 0 in the order of the hash
     slice_ = lambda n: F.least(F.floor((F.col("_hash").cast("double") + F.lit(_SPAN / 2)) / F.lit(_SPAN) * n), n - 1).cast("long")
     times = F.get(_longs([cuts[b] for b in bounds]), place)
     hot = (F.get(_longs(bounds), place) == F.col("doc_id")) & (times > 1)
     within = F.when(F.col("doc_id").isNull(), slice_(F.lit(max(1, round(ranges * nameless / max(1, total)))))).when(hot, 1 + slice_(times))
-    dealt = docs.withColumn("_hash", F.xxhash64(*columns)).withColumn("_part", part * (_RANGES + 2) + within.otherwise(F.lit(0)))
+    placed = docs.withColumn("_hash", F.xxhash64(*columns)).withColumn("_place", _larger(bounds, F.col("doc_id")))
+    dealt = placed.withColumn("_part", part * (_RANGES + 2) + within.otherwise(F.lit(0))).drop("_place")
     row = F.struct(*columns)
     window = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), "_hash", *columns)
     led = dealt.withColumn("_lead", F.lead(row).over(window))
