@@ -63,10 +63,14 @@ def all_candidates(spark: SparkSession) -> DataFrame:
 
 def dedupe_casefold(df: DataFrame, column: str, *, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
     """One row for each spelling that differs in more than case and white space: the first in ``order``,
-    then in binary order. The text that stays has its white space normalised."""
+    then in binary order. The text that stays has its white space normalised.
+
+    Texts are told apart by 256 bits of SHA-2. A spelling that is frequent is reduced before the shuffle.
+    """
     cleaned = X.normalize_space(column)
-    key = Window.partitionBy(*by, X.casefold(cleaned)).orderBy(*order, cleaned, F.col(column))
-    return df.withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n").withColumn(column, cleaned)
+    first = F.min_by(F.struct("*"), F.struct(*order, cleaned, F.col(column))).alias("_first")
+    key = F.sha2(X.casefold(cleaned), 256).alias("_key")
+    return df.groupBy(*by, key).agg(first).select("_first.*").withColumn(column, cleaned)
 
 
 def pool_order(tier: Column, prompt: Column, seed: int = SEED) -> list[Column]:
