@@ -199,6 +199,22 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     left = half.join(met, "key").groupBy("id").agg(*(F.collect_set(F.when(side, F.col("key"))).alias(n) for n, side in (("first", F.col("place") < halves), ("second", F.col("place") >= halves))))
     tables = left.select("id", F.explode("first").alias("p"), "second").select("id", "p", F.explode("second").alias("q")).select(F.xxhash64("p", "q").alias("key"), "id")
     tables = work.save(tables)
+    sizes = classes.groupBy("id").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    labels = grouped(tables, sizes, texts, shingle_words, percent, work)
+
+    several = classes.where("copies > 1").select("set_hash", "id")
+    base = signed.select("doc_id", "n_shingles", "set_hash").join(several, "set_hash", "left").withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")))
+    out = base.join(labels, base.id == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def grouped(tables: DataFrame, sizes: DataFrame, texts: DataFrame, shingle_words: int, percent: int, work: Workspace) -> DataFrame:
+    """(node, component) of what links of ``percent`` connect among ids that share buckets.
+
+    ``tables``: saved rows (key, id), each once, any linked pair in a bucket of one key at least; it is dropped.
+    ``sizes``: (id, lo, hi), the smallest and largest set of an id. ``texts``: (doc_id, text).
+    Each bucket is compared with one centre; what stays apart meets across components (``_across``).
+    """
     # many buckets hold the same classes; one of each is enough
     marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"mark{i}") for i in range(2)]
     met = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
@@ -207,7 +223,6 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     work.drop(tables)
     # the text that others are copies of meets more of them than they do each other: it makes the best centre
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    sizes = classes.groupBy("id").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     buckets = work.save(shared.join(weight.join(sizes, "id"), "id").select("key", "id", "weight", "lo", "hi"))
     work.drop(shared)
 
@@ -229,11 +244,8 @@ def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words:
     more = _linked(rest, sets, percent, work)
     if not more.isEmpty():
         labels = connected_components(links.union(more), work)
-
-    several = classes.where("copies > 1").select("set_hash", "id")
-    base = signed.select("doc_id", "n_shingles", "set_hash").join(several, "set_hash", "left").withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")))
-    out = base.join(labels, base.id == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    work.drop(buckets, sets, tested, links, members, rest, more)
+    return labels
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
