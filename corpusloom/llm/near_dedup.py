@@ -227,7 +227,9 @@ def grouped(tables: DataFrame, sizes: DataFrame, texts: DataFrame, shingle_words
     work.drop(shared)
 
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    sets = work.save(maybe_in(texts, "doc_id", wanted).where("maybe").select("row.*").join(wanted, "doc_id").mapInArrow(_sets(shingle_words), "id long, members binary"))
+    # a set too many, where the bitmap lets one pass, costs less than a shuffle of the texts
+    sets = work.save(maybe_in(texts, "doc_id", wanted).where("maybe").select("row.*").mapInArrow(_sets(shingle_words), "id long, members binary"))
+    work.release()
     centre = buckets.groupBy("key").agg(F.max_by(F.struct("id", "lo", "hi"), F.struct(F.col("weight"), -F.col("id"))).alias("c"))
     others = buckets.join(centre, "key").where("id <> c.id")
     # sets whose sizes differ too much aren't linked; an id of several texts has the sizes lo to hi
@@ -235,6 +237,7 @@ def grouped(tables: DataFrame, sizes: DataFrame, texts: DataFrame, shingle_words
     tested = work.save(others.where(fit).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
     links = _linked(tested, sets, percent, work)
     labels = connected_components(links, work)
+    work.release()
 
     component = F.coalesce("component", "id").alias("component")
     placed = others.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", component)

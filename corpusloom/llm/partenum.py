@@ -175,7 +175,9 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words
     classes = alone.unionAll(first.select("doc_id", "n_shingles", "keys"))
     rows = classes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     met = work.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    work.release()
     tables = work.save(maybe_in(rows, "key", met).where("maybe").select("row.*").join(met, "key").distinct())
+    work.release()
     sizes = usable.groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     labels = grouped(tables, sizes, texts, shingle_words, percent, work)
     work.drop(met)
