@@ -20,19 +20,28 @@ TERM_RANKS = 200
 #: Shares are whole parts of this.
 UNIT = 1_000_000_000
 #: Text that one automaton reads; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Texts that wait for their block to fill, of all languages of a task.
-WAITING_BYTES = 16 << 20
+WAITING_BYTES = 24 << 20
 #: Groups of a language's sources that meet one another in a task each.
 SLICES = 8
 #: A byte that is no part of a term becomes a space, A-Z become a-z; all bytes of letters beyond ASCII are kept.
 _PLAIN = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
-_BLOCK = "block long, lang string, sources array<string>, texts array<string>, terms array<string>, dfs array<int>"
+_BLOCK = "block long, lang string, sources array<string>, texts array<string>, own array<string>, terms array<string>, dfs array<int>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of one language, put together to blocks: terms padded by single spaces, and in how many documents each is."""
+def _blocks(min_docs: int):
+    """Texts of one language, put together to blocks: terms padded by single spaces, in how many documents each is,
+    and which are in so many of the block's ``own`` that they are kept whatever other blocks have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_blocks(batches, min_docs)
+
+    return run
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     number = (task.partitionId() if task else 0) << 32
     waiting: dict[str, list] = defaultdict(lambda: [0, [], [], Counter()])
@@ -42,9 +51,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal number, total
         size, sources, texts, dfs = waiting.pop(lang)
         number, total = number + 1, total - size
-        row = [[number], [lang], [sources], [texts], [list(dfs)], [list(dfs.values())]]
-        kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["block", "lang", "sources", "texts", "terms", "dfs"])
+        row = [[number], [lang], [sources], [texts], [[t.decode() for t, n in dfs.items() if n >= min_docs]], [[t.decode() for t in dfs]], [list(dfs.values())]]
+        strings = pa.list_(pa.string())
+        kinds = [pa.int64(), pa.string(), strings, strings, strings, strings, pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["block", "lang", "sources", "texts", "own", "terms", "dfs"])
 
     for batch in chunks(batches):
         langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
@@ -58,7 +68,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total += len(padded)
             own[1].append(source)
             own[2].append(padded.decode())
-            own[3].update({t.decode() for t in set(terms)})
+            own[3].update(set(terms))
             if own[0] >= BLOCK_BYTES:
                 yield filled(lang)
             elif total >= WAITING_BYTES:
@@ -71,7 +81,10 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each kept term occurs in the texts of each source: an automaton of a block's kept terms, padded, reads them."""
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, sources, texts, kept = (batch.column(c)[i].as_py() for c in ("lang", "sources", "texts", "kept"))
+            lang, sources, texts, own, asked = (batch.column(c)[i].as_py() for c in ("lang", "sources", "texts", "own", "asked"))
+            kept = own + (asked or [])
+            if not kept:
+                continue
             finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for j, term in enumerate(kept):
                 finder.add_word(f" {term} ", j)
@@ -80,9 +93,9 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for source, text in zip(sources, texts, strict=True):
                 of_source[source].append(text)
             out: list[tuple[str, int, int]] = []
-            for source, own in of_source.items():
+            for source, of_it in of_source.items():
                 found: Counter[int] = Counter()
-                for text in own:
+                for text in of_it:
                     found.update(map(itemgetter(1), finder.iter(text)))
                 out += [(source, j, n) for j, n in found.items()]
             if out:
@@ -167,7 +180,7 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, term_ranks: int = TERM_R
     1. A pass over the texts puts them into blocks of one language and counts, for each block, in how many documents
        each term is; sums by language and term are the exact document frequencies.
     2. Each block is given the kept terms that it has, so an automaton holds no more than a block's terms however many a
-       language has, and recounts occurrences by source.
+       language has, and recounts occurrences by source. One shuffle of (block, term) brings the sums back to the blocks.
     3. Postings (lang, source, term) are sparse: a term that a source lacks has the source's base share. A pair's sum
        is that of two base shares over all terms, corrected where either source has the term, by a histogram of its
        shares, and where both do, from the postings of the term. All arithmetic is on whole numbers.
@@ -179,22 +192,23 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, term_ranks: int = TERM_R
     work = Workspace(spark, "audit")
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     groups = rows.select("lang", "source").distinct()
-    blocks = work.save(rows.mapInArrow(_blocks, _BLOCK))
+    blocks = work.save(rows.mapInArrow(_blocks(min_docs), _BLOCK))
 
     pairs = blocks.select("block", "lang", F.explode(F.arrays_zip("terms", "dfs")).alias("t")).select("block", "lang", F.col("t.terms").alias("term"), F.col("t.dfs").alias("n"))
-    vocabulary = work.save(pairs.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("lang", "term"))
-    kept = pairs.select("block", "lang", "term").join(vocabulary, ["lang", "term"]).groupBy("block").agg(F.collect_list("term").alias("kept"))
-    texts = blocks.select("block", "lang", "sources", "texts").join(kept.hint("shuffle_hash"), "block")
-    counted = texts.select("lang", "sources", "texts", "kept").mapInArrow(_recount, "lang string, source string, term string, n long")
+    every = pairs.withColumn("every", F.sum("n").over(Window.partitionBy("lang", "term")))
+    # a block knows itself what it has often enough
+    asked = every.where((F.col("every") >= min_docs) & (F.col("n") < min_docs)).groupBy("block").agg(F.collect_list("term").alias("asked"))
+    texts = blocks.select("block", "lang", "sources", "texts", "own").join(asked.hint("shuffle_hash"), "block", "left")
+    counted = texts.select("lang", "sources", "texts", "own", "asked").mapInArrow(_recount, "lang string, source string, term string, n long")
     postings = work.save(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
     work.drop(blocks)
+    work.release()
 
-    kinds = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = postings.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
     totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     stats = groups.join(totals, ["lang", "source"], "left").join(kinds, "lang", "left").na.fill(0, ["total", "kinds"])
     stats = work.save(stats.select("lang", "source", "total", "kinds", _share(F.lit(0).cast("long"), "total", "kinds").alias("base")))
     shares = postings.join(stats, ["lang", "source"]).select("lang", "source", "term", "n", _share("n", "total", "kinds").alias("p"), "base")
-    shares = work.save(shares)
     by_term = shares.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "p", "base")).alias("occ"))
     by_term = work.save(by_term)
 
