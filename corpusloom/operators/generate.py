@@ -62,15 +62,23 @@ def all_candidates(spark: SparkSession) -> DataFrame:
 
 
 def dedupe_casefold(df: DataFrame, column: str, *, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each spelling that differs in more than case and white space: the first in ``order``,
-    then in binary order. The text that stays has its white space normalised.
+    """One row for each spelling that differs in more than case and white space: the first in ``order``, without one
+    that in binary order. The text that stays has its white space normalised.
 
-    Texts are told apart by 256 bits of SHA-2. A spelling that is frequent is reduced before the shuffle.
+    Texts are told apart by 256 bits of SHA-2. With an ``order`` only that and the key are sorted, and joined back by both,
+    so a frequent spelling is in no task whole and texts that nobody reads aren't moved. Rows equal in order
+    are told apart by a hash of their text.
     """
     cleaned = X.normalize_space(column)
-    first = F.min_by(F.struct("*"), F.struct(*order, cleaned, F.col(column))).alias("_first")
-    key = F.sha2(X.casefold(cleaned), 256).alias("_key")
-    return df.groupBy(*by, key).agg(first).select("_first.*").withColumn(column, cleaned)
+    key = F.unhex(F.sha2(X.casefold(cleaned), 256)).alias("_key")
+    if not order:
+        first = F.min_by(F.struct("*"), F.struct(cleaned, F.col(column))).alias("_first")
+        return df.groupBy(*by, key).agg(first).select("_first.*").withColumn(column, cleaned)
+    rows = df.select("*", key, F.struct(*order, F.xxhash64(column).alias("_text")).alias("_mark"))
+    firsts = rows.groupBy(*by, "_key").agg(F.min("_mark").alias("_mark")).select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(by)), F.col("_key").alias("_k"), F.col("_mark").alias("_m"))
+    same = [F.col("_key").eqNullSafe(F.col("_k")), F.col("_mark") == F.col("_m"), *(F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by))]
+    kept = rows.join(firsts, reduce(lambda a, b: a & b, same), "left_semi").dropDuplicates([*by, "_key", "_mark"])
+    return kept.drop("_key", "_mark").withColumn(column, cleaned)
 
 
 def pool_order(tier: Column, prompt: Column, seed: int = SEED) -> list[Column]:
@@ -83,6 +91,32 @@ def ranked(df: DataFrame, *, by: str = "tier", text: str = "prompt", seed: int =
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*pool_order(F.col(by), F.col(text), seed))))
 
 
+#: Hexadecimal digits of the shuffled order that deal a group's rows to ranges.
+RANGE_DIGITS = 3
+
+
+def first_of_each(df: DataFrame, *, by: str, text: str, wanted: Column, seed: int = SEED) -> DataFrame:
+    """Adds rank: the first rows of each group in the shuffled order of ``ranked``, ``wanted`` of them, which may
+    depend on ``size``, the rows of the group.
+
+    The order is by a hash, so ranges of it hold like numbers of rows. Their exact counts tell the rank at which each
+    range begins; ranges beyond what is wanted go before anything is sorted, and each of the others is ranked
+    in a task of its own. So no task sees a group, and what is chosen is exact. A row without ``by`` is of a group
+    of its own; ``text`` tells rows apart, equal ones having no order among them.
+    """
+    group = F.coalesce(F.col(by).cast("string"), F.lit(""))
+    digest, _ = pool_order(group, F.coalesce(F.col(text).cast("string"), F.lit("")), seed)
+    rows = df.withColumns({"_at": digest, "_range": F.substring(digest, 1, RANGE_DIGITS)})
+    counts = rows.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias("size"))
+    starts = starts.withColumn("_wanted", wanted).where("_before < _wanted").drop("size")
+    near = rows.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    within = F.row_number().over(Window.partitionBy(by, "_range").orderBy("_at", text))
+    ranked_ = near.withColumn("rank", F.col("_before") + within).where("rank <= _wanted")
+    return ranked_.drop("_at", "_range", "_by", "_r", "_before", "_wanted")
+
+
 def select_corpus(pool: DataFrame) -> DataFrame:
     """tier, prompt, rank, number, review_required of the selected instructions.
 

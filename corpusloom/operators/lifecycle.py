@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import rules as R
 from corpusloom.functions import text as X
 from corpusloom.functions import vocab as V
+from corpusloom.sources.unknown import without
+
 
 def block_name(code: str) -> str:
     return f"translation_{code}"
@@ -89,6 +91,7 @@ def make_ready(raw: DataFrame, *, label: str = "validated_assumed", overwrite: b
     forms = F.struct(F.struct(canonical.alias("canonical"), natural.alias("robot_natural")).alias("en"), *(field(raw, f"instruction_multilingual.{c}", stub).alias(c) for c in V.LANGUAGES))
     stamped = F.col("metadata") if _has(raw, "metadata") else F.struct(F.lit("").alias("translation_status"))
     validator = F.col(V.VALIDATOR) if _has(raw, V.VALIDATOR) else F.struct(F.lit(True).alias("validated"))
+    raw = without(raw, "translation_protocol", "instruction_multilingual.en", *(block_name(c) for c in V.LANGUAGES))
     return raw.withColumn("_folded", X.casefold(canonical)).withColumns(
         {
             V.VALIDATOR: validator.withField("validated", F.lit(True)).withField("validation_status", F.lit(label)),
@@ -240,11 +243,37 @@ class NotReleasable(ValueError):
 
 def finalize(records: DataFrame, *, require_approved: bool = False) -> DataFrame:
     """The released records. The first record by prompt_id that lacks a translation or, if required, an approval is an error."""
-    gap = missing_translations(records).orderBy("prompt_id", "lang_ord").first()
-    if gap:
-        raise NotReleasable(f"{gap.prompt_id} is missing {gap.code} translations.")
-    if require_approved and (gap := unapproved(records).orderBy("prompt_id").first()):
-        raise NotReleasable(f"{gap.prompt_id} has untranslated or unapproved review blocks for {list(gap.codes)}.")
+    watched_, watch = watched(records, require_approved=require_approved)
+    watched_.write.format("noop").mode("overwrite").save()
+    refuse(watch)
+    return released(records)
+
+
+def watched(records: DataFrame, *, require_approved: bool) -> tuple[DataFrame, Observation]:
+    """The records, and what forbids their release, known once they have been written in any way: no pass of its own.
+
+    The smallest prompt_id decides which record is named; of it, the first language.
+    """
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    block = {c: F.col(block_name(c)) for c in V.LANGUAGES}
+    gaps = F.array_compact(F.array(*(F.when(empty(b["literal"]) | empty(b["robot_natural"]), c) for c, b in block.items())))
+    closed = F.array_compact(F.array(*(F.when(~F.coalesce(b["review"]["review_status"] == "approved", F.lit(False)), c) for c, b in block.items())))
+    first = lambda codes: F.min(F.when(F.size(codes) > 0, F.struct("prompt_id", codes.alias("codes"))))
+    watch = Observation()
+    return records.observe(watch, first(gaps).alias("untranslated"), (first(closed) if require_approved else F.max(F.lit(None))).alias("unapproved")), watch
+
+
+def refuse(watch: Observation) -> None:
+    """Raises what ``watched`` has found."""
+    found = watch.get
+    if gap := found.get("untranslated"):
+        raise NotReleasable(f"{gap[0]} is missing {gap[1][0]} translations.")
+    if gap := found.get("unapproved"):
+        raise NotReleasable(f"{gap[0]} has untranslated or unapproved review blocks for {list(gap[1])}.")
+
+
+def released(records: DataFrame) -> DataFrame:
+    """The records in the form of a release, whether they may be released or not."""
     forms = F.col("instruction_multilingual")
     for c in V.LANGUAGES:
         b = F.col(block_name(c))
@@ -253,4 +282,5 @@ def finalize(records: DataFrame, *, require_approved: bool = False) -> DataFrame
     for name, value in (("translation_status", "complete"), ("stage", "multilingual_complete"), ("next_required_step", "downstream_multilingual_qc_or_release")):
         pipeline = pipeline.withField(name, F.lit(value))
     gate = review_gate([F.col(block_name(c))["review"]["review_status"] for c in V.LANGUAGES])
+    records = without(records, *(f"instruction_multilingual.{c}" for c in V.LANGUAGES))
     return records.withColumns({"instruction_multilingual": forms, "metadata": F.col("metadata").withField("translation_status", F.lit("complete")), "pipeline": pipeline.withField("review_gate", gate)})

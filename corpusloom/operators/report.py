@@ -13,8 +13,18 @@ from corpusloom.functions import vocab as V
 from corpusloom.operators.lifecycle import block_complete, block_name, field, long_form
 
 
-def manifest(records: DataFrame) -> DataFrame:
-    """One row for each record and language, with lang_ord for the order within a record."""
+def was(b: Column) -> Column:
+    """What the counts of a corpus take from a language's block."""
+    return F.struct(
+        F.coalesce(b["status"], F.lit("missing")).alias("status"),
+        F.coalesce(b["review"]["review_status"], F.lit("missing")).alias("review"),
+        *(F.coalesce(b["verification"][c], F.lit(False)).alias(c) for c in V.CHECKS),
+        block_complete(b["status"], b["literal"], b["robot_natural"]).alias("complete"),
+    )
+
+
+def manifest(records: DataFrame, *, counted: bool = False) -> DataFrame:
+    """One row for each record and language, with lang_ord for the order within a record; ``counted`` adds ``was``."""
     meta = lambda n: field(records, f"metadata.{n}", F.lit(None).cast("boolean")).alias(n)
     kept = records.select(
         "prompt_id",
@@ -34,7 +44,8 @@ def manifest(records: DataFrame) -> DataFrame:
     )
     b = F.col("block")
     name = F.element_at(F.create_map(*(F.lit(x) for c, (n, _) in V.LANGUAGES.items() for x in (c, n))), F.col("code"))
-    return long_form(kept, "prompt_id", "tier", "subtier", "instruction_en", "context", fields=("literal", "robot_natural", "verification", "review", "translation_notes")).select(
+    return long_form(kept, "prompt_id", "tier", "subtier", "instruction_en", "context", fields=("literal", "robot_natural", "verification", "review", "translation_notes", *(("status",) if counted else ()))).select(
+        *((was(b).alias("was"),) if counted else ()),
         "prompt_id",
         "tier",
         "subtier",
@@ -61,27 +72,51 @@ def pass_counts(long: DataFrame, checks: dict[str, Column], code: str = "code")
     return counted.where(" + ".join(checks) + " > 0")
 
 
-def summary(records: DataFrame, assumptions: dict[str, Any]) -> dict[str, Any]:
-    """The summary document. Two passes of partial aggregation; the driver gets counts only."""
-    tiers = {r.tier: r.n for r in records.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tiers = dict(sorted(tiers.items(), key=lambda x: (x[0] is None, x[0] or "")))
-    total = sum(tiers.values())
-    b = F.col("block")
-    long = long_form(records, fields=("status", "review", "verification"))
-    groups = long.groupBy("code", F.coalesce(b["status"], F.lit("missing")).alias("status"), F.coalesce(b["review"]["review_status"], F.lit("missing")).alias("review"))
-    rows = groups.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.coalesce(b["verification"][c], F.lit(False))).alias(c) for c in V.CHECKS)).collect()
+#: (tier, code, status, review, which checks are passed, complete) -> language jobs. Its size is that of the vocabularies.
+Tally = dict[tuple[str | None, str, str, str, tuple[bool, ...], bool], int]
+
+
+def tally(records: DataFrame) -> Tally:
+    """All that summary and run state count, in one pass; the driver gets counts only."""
+    counted = long_form(records, "tier", fields=("status", "review", "verification", "literal", "robot_natural")).select("tier", "code", was(F.col("block")).alias("was"))
+    return tallied(counted.groupBy("tier", "code", "was").agg(F.count(F.lit(1)).alias("n")))
+
+
+def tallied(rows: DataFrame) -> Tally:
+    """(tier, code, was, n) as a tally; n may be negative, for what is taken back."""
+    out: Tally = {}
+    for r in rows.collect():
+        key = (r.tier, r.code, r.was.status, r.was.review, tuple(r.was[c] for c in V.CHECKS), r.was.complete)
+        out[key] = out.get(key, 0) + r.n
+    return out
+
+
+def plus(a: Tally, b: Tally) -> Tally:
+    both = {k: a.get(k, 0) + b.get(k, 0) for k in {**a, **b}}
+    return {k: n for k, n in both.items() if n}
+
+
+def summary(records: DataFrame | Tally, assumptions: dict[str, Any]) -> dict[str, Any]:
+    """The summary document, of records or of their tally."""
+    counts = tally(records) if isinstance(records, DataFrame) else records
+    first = next(iter(V.LANGUAGES))
+    tiers: dict[str | None, int] = {}
     status: dict[str, dict[str, int]] = {}
     review: dict[str, dict[str, int]] = {}
     passed: dict[str, dict[str, int]] = {}
-    for code in V.LANGUAGES:
-        for r in sorted((r for r in rows if r.code == code), key=lambda r: (r.status, r.review)):
-            for counts, key in ((status, r.status), (review, r.review)):
-                own = counts.setdefault(code, {})
-                own[key] = own.get(key, 0) + r.n
-            if any(r[c] for c in V.CHECKS):
-                own = passed.setdefault(code, dict.fromkeys(V.CHECKS, 0))
-                for c in V.CHECKS:
-                    own[c] += r[c]
+    order = {c: i for i, c in enumerate(V.LANGUAGES)}
+    for (tier, code, state, reviewed, checks, _), n in sorted(counts.items(), key=lambda x: (order[x[0][1]], x[0][2], x[0][3])):
+        if code == first:
+            tiers[tier] = tiers.get(tier, 0) + n
+        for doc, key in ((status, state), (review, reviewed)):
+            own = doc.setdefault(code, {})
+            own[key] = own.get(key, 0) + n
+        if any(checks):
+            own = passed.setdefault(code, dict.fromkeys(V.CHECKS, 0))
+            for c, is_passed in zip(V.CHECKS, checks, strict=True):
+                own[c] += n * is_passed
+    tiers = dict(sorted(tiers.items(), key=lambda x: (x[0] is None, x[0] or "")))
+    total = sum(tiers.values())
     return {
         "assumptions": assumptions,
         "total_prompts": total,
@@ -99,16 +134,47 @@ def summary(records: DataFrame, assumptions: dict[str, Any]) -> dict[str, Any]:
     }
 
 
+def summary_rows(records: DataFrame) -> DataFrame:
+    """section, key, n: the counts of the summary document as rows. One pass of grouping sets; nothing goes to the driver."""
+    b = F.col("block")
+    long = long_form(records, "tier", fields=("status", "review", "verification")).select(
+        "tier", "lang_ord", "code", F.coalesce(b["status"], F.lit("missing")).alias("status"), F.coalesce(b["review"]["review_status"], F.lit("missing")).alias("review"),
+        *(F.coalesce(b["verification"][c], F.lit(False)).alias(c) for c in V.CHECKS),
+    )
+    tier, code, status, review = (F.col(c) for c in ("tier", "code", "status", "review"))
+    sets = long.groupingSets([[], [tier], [code], [code, status], [code, review]], tier, code, status, review)
+    counted = sets.agg(F.grouping_id().alias("set"), F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("lang_ord") == 0).alias("prompts"), *(F.count_if(c).alias(c) for c in V.CHECKS))
+    entry = lambda section, key, n: F.struct(F.lit(section).alias("section"), key.alias("key"), n.alias("n"))
+    slash = lambda key: F.concat(code, F.lit("/"), key)
+    checks = [entry("verification_pass_counts", slash(F.lit(c)), F.col(c)) for c in V.CHECKS]
+    some = sum((F.col(c) for c in V.CHECKS), F.lit(0)) > 0
+    # a bit of ``set`` is 1 for a column that the set leaves out: tier 8, code 4, status 2, review 1
+    rows = F.when(F.col("set") == 15, F.array(entry("total", F.lit("prompts"), F.col("prompts")), entry("total", F.lit("jobs"), F.col("jobs"))))
+    rows = rows.when(F.col("set") == 7, F.array(entry("tier", tier, F.col("prompts"))))
+    rows = rows.when((F.col("set") == 11) & some, F.array(*checks))
+    rows = rows.when(F.col("set") == 9, F.array(entry("translation_status_counts", slash(status), F.col("jobs"))))
+    rows = rows.when(F.col("set") == 10, F.array(entry("review_status_counts", slash(review), F.col("jobs"))))
+    return counted.select(F.inline(rows))
+
+
 def job_counts(long: DataFrame, status: Column, literal: Column, natural: Column) -> DataFrame:
     """translated and pending language jobs, one row."""
     complete = block_complete(status, literal, natural)
     return long.agg(F.count_if(complete).alias("translated_language_jobs"), F.count_if(~complete).alias("pending_language_jobs"))
 
 
-def run_state(records: DataFrame, *, method: str, model: str, verifier: str | None, completed: int, total: int) -> dict[str, Any]:
-    b = F.col("block")
-    jobs = job_counts(long_form(records, fields=("status", "literal", "robot_natural")), b["status"], b["literal"], b["robot_natural"]).first()
-    return {"translation_method": method, "translation_model": model, "verification_model": verifier, "completed_batches": completed, "total_batches": total, **jobs.asDict()}
+def run_state(records: DataFrame | Tally, *, method: str, model: str, verifier: str | None, completed: int, total: int) -> dict[str, Any]:
+    counts = tally(records) if isinstance(records, DataFrame) else records
+    done = sum(n for key, n in counts.items() if key[-1])
+    return {
+        "translation_method": method,
+        "translation_model": model,
+        "verification_model": verifier,
+        "completed_batches": completed,
+        "total_batches": total,
+        "translated_language_jobs": done,
+        "pending_language_jobs": sum(counts.values()) - done,
+    }
 
 
 def flat(records: DataFrame) -> DataFrame:

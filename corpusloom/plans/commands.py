@@ -10,14 +10,18 @@ import importlib
 from dataclasses import asdict, dataclass
 from functools import partial
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import vocab as V
 from corpusloom.operators import generate as G
 from corpusloom.operators import lifecycle as L
 from corpusloom.operators import report as P
 from corpusloom.session import session
+from corpusloom.sources import files
 from corpusloom.sources import records as S
+from corpusloom.sources.snapshots import SnapshotTable, Version, upsert
 from corpusloom.streaming import translate as M
 from corpusloom.streaming.models import DEVICES, DTYPES, Seq2SeqTranslator, usable_verifier
 
@@ -45,22 +49,52 @@ def generate(spark: SparkSession, paths: Paths) -> None:
     print(f"{sum(r.pool for r in rows)} candidates retained, {sum(r.selected for r in rows)} prompts selected, saved to {paths.raw}")
 
 
-def read_records(spark: SparkSession, path: str, ready: bool = True):
-    """Corpus records with their full schema, whatever fields the file happens to hold."""
+def _schema(spark: SparkSession, ready: bool) -> T.StructType:
     raw = G.entry_columns(spark.createDataFrame([], "tier string, prompt string, number long, review_required boolean"))
-    return S.read_jsonl(spark, path, (L.make_ready(raw) if ready else raw).schema)
+    return (L.make_ready(raw) if ready else raw).schema
 
 
-def _publish(records, manifest: str, summary: str, assumptions: dict) -> None:
-    S.write_jsonl(P.manifest(records), manifest, ("prompt_id", "lang_ord"))
-    frozen = {"english_source_frozen": True, V.VALIDATION_COMPLETE: True}
-    S.write_json(records.sparkSession, summary, P.summary(records, frozen | assumptions))
+def read_records(spark: SparkSession, path: str, ready: bool = True, version: Version | None = None) -> DataFrame:
+    """Corpus records with their full schema, whatever fields the file happens to hold; keys that it lacks are kept beside."""
+    return S.read_records(spark, path, _schema(spark, ready), version)
+
+
+MANIFEST_KEY = ("prompt_id", "lang_ord")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest as its last commit left it: of each record and language the row that came last."""
+    empty = P.manifest(spark.createDataFrame([], _schema(spark, True)))
+    table = S.record_table(spark, path)
+    rows = table.read(schema="value string", order="_place")
+    parsed = rows.select(F.from_json("value", empty.schema, {"mode": "FAILFAST"}).alias("r"), "_place").select("r.*", "_place")
+    return L.last_wins(parsed, ("prompt_id", "lang_ord"), "_place").drop("_place")
+
+
+def _publish(records: DataFrame, manifest: str, summary: str, assumptions: dict, counts: P.Tally | None = None) -> P.Tally:
+    """Manifest and summary of records; returns what they count."""
+    S.record_table(records.sparkSession, manifest).replace(S.lines_of(P.manifest(records), MANIFEST_KEY))
+    counts = P.tally(records) if counts is None else counts
+    _summarise(records.sparkSession, summary, counts, assumptions)
+    return counts
+
+
+def _summarise(spark: SparkSession, path: str, counts: P.Tally, assumptions: dict) -> None:
+    S.write_json(spark, path, P.summary(counts, {"english_source_frozen": True, V.VALIDATION_COMPLETE: True} | assumptions))
+
+
+def _report(**places: str | int | None) -> None:
+    width = max(map(len, places))
+    for name, value in places.items():
+        print(f"{name.replace('_', ' '):{width}}  {value}")
 
 
 def prepare(spark: SparkSession, paths: Paths, *, label: str = "validated_assumed", limit: int | None = None) -> None:
     raw = L.first_rows(read_records(spark, paths.raw, ready=False), "prompt_id", limit)
-    S.write_jsonl(L.make_ready(raw, label=label), paths.ready, ("prompt_id",))
-    _publish(read_records(spark, paths.ready), paths.manifest, paths.summary, {"validation_status_label": label})
+    version = S.record_table(spark, paths.ready).replace(S.lines_of(L.make_ready(raw, label=label), ("prompt_id",)))
+    counts = _publish(read_records(spark, paths.ready, version=version), paths.manifest, paths.summary, {"validation_status_label": label})
+    jobs = sum(counts.values())
+    _report(records=paths.ready, manifest=paths.manifest, summary=paths.summary, prompts=jobs // len(V.LANGUAGES), language_jobs=jobs)
 
 
 def translate(
@@ -70,10 +104,15 @@ def translate(
     """False if nothing was pending; then nothing is written and no model loaded.
 
     ``verifier`` names the model of the way back, which ``back`` makes (``load`` without it); None skips verification.
-    With ``fallback`` a run goes on unverified if that model is refused. The run state is written after every
-    commit of ``batches_a_commit`` batches, records, manifest and summary when the run ends.
+    With ``fallback`` a run goes on unverified if that model is refused.
+
+    After every commit of ``batches_a_commit`` batches manifest, summary and run state are those of all that is
+    translated by then: counts go on from those before the run by what the commit has changed, and the manifest gets the
+    rows that it has changed. Records are merged when a run ends, onto whatever another writer has made of them meanwhile;
+    until then, and after a crash, the table of translations holds what was done.
     """
-    records = read_records(spark, paths.ready)
+    newest = S.record_table(spark, paths.ready).latest()
+    records = read_records(spark, paths.ready, version=newest)
     todo = L.pending(records)
     waiting = todo.count()
     if not waiting or max_batches == 0:
@@ -81,26 +120,51 @@ def translate(
     if verifier is not None and not usable_verifier(spark, back or load, fallback=fallback):
         verifier = None
     state = {"method": method, "model": model, "verifier": verifier}
+    names = {"translation_method": method, "translation_model": model, "verification_model": verifier}
+    table, manifest = SnapshotTable(spark, paths.translations), S.record_table(spark, paths.manifest)
+
+    def merged(now: DataFrame, done: DataFrame) -> DataFrame:
+        return L.merge_translations(now, done, model=model, method=method)
 
-    def progress(completed: int, total: int) -> None:
-        so_far = spark.read.parquet(paths.translations).dropDuplicates(["prompt_id", "code"])
-        now = P.run_state(L.merge_translations(records, so_far, model=model, method=method), **state, completed=completed, total=total)
-        S.write_json(spark, paths.state, now)
+    held = table.latest()
+    so_far = records if held is None else merged(records, table.read(held).dropDuplicates(["prompt_id", "code"]))
+    counts = _publish(so_far, paths.manifest, paths.summary, names)
+
+    def progress(completed: int, total: int, counts: P.Tally, rows: DataFrame) -> None:
+        S.write_json(spark, paths.state, P.run_state(counts, **state, completed=completed, total=total))
+        manifest.append(S.lines_of(rows))
+        _summarise(spark, paths.summary, counts, names)
+        print(f"{completed} of {total} batches")
 
     chosen = L.batches(todo, "prompt_id", batch_size, max_batches).drop("batch")
-    done = M.translate_resumably(chosen, paths.translations, load, back=back, verify=verifier is not None, batch_size=batch_size, batches_a_commit=batches_a_commit, after=progress)
-    S.write_jsonl(L.merge_translations(records, done, model=model, method=method), paths.ready, ("prompt_id",))
-    merged = read_records(spark, paths.ready)
-    names = {"translation_method": method, "translation_model": model, "verification_model": verifier}
-    _publish(merged, paths.manifest, paths.summary, names)
+    done = M.translate_resumably(chosen, paths.translations, load, back=back, verify=verifier is not None, batch_size=batch_size, batches_a_commit=batches_a_commit, counts=counts, after=progress)
+    ready = S.record_table(spark, paths.ready)
+
+    def change(lines: DataFrame | None) -> DataFrame:
+        return S.lines_of(merged(S.parsed(lines, _schema(spark, True)), done), ("prompt_id",))
+
+    upsert(ready, change, schema="value string")
+    _publish(read_records(spark, paths.ready), paths.manifest, paths.summary, names)
+    for kept in (ready, manifest):
+        kept.vacuum()
+    _report(records=paths.ready, manifest=paths.manifest, summary=paths.summary, run_state=paths.state, model=model, verifier=verifier or "skipped")
     return True
 
 
 def finalize(spark: SparkSession, paths: Paths, *, require_approved: bool = False) -> None:
-    final = L.finalize(read_records(spark, paths.ready), require_approved=require_approved)
-    S.write_jsonl(final, paths.final, ("prompt_id",))
+    """Writes the released records and looks, in the same pass, for what forbids a release; then nothing is published."""
+    records = read_records(spark, paths.ready).orderBy("prompt_id")
+    watched, watch = L.watched(records, require_approved=require_approved)
+    beside = S.stage_jsonl(L.released(watched), paths.final)
+    try:
+        L.refuse(watch)
+    except L.NotReleasable:
+        files.delete(spark, beside)
+        raise
+    files.move(spark, beside, paths.final)
     gate = {"release_ready": not require_approved, "review_gate": "approved_required" if require_approved else "not_enforced"}
-    _publish(final, paths.final_manifest, paths.final_summary, gate)
+    _publish(read_records(spark, paths.final), paths.final_manifest, paths.final_summary, gate)
+    _report(released=paths.final, manifest=paths.final_manifest, summary=paths.final_summary)
 
 
 def export(spark: SparkSession, paths: Paths, *, limit: int | None = None) -> int:

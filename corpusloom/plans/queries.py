@@ -270,18 +270,9 @@ on_records("verification_pass_counts", lambda r: P.pass_counts(L.long_form(r, fi
 on_records("run_state", lambda r: P.job_counts(L.long_form(r, fields=("status", "literal", "robot_natural")), _block("status"), _block("literal"), _block("robot_natural")), "SELECT count(*) FILTER (complete) AS translated_language_jobs, count(*) FILTER (NOT complete) AS pending_language_jobs FROM jobs")
 
 
-def corpus_summary(records: DataFrame) -> DataFrame:
-    """The summary document as rows: section, key, n."""
-    doc = P.summary(records, {})
-    rows = [("total", "prompts", doc["total_prompts"]), ("total", "jobs", doc["total_translation_jobs"]), *(("tier", t, n) for t, n in doc["tier_counts"].items())]
-    for section in ("translation_status_counts", "review_status_counts", "verification_pass_counts"):
-        rows += [(section, f"{c}/{k}", n) for c, own in doc[section].items() for k, n in own.items()]
-    return records.sparkSession.createDataFrame(rows, "section string, key string, n long")
-
-
 on_records(
     "corpus_summary",
-    corpus_summary,
+    P.summary_rows,
     "SELECT 'total' AS section, 'prompts' AS key, count(*) AS n FROM joined UNION ALL SELECT 'total', 'jobs', count(*) FROM long UNION ALL SELECT 'tier', tier, count(*) FROM joined GROUP BY tier "
     "UNION ALL SELECT 'translation_status_counts', code || '/' || coalesce(status, 'missing'), count(*) FROM long GROUP BY ALL UNION ALL SELECT 'review_status_counts', code || '/' || review, count(*) FROM long GROUP BY ALL "
     + " ".join(f"UNION ALL SELECT 'verification_pass_counts', code || '/{c}', count(*) FILTER ({c}) FROM long GROUP BY code" for c in V.CHECKS),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,3 +32,27 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     context.addPyFile(str(where))
     context._corpusloom_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of one run, in spark.checkpoint.dir; where that is unset, on this machine if all runs here.
+
+    It goes when the session's driver ends.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    path = f"{top.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).mkdirs(where)
+    context = spark.sparkContext
+
+    def gone() -> None:
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            where.getFileSystem(conf).delete(where, True)
+
+    atexit.register(gone)
+    return path

@@ -83,6 +83,65 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     move(spark, beside, path)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is none."""
+    p, fs = _path(spark, path)
+    try:
+        stream = fs.open(p)
+    except Py4JJavaError as error:
+        if "FileNotFoundException" in error.java_exception.getClass().getName():
+            return None
+        raise
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds; nothing where there is none."""
+    p, fs = _path(spark, folder)
+    if not fs.exists(p) or fs.getFileStatus(p).isFile():
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
+def put_if_absent(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Puts a whole file where none is; False, and nothing changed, if one is there. One step: of two writers one wins."""
+    beside = f"{path}.new-{uuid.uuid4().hex}"
+    p, fs = _path(spark, beside)
+    target, _ = _path(spark, path)
+    fs.mkdirs(target.getParent())
+    out = fs.create(p, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    sc = spark.sparkContext
+    try:
+        if fs.getUri().getScheme() == "file":  # its rename may replace a file; a link can't
+            paths = sc._jvm.java.nio.file.Paths
+            own = [paths.get(sc._jvm.org.apache.hadoop.fs.Path(x).toUri().getPath(), sc._gateway.new_array(sc._jvm.java.lang.String, 0)) for x in (beside, path)]
+            sc._jvm.java.nio.file.Files.createLink(own[1], own[0])
+        else:
+            how = sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            how[0] = sc._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), sc._jsc.hadoopConfiguration()).rename(p, target, how)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        if fs.exists(p):
+            fs.delete(p, False)
+    return True
+
+
 def only_part(spark: SparkSession, folder: str) -> str:
     """The one data file that a single-task write left in a folder."""
     p, fs = _path(spark, folder)

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from corpusloom.operators.report import column_widths
 from corpusloom.sources import files
+from corpusloom.sources.snapshots import SnapshotTable, Version
+from corpusloom.sources.unknown import as_json, parsed
 
 #: Rows of a sheet, by the workbook format.
 SHEET_ROWS = 1_048_576
@@ -42,15 +44,31 @@ def variant_text(v: str | Column, path: str, missing: Column) -> Column:
     return F.when(found.isNull(), missing).otherwise(F.try_variant_get(v, path, "string"))
 
 
+def record_table(spark: SparkSession, path: str) -> SnapshotTable:
+    """Records as JSON lines in a table of versions; a plain file or folder of JSON lines is its first."""
+    return SnapshotTable(spark, path, "text")
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType, version: Version | int | None = None) -> DataFrame:
+    """Records with the fields of ``schema``, and what else they have in ``unknown.UNKNOWN``; of one version of a
+    ``record_table`` or of plain JSON lines. Blank lines are skipped, a malformed line is an error."""
+    lines = record_table(spark, path).read(version, "value string")
+    return parsed(lines.where(F.trim("value", F.lit(" \t\r\n")) != ""), schema)
+
+
+def lines_of(df: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """The JSON text of each record in ``order``, unknown keys where they were."""
+    out = df.orderBy(*order) if order else df
+    return out.select(as_json(out))
+
+
 def write_jsonl(df: DataFrame, path: str, order: tuple[str, ...] = (), *, single: bool = False) -> None:
     """JSON lines in ``order``, nulls written, text not escaped. A folder is written beside the target, then
     renamed, so input and target may be the same path; after a crash ``read_jsonl`` finds the old data or all of the new.
 
     ``single`` makes one file instead of a folder of parts, by one task: for exports of known size.
     """
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    out = df.orderBy(*order) if order else df
-    (out.coalesce(1) if single else out).write.option("ignoreNullFields", "false").json(beside)
+    beside = stage_jsonl(df, path, order, single=single)
     if single:
         files.move(df.sparkSession, files.only_part(df.sparkSession, beside), path)
         files.delete(df.sparkSession, beside)
@@ -58,6 +76,14 @@ def write_jsonl(df: DataFrame, path: str, order: tuple[str, ...] = (), *, single
         files.move(df.sparkSession, beside, path)
 
 
+def stage_jsonl(df: DataFrame, path: str, order: tuple[str, ...] = (), *, single: bool = False) -> str:
+    """Writes JSON lines beside ``path``, where nobody looks; returns the folder, which ``files.move`` puts in place."""
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    out = lines_of(df, order)
+    (out.coalesce(1) if single else out).write.text(beside)
+    return beside
+
+
 def write_json(spark: SparkSession, path: str, document: dict[str, Any]) -> None:
     """One document, indented, with a line feed at its end."""
     files.write_bytes(spark, path, (json.dumps(document, ensure_ascii=False, indent=2) + "\n").encode())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,8 +14,10 @@ from corpusloom.functions import text as X
 from corpusloom.functions import verify as VF
 from corpusloom.functions import vocab as V
 from corpusloom.operators.lifecycle import batches, block_complete, long_form
+from corpusloom.operators.report import Tally, manifest, plus, tallied
 from corpusloom.session import ship
 from corpusloom.sources import files
+from corpusloom.sources.snapshots import SnapshotTable
 
 
 class Translator(Protocol):
@@ -106,29 +109,74 @@ def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify:
     return done.withColumn("translation_notes", notes).select("prompt_id", "code", "literal", "robot_natural", "verification", "translation_notes")
 
 
-def translate_resumably(records: DataFrame, path: str, load: Load, *, batch_size: int = 32, batches_a_commit: int = 64, max_batches: int | None = None, after: Callable[[int, int], None] | None = None, **options) -> DataFrame:
+def planned(records: DataFrame) -> DataFrame:
+    """The open ``jobs`` with what a commit needs to say what it has changed: the manifest's ``shown`` row, and ``was``, what counts take from it."""
+    rows = manifest(records, counted=True)
+    row = F.struct(*(F.col(c) for c in rows.columns if c != "was"))
+    english = F.col("instruction_en")
+    return rows.where(~F.col("was.complete")).select("prompt_id", F.col("language").alias("code"), english["canonical"].alias("canonical"), english["robot_natural"].alias("natural"), row.alias("shown"), "was")
+
+
+def changed(plan: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of translations and their jobs: rows of the manifest as they are now, and (tier, code, was, n), by how much counts change."""
+    both = plan.join(made, ["prompt_id", "code"])
+    row = F.col("shown")
+    now = row.withField("translation_target", F.struct("literal", "robot_natural")).withField("verification", F.col("verification"))
+    now = now.withField("review_assignment.status", F.lit("pending_bilingual_review")).withField("notes", F.col("translation_notes"))
+    checks = (F.coalesce(F.col("verification")[c], F.lit(False)).alias(c) for c in V.CHECKS)
+    done = F.lit("model_translated")
+    is_ = F.struct(done.alias("status"), F.lit("pending_bilingual_review").alias("review"), *checks, block_complete(done, F.col("literal"), F.col("robot_natural")).alias("complete"))
+    steps = F.array(F.struct(F.col("was").alias("was"), F.lit(-1).alias("n")), F.struct(is_.alias("was"), F.lit(1).alias("n")))
+    moved = both.select(row["tier"].alias("tier"), "code", F.explode(steps).alias("s")).groupBy("tier", "code", F.col("s.was").alias("was")).agg(F.sum("s.n").alias("n"))
+    return both.select(now.alias("shown")).select("shown.*"), moved
+
+
+class Commit(Protocol):
+    def __call__(self, completed: int, total: int, counts: Tally, rows: DataFrame) -> None:
+        """Told when a commit is in the table: batches done and of all, the counts now, the manifest's rows that it has changed."""
+
+
+def translate_resumably(
+    records: DataFrame, path: str, load: Load, *, batch_size: int = 32, batches_a_commit: int = 64, max_batches: int | None = None, counts: Tally | None = None, after: Commit | None = None, **options
+) -> DataFrame:
     """Translates what ``records`` and the table at ``path`` lack, appending a commit for every
     ``batches_a_commit`` batches; returns all translations in the table.
 
-    A run that is stopped loses what its last commit had begun. No batch is taken twice, as what the
-    table holds is left out; a key that it holds more than once counts once. ``after`` is told the number of
-    batches done, and of all, when a commit is in the table.
+    Jobs are planned once, in a table dealt by commit, so a commit reads its own. It is one version of a
+    ``SnapshotTable``: a run that is stopped loses what its last commit had begun, a commit that is repeated is there
+    once, and its part in ``counts`` (those before the run) is carried in the version's notes. No batch is taken twice, as
+    what the table holds is left out; a key that it holds more than once counts once.
     """
     spark = records.sparkSession
-    todo = jobs(records)
-    if files.exists(spark, path):
-        todo = todo.join(spark.read.parquet(path).select("prompt_id", "code"), ["prompt_id", "code"], "left_anti")
+    table = SnapshotTable(spark, path)
+    todo = planned(records)
+    held = table.latest()
+    if held is not None:
+        todo = todo.join(table.read(held).select("prompt_id", "code"), ["prompt_id", "code"], "left_anti")
     todo = batches(todo.withColumn("key", F.concat_ws("|", "prompt_id", "code")), "key", batch_size, max_batches)
     todo = todo.withColumn("commit", F.floor(F.col("batch") / batches_a_commit))
-    last, batches_ = todo.agg(F.max("commit"), F.max("batch") + 1).first()
+    name = uuid.uuid4().hex
+    plan_path = f"{path.rstrip('/')}.plan-{name}"
+    todo.write.partitionBy("commit").parquet(plan_path)
+    plan = spark.read.schema(todo.schema).parquet(plan_path)
+    last, total = plan.agg(F.max("commit"), F.max("batch") + 1).first()
+    counts = dict(counts or {})
     for commit in range(0 if last is None else last + 1):
-        part = todo.where(F.col("commit") == commit)
-        translate(part, load, batch_size=batch_size, **options).write.mode("append").parquet(path)
+        part = plan.where(F.col("commit") == commit).drop("commit")
+        moved: list[DataFrame] = []
+
+        def fold(notes: dict, made: DataFrame, part: DataFrame = part, moved: list[DataFrame] = moved) -> dict:
+            moved[:] = [*changed(part, made)]
+            return {"run": name, "counts": [[*key[:4], list(key[4]), key[5], n] for key, n in plus(counts, tallied(moved[1])).items()]}
+
+        version = table.append(translate(part, load, batch_size=batch_size, **options), run=(name, commit), fold=fold)
+        counts = {(*c[:4], tuple(c[4]), c[5]): c[6] for c in version.notes["counts"]}
         if after:
-            after(min((commit + 1) * batches_a_commit, batches_), batches_)
-    if not files.exists(spark, path):
-        return translate(todo, load, batch_size=batch_size, **options)
-    return spark.read.parquet(path).dropDuplicates(["prompt_id", "code"])
+            after(min((commit + 1) * batches_a_commit, total), total, counts, moved[0])
+    files.delete(spark, plan_path)
+    if table.latest() is None:
+        return translate(todo.limit(0), load, batch_size=batch_size, **options)
+    return table.read().dropDuplicates(["prompt_id", "code"])
 
 
 def translate_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, load: Load, *, files_a_batch: int = 1, **options) -> None:
