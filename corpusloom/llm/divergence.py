@@ -9,99 +9,56 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import Workspace, bytes_of, chunks, table
+from corpusloom.llm._common import Workspace, bytes_of, settled, table
 
 MIN_DOCS = 3
 TERM_RANKS = 200
 #: Shares are whole parts of this.
 UNIT = 1_000_000_000
-#: Text that one automaton reads; a longer document is a block of its own.
+#: Text that one automaton reads, about; a longer document is read whole.
 BLOCK_BYTES = 8 << 20
-#: Texts that wait for their block to fill, of all languages of a task.
-WAITING_BYTES = 24 << 20
+#: What names a block: texts of one language and source, and a share of them.
+BLOCK = ("lang", "source", "slot")
 #: Groups of a language's sources that meet one another in a task each.
 SLICES = 8
 #: A byte that is no part of a term becomes a space, A-Z become a-z; all bytes of letters beyond ASCII are kept.
 _PLAIN = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
-_BLOCK = "block long, lang string, sources array<string>, texts array<string>, own array<string>, terms array<string>, dfs array<int>"
-
-
-def _blocks(min_docs: int):
-    """Texts of one language, put together to blocks: terms padded by single spaces, in how many documents each is,
-    and which are in so many of the block's ``own`` that they are kept whatever other blocks have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _in_blocks(batches, min_docs)
-
-    return run
-
-
-def _in_blocks(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get()
-    number = (task.partitionId() if task else 0) << 32
-    waiting: dict[str, list] = defaultdict(lambda: [0, [], [], Counter()])
-    total = 0
-
-    def filled(lang: str) -> pa.RecordBatch:
-        nonlocal number, total
-        size, sources, texts, dfs = waiting.pop(lang)
-        number, total = number + 1, total - size
-        row = [[number], [lang], [sources], [texts], [[t.decode() for t, n in dfs.items() if n >= min_docs]], [[t.decode() for t in dfs]], [list(dfs.values())]]
-        strings = pa.list_(pa.string())
-        kinds = [pa.int64(), pa.string(), strings, strings, strings, strings, pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["block", "lang", "sources", "texts", "own", "terms", "dfs"])
-
-    for batch in chunks(batches):
-        langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        for text, lang, source in zip(bytes_of(batch.column("text")), langs, sources, strict=True):
-            terms = text.translate(_PLAIN).split()
-            if not terms:
-                continue
-            padded = b" " + b" ".join(terms) + b" "
-            own = waiting[lang]
-            own[0] += len(padded)
-            total += len(padded)
-            own[1].append(source)
-            own[2].append(padded.decode())
-            own[3].update(set(terms))
-            if own[0] >= BLOCK_BYTES:
-                yield filled(lang)
-            elif total >= WAITING_BYTES:
-                yield filled(max(waiting, key=lambda x: waiting[x][0]))
-    for lang in sorted(waiting):
-        yield filled(lang)
-
-
-def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each kept term occurs in the texts of each source: an automaton of a block's kept terms, padded, reads them."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            lang, sources, texts, own, asked = (batch.column(c)[i].as_py() for c in ("lang", "sources", "texts", "own", "asked"))
-            kept = own + (asked or [])
-            if not kept:
-                continue
-            finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for j, term in enumerate(kept):
-                finder.add_word(f" {term} ", j)
-            finder.make_automaton()
-            of_source: dict[str, list[str]] = defaultdict(list)
-            for source, text in zip(sources, texts, strict=True):
-                of_source[source].append(text)
-            out: list[tuple[str, int, int]] = []
-            for source, of_it in of_source.items():
-                found: Counter[int] = Counter()
-                for text in of_it:
-                    found.update(map(itemgetter(1), finder.iter(text)))
-                out += [(source, j, n) for j, n in found.items()]
-            if out:
-                names, at, n = zip(*out, strict=True)
-                terms = pa.array(kept, pa.string()).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(names, pa.string()), terms, pa.array(n, pa.int64())], ["lang", "source", "term", "n"])
+
+
+def _padded(got: pa.Table) -> list[bytes]:
+    """The terms of each text between single spaces."""
+    return [b" " + b" ".join(terms) + b" " if (terms := text.translate(_PLAIN).split()) else b" " for text in bytes_of(got.column("text"))]
+
+
+def _frequencies(got: pa.Table) -> pa.Table:
+    """In how many of a block's documents each term is."""
+    dfs: Counter[bytes] = Counter()
+    for text in _padded(got):
+        dfs.update(set(text.split()))
+    return pa.table([*_same(got, BLOCK, len(dfs)), pa.array([t.decode() for t in dfs], pa.string()), pa.array(dfs.values(), pa.int64())], [*BLOCK, "term", "n"])
+
+
+def _same(got: pa.Table, columns: tuple[str, ...], n: int) -> list[pa.ChunkedArray]:
+    """What all rows of a block have in these columns, n times."""
+    return [got.column(c).take(pa.array([0] * n, pa.int64())) for c in columns]
+
+
+def _recount(got: pa.Table, asked: pa.Table) -> pa.Table:
+    """How often each kept term occurs in a block, which is of one source: an automaton of the block's kept terms, padded, reads its texts."""
+    kept = asked.column("kept")[0].as_py() if asked.num_rows else []
+    found: Counter[int] = Counter()
+    if kept and got.num_rows:
+        finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for j, term in enumerate(kept):
+            finder.add_word(f" {term} ", j)
+        finder.make_automaton()
+        for text in _padded(got):
+            found.update(map(itemgetter(1), finder.iter(text.decode())))
+    return pa.table([*_same(got, BLOCK[:2], len(found)), pa.array(kept, pa.string()).take(pa.array(list(found), pa.int64())), pa.array(found.values(), pa.int64())], ["lang", "source", "term", "n"])
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -177,10 +134,10 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, term_ranks: int = TERM_R
     Part ``term``: the ``term_ranks`` kept terms that the source has more of than its language, by how far. Equal
     values go by item. A term is kept in a language if ``min_docs`` of its documents have it.
 
-    1. A pass over the texts puts them into blocks of one language and counts, for each block, in how many documents
-       each term is; sums by language and term are the exact document frequencies.
+    1. Texts are dealt by language and source into blocks of a bounded size, and each block counts in how many of its
+       documents each term is; sums by language and term are the exact document frequencies.
     2. Each block is given the kept terms that it has, so an automaton holds no more than a block's terms however many a
-       language has, and recounts occurrences by source. One shuffle of (block, term) brings the sums back to the blocks.
+       language has, and recounts their occurrences. The texts are shuffled once; both passes read that shuffle.
     3. Postings (lang, source, term) are sparse: a term that a source lacks has the source's base share. A pair's sum
        is that of two base shares over all terms, corrected where either source has the term, by a histogram of its
        shares, and where both do, from the postings of the term. All arithmetic is on whole numbers.
@@ -190,23 +147,23 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, term_ranks: int = TERM_R
     """
     spark = docs.sparkSession
     work = Workspace(spark, "audit")
-    rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    groups = rows.select("lang", "source").distinct()
-    blocks = work.save(rows.mapInArrow(_blocks(min_docs), _BLOCK))
-
-    pairs = blocks.select("block", "lang", F.explode(F.arrays_zip("terms", "dfs")).alias("t")).select("block", "lang", F.col("t.terms").alias("term"), F.col("t.dfs").alias("n"))
+    rows = settled(docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source"))), work)
+    groups = work.save(rows.groupBy("lang", "source").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")))
+
+    # a group's rows are dealt to as many blocks as its size asks for, equal texts to different ones
+    slots = groups.select("lang", "source", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("bytes") / BLOCK_BYTES)).alias("slots"))
+    slot = F.pmod(F.xxhash64("number"), F.col("slots")).alias("slot")
+    dealt = rows.withColumn("number", F.monotonically_increasing_id()).join(slots, ["lang", "source"]).select(*BLOCK[:2], slot, "text")
+    pairs = dealt.groupBy(*BLOCK).applyInArrow(_frequencies, "lang string, source string, slot long, term string, n long")
     every = pairs.withColumn("every", F.sum("n").over(Window.partitionBy("lang", "term")))
-    # a block knows itself what it has often enough
-    asked = every.where((F.col("every") >= min_docs) & (F.col("n") < min_docs)).groupBy("block").agg(F.collect_list("term").alias("asked"))
-    texts = blocks.select("block", "lang", "sources", "texts", "own").join(asked.hint("shuffle_hash"), "block", "left")
-    counted = texts.select("lang", "sources", "texts", "own", "asked").mapInArrow(_recount, "lang string, source string, term string, n long")
+    kept = every.where(F.col("every") >= min_docs).groupBy(*BLOCK).agg(F.collect_list("term").alias("kept"))
+    counted = dealt.groupBy(*BLOCK).cogroup(kept.groupBy(*BLOCK)).applyInArrow(_recount, "lang string, source string, term string, n long")
     postings = work.save(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
-    work.drop(blocks)
     work.release()
 
     kinds = postings.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
     totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    stats = groups.join(totals, ["lang", "source"], "left").join(kinds, "lang", "left").na.fill(0, ["total", "kinds"])
+    stats = groups.drop("bytes").join(totals, ["lang", "source"], "left").join(kinds, "lang", "left").na.fill(0, ["total", "kinds"])
     stats = work.save(stats.select("lang", "source", "total", "kinds", _share(F.lit(0).cast("long"), "total", "kinds").alias("base")))
     shares = postings.join(stats, ["lang", "source"]).select("lang", "source", "term", "n", _share("n", "total", "kinds").alias("p"), "base")
     by_term = shares.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("source", "p", "base")).alias("occ"))

@@ -154,8 +154,7 @@ def test_divergence(spark, monkeypatch):
 def test_divergence_of_many_blocks(spark, monkeypatch, docs):  # noqa: F811
     docs = docs.withColumn("source", (F.col("doc_id") % 4).cast("string"))
     want = sorted(map(tuple, divergence.audit(docs).collect()))
-    blocks = divergence._in_blocks
-    monkeypatch.setattr(divergence, "_blocks", lambda n: lambda batches: (b for part in batches for i in range(part.num_rows) for b in blocks(iter([part.slice(i, 1)]), n)))
+    monkeypatch.setattr(divergence, "BLOCK_BYTES", 500)
     assert sorted(map(tuple, divergence.audit(docs.repartition(20)).collect())) == want and want
 
 
