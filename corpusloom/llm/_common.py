@@ -103,6 +103,16 @@ class Workspace:
             pass
 
 
+def settled(df: DataFrame, work: Workspace) -> DataFrame:
+    """``df`` if it only reads files, so that a task that is run again sees its rows in the same order; else a table of it."""
+
+    def reads(node) -> bool:
+        kind = node.getClass().getSimpleName()
+        return kind == "LogicalRelation" or kind in ("Project", "Filter") and reads(node.child())
+
+    return df if reads(df._jdf.queryExecution().optimizedPlan()) else work.save(df)
+
+
 #: Size of the bitmap that ``maybe_in`` broadcasts: a 64th as many rows of two longs at most.
 FILTER_BITS = 1 << 26
 

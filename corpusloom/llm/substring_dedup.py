@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._common import WordHashes, Workspace, bytes_of, chunks, dealt, lists, maybe_in, rolled, table
+from corpusloom.llm._common import WordHashes, Workspace, bytes_of, chunks, dealt, lists, maybe_in, rolled, settled, table
 
 WINDOW_WORDS = 35
 #: Positions modulo PERIOD at which anchors are hashed: 5 of 21.
@@ -252,7 +252,8 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW_WORDS, period: int
     work = Workspace(spark, "substring")
     buckets = dealt(docs, _BUCKET_BYTES)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("sign"), "text")
-    keyed = keyed.where("text is not null")
+    # chunks of texts are known by what is in them, so an executor that is lost has to be able to make them again
+    keyed = settled(keyed.where("text is not null"), work)
 
     def met(sent: DataFrame, width: int) -> DataFrame:
         replies = sent.groupBy("bucket").applyInArrow(_repeated(width), _REPLY)

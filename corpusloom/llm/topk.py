@@ -135,16 +135,23 @@ def _blocks(prefix: str, scale: int, size: int, parts: int):
     return run
 
 
+#: Query blocks that a task holds with their statistics and floors: all of a part, as a rule.
+HELD = 64
+
+
 def _search(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes, Block, np.ndarray] | None = None  # the last query block and its floors
+        held: dict[tuple[bytes, int], tuple[Block, np.ndarray]] = {}  # the block used last is the last
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, dims = batch.column("q_ids")[i].as_py(), batch.column("dims")[i].as_py()
-                if held is None or held[0] != ids or held[1].x.shape[1] != dims:
+                q, floor = held.pop((ids, dims), (None, None))
+                if q is None:
                     q = Block(np.frombuffer(ids, np.int64), np.frombuffer(batch.column("q_x")[i].as_py(), np.float64).reshape(-1, dims))
-                    held = (ids, q, np.full(len(q.ids), -np.inf))
-                _, q, floor = held
+                    floor = np.full(len(q.ids), -np.inf)
+                    if len(held) >= HELD:  # one that comes again begins without a floor
+                        held.pop(next(iter(held)))
+                held[ids, dims] = q, floor
                 c = Block(np.frombuffer(batch.column("c_ids")[i].as_py(), np.int64), np.frombuffer(batch.column("c_x")[i].as_py(), np.float64).reshape(-1, dims))
                 rows, columns, scores = best_of(q, c, top, floor)
                 yield pa.RecordBatch.from_arrays([pa.array(q.ids[rows]), pa.array(c.ids[columns]), pa.array(scores)], ["query_id", "vec_id", "score"])

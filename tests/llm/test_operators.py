@@ -377,6 +377,23 @@ def test_quality(spark, empty):
     right = [r.predicted == int(r.doc_id % 4 != 0) for r in got if r.doc_id is not None and r.doc_id < 1000 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert np.mean(right) > 0.95
     assert np.allclose(model.score(np.zeros((1, len(quality.FEATURES)))), next(r.score for r in got if r.doc_id == 1000))
+    # the vectorised additions against a walk through the tables, for texts and for values at and beyond every edge
+    def by_hand(x):
+        z = model.bias + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(x, model.edges, model.tables, strict=True))
+        low = [sum(v >= e for e in edges) for v, edges in zip(x, model.coarse, strict=True)]
+        z += sum(t[low[a]][low[b]] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+        return 1 / (1 + np.exp(-z))
+
+    assert model.pairs and any(np.ptp(t) > 0 for t in model.pair_tables) and sum(np.ptp(t) > 0 for t in model.tables) > 1
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        if r.doc_id is not None:
+            assert abs(r.score - by_hand(quality.features(texts[r.doc_id].encode() if texts[r.doc_id] else None))) < 1e-9
+    for j, edges in enumerate(model.edges):
+        for v in [*edges, *(np.nextafter(edges, -np.inf)), -1e9, 1e9]:
+            x = np.array(quality.features(texts[5].encode()), float)
+            x[j] = v
+            assert abs(model.score(x[None, :])[0] - by_hand(x)) < 1e-9
     nothing = quality.learn(empty, marks.limit(0))
     assert [r.score for r in quality.rate(docs, nothing).limit(1).collect()] == [0.5]
     assert quality.rate(empty, model).count() == 0
@@ -405,6 +422,27 @@ def test_top_k(spark):
     assert [(r.vec_id, r.score) for r in again] == want
 
 
+def test_query_blocks_are_held(spark, monkeypatch):
+    """Several query blocks in one part, taken in turns: each is made once, or again if too many are held; the result is the same."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 0.3, (260, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in e], "clash") for i, e in enumerate(x)], "vec_id long, embedding array<double>, rank string").coalesce(1)
+    q = np.floor(x * 1024).astype(np.int64)
+    want = {i: sorted(((int(j), int(s)) for j, s in enumerate(q @ q[i]) if j != i), key=lambda p: (-p[1], p[0]))[:10] for i in range(0, 260, 2)}
+    for held in (64, 1):
+        monkeypatch.setattr(topk, "HELD", held)
+        got = collections.defaultdict(list)
+        for r in topk.top_k(df, df.where("vec_id % 2 = 0"), block=16).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        assert got == want
+
+
+def test_substrings_of_rows_in_no_order(spark, docs):
+    """An input that comes out of a shuffle is written first: a task that runs again finds the same chunks."""
+    plain = sorted((tuple(r) for r in substring_dedup.substring_dedup(docs).collect()), key=str)
+    assert sorted((tuple(r) for r in substring_dedup.substring_dedup(docs.repartition(5).where("doc_id >= 0")).collect()), key=str) == plain
+
+
 def test_very_long_texts(spark):
     rng = np.random.default_rng(6)
     long = prose(rng, 60_000)
