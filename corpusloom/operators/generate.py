@@ -133,10 +133,15 @@ def select_corpus(pool: DataFrame) -> DataFrame:
     return chosen.withColumn("review_required", review).join(before, "tier").withColumn("number", F.col("first") + F.col("rank") - 1).drop("first")
 
 
-def entry_columns(selected: DataFrame, *keep: str) -> DataFrame:
-    """The raw corpus record of each selected instruction, behind it the columns ``keep``."""
+def entry_columns(selected: DataFrame, *keep: str, natural: bool = True) -> DataFrame:
+    """The raw corpus record of each selected instruction, behind it the columns ``keep``.
+
+    Without ``natural`` the plain wording, by far the dearest field, is null: for callers that don't read it, as the optimizer
+    works out all fields of a struct of which any is read.
+    """
     tier = F.col("tier")
-    df = selected.select(*keep, "tier", "number", "review_required", F.col("prompt").alias("canonical"), F.lower("prompt").alias("low"), X.robot_natural("prompt").alias("natural"))
+    plain = X.robot_natural("prompt") if natural else F.lit(None).cast("string")
+    df = selected.select(*keep, "tier", "number", "review_required", F.col("prompt").alias("canonical"), F.lower("prompt").alias("low"), plain.alias("natural"))
     low = F.col("low")
     df = df.withColumns({"motion_family": R.motion_family(tier, low), "constraint_type": R.constraint_type(low), "feasibility": R.robot_feasibility(tier, low), "ambiguity_type": R.ambiguity_type(low)})
     ambiguous = F.col("ambiguity_type").isNotNull()

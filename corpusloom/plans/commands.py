@@ -22,6 +22,7 @@ from corpusloom.session import session
 from corpusloom.sources import files
 from corpusloom.sources import records as S
 from corpusloom.sources.snapshots import SnapshotTable, Version, upsert
+from corpusloom.sources.workbooks import write_workbooks
 from corpusloom.streaming import translate as M
 from corpusloom.streaming.models import DEVICES, DTYPES, Seq2SeqTranslator, usable_verifier
 
@@ -167,8 +168,13 @@ def finalize(spark: SparkSession, paths: Paths, *, require_approved: bool = Fals
     _report(released=paths.final, manifest=paths.final_manifest, summary=paths.final_summary)
 
 
-def export(spark: SparkSession, paths: Paths, *, limit: int | None = None) -> int:
-    return S.write_workbook(P.flat(L.first_rows(read_records(spark, paths.ready), "prompt_id", limit)), paths.workbook, ("prompt_id",))
+def export(spark: SparkSession, paths: Paths, *, limit: int | None = None, folder: bool = False) -> int:
+    """The flat table as one workbook, or with ``folder`` as a folder of workbooks that executors write; returns its rows."""
+    table = P.flat(L.first_rows(read_records(spark, paths.ready), "prompt_id", limit))
+    if folder:
+        write_workbooks(table, paths.workbook, ("prompt_id",))
+        return table.count()
+    return S.write_workbook(table, paths.workbook, ("prompt_id",))
 
 
 def _named(place: str) -> M.Load:
@@ -197,6 +203,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--batch-size", type=int, default=32)
     parser.add_argument("--max-batches", type=int)
     parser.add_argument("--require-approved-review", action="store_true")
+    parser.add_argument("--workbook-folder", action="store_true", help="export a folder of workbooks, written by the executors")
     parser.add_argument("--dry-run", action="store_true", help="print the settings and stop")
     got = parser.parse_args(args)
     if got.dry_run:
@@ -222,7 +229,7 @@ def main(args: list[str] | None = None) -> None:
     elif got.step == "finalize":
         finalize(spark, paths, require_approved=got.require_approved_review)
     else:
-        print(export(spark, paths, limit=got.limit), "records exported")
+        print(export(spark, paths, limit=got.limit, folder=got.workbook_folder), "records exported")
 
 
 if __name__ == "__main__":

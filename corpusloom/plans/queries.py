@@ -215,12 +215,12 @@ def _shown(code: Column) -> Column:
     return F.concat(code, F.lit(": "), F.col("canonical"))
 
 
-def translated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def translated_records(spark: SparkSession, sf_dir: str, natural: bool = True) -> DataFrame:
     """Ready records of all documents. Labelled documents are translated (quality 1) or lack a status
     (quality 0), every tenth with a blank form; reviews are approved unless the label says toxic."""
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
     prompt = docs.select(F.concat(F.lit("T"), (1 + F.pmod("doc_id", F.lit(7))).cast("string")).alias("tier"), F.col("text").alias("prompt"), F.col("doc_id").alias("number"), (F.pmod("doc_id", F.lit(5)) == 0).alias("review_required"), "quality", "toxic")
-    ready = L.make_ready(G.entry_columns(prompt.withColumn("doc_id", F.col("number")), "doc_id", "quality", "toxic"))
+    ready = L.make_ready(G.entry_columns(prompt.withColumn("doc_id", F.col("number")), "doc_id", "quality", "toxic", natural=natural))
     canonical = F.col("instruction_en.canonical")
     for i, code in enumerate(V.LANGUAGES):
         b = F.col(L.block_name(code))
@@ -246,10 +246,9 @@ long AS (SELECT doc_id, format('kimodo_{{:06d}}', doc_id) AS prompt_id, tier, ca
 jobs AS (SELECT *, coalesce(status = 'model_translated' AND trim(literal) <> '' AND trim(robot_form) <> '', false) AS complete FROM long)"""
 
 
-def on_records(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    register(name, lambda spark, d: run(translated_records(spark, d)), f"WITH {LONG} {sql}")
-
-
+def on_records(name: str, run: Callable[[DataFrame], DataFrame], sql: str, natural: bool = False) -> None:
+    """``natural``: the query reads the plain wording of the source."""
+    register(name, lambda spark, d: run(translated_records(spark, d, natural)), f"WITH {LONG} {sql}")
 
 
 def _block(name: str) -> Column:
@@ -339,12 +338,13 @@ def _stub_done(records: DataFrame) -> DataFrame:
 
 
 _ECHO = "CASE code " + " ".join(f"WHEN '{c}' THEN '[{m[:3]}] '" for c, (_, m) in V.LANGUAGES.items()) + " END"
-on_records("translate_stub", lambda r: _stub_done(r).select("prompt_id", "code", "literal"), f"SELECT prompt_id, code, {_ECHO} || {S.normalize_space('canonical')} AS literal FROM jobs WHERE NOT complete")
-on_records("translate_notes", lambda r: _stub_done(r).select("prompt_id", "code", F.get("translation_notes", F.lit(2)).alias("note"), F.size("translation_notes").between(4, 5).alias("enough")), f"SELECT prompt_id, code, 'Literal back-translation: ' || {S.normalize_space('canonical')} AS note, true AS enough FROM jobs WHERE NOT complete")
-on_records(
+on_records("translate_stub", lambda r: _stub_done(r).select("prompt_id", "code", "literal"), f"SELECT prompt_id, code, {_ECHO} || {S.normalize_space('canonical')} AS literal FROM jobs WHERE NOT complete", natural=True)
+on_records("translate_notes", lambda r: _stub_done(r).select("prompt_id", "code", F.get("translation_notes", F.lit(2)).alias("note"), F.size("translation_notes").between(4, 5).alias("enough")), f"SELECT prompt_id, code, 'Literal back-translation: ' || {S.normalize_space('canonical')} AS note, true AS enough FROM jobs WHERE NOT complete", natural=True)
+register(
     "model_update_rollup",
-    lambda r: L.merge_translations(r, _stub_done(r).where("code <> 'te' or prompt_id like '%1'"), model="echo", method="stub").select("prompt_id", F.col("pipeline.stage").alias("stage"), F.col("translation_hi.status").alias("hi"), F.col("translation_te.status").alias("te"), F.col("translation_hi.provenance.translation_model").alias("model")),
-    """SELECT prompt_id, CASE WHEN NOT bool_or(new) THEN 'translation_ready' WHEN bool_and(coalesce(after = 'model_translated', false)) THEN 'translation_generated_pending_review' ELSE 'translation_in_progress' END AS stage,
+    # the jobs read the plain wording, the records they are merged into needn't have it
+    lambda spark, d: L.merge_translations(translated_records(spark, d, False), _stub_done(translated_records(spark, d)).where("code <> 'te' or prompt_id like '%1'"), model="echo", method="stub").select("prompt_id", F.col("pipeline.stage").alias("stage"), F.col("translation_hi.status").alias("hi"), F.col("translation_te.status").alias("te"), F.col("translation_hi.provenance.translation_model").alias("model")),
+    f"""WITH {LONG} SELECT prompt_id, CASE WHEN NOT bool_or(new) THEN 'translation_ready' WHEN bool_and(coalesce(after = 'model_translated', false)) THEN 'translation_generated_pending_review' ELSE 'translation_in_progress' END AS stage,
     max(after) FILTER (code = 'hi') AS hi, max(after) FILTER (code = 'te') AS te, max(CASE WHEN new THEN 'echo' END) FILTER (code = 'hi') AS model
     FROM (SELECT *, CASE WHEN new THEN 'model_translated' ELSE status END AS after FROM (SELECT *, NOT complete AND (code <> 'te' OR prompt_id LIKE '%1') AS new FROM jobs)) GROUP BY prompt_id""",
 )

@@ -17,6 +17,7 @@ from corpusloom.session import scratch
 from corpusloom.sources import records as R
 from corpusloom.sources.snapshots import SnapshotTable, upsert
 from corpusloom.sources.unknown import UNKNOWN
+from corpusloom.sources.workbooks import read_workbooks, write_workbooks
 from corpusloom.streaming.changes import merged, merge_stream
 from corpusloom.streaming.translate import EchoTranslator, translate_resumably
 
@@ -158,3 +159,17 @@ register(
     SELECT doc_id, count(*)::INTEGER AS n, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM (SELECT DISTINCT doc_id, phrase FROM d JOIN p ON contains(t, phrase)) GROUP BY doc_id""",
 )
 
+
+# --- workbooks ----------------------------------------------------------------------------------------------
+
+
+def items_as_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items written as a folder of workbooks by the tasks that have them, and read from it."""
+    items = read(spark, sf_dir, "items").select("item_id", "name", "brand", "kind", (F.col("price") > 100).alias("dear"))
+    path = f"{scratch(spark, 'books')}/items"
+    write_workbooks(items, path, ("item_id",))
+    cell = lambda name: F.nullif(F.col("cells")[name], F.lit(""))
+    return read_workbooks(spark, path).select(cell("item_id").cast("long").alias("item_id"), cell("name").alias("name"), cell("brand").alias("brand"), cell("kind").alias("kind"), (cell("dear") == "1").alias("dear"))
+
+
+register("items_as_workbooks", items_as_workbooks, "SELECT item_id, nullif(name, '') AS name, nullif(brand, '') AS brand, nullif(kind, '') AS kind, price > 100 AS dear FROM items")

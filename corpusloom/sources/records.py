@@ -5,9 +5,7 @@ from __future__ import annotations
 import io
 import json
 import uuid
-import zipfile
 from typing import Any
-from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +15,7 @@ from corpusloom.operators.report import column_widths
 from corpusloom.sources import files
 from corpusloom.sources.snapshots import SnapshotTable, Version
 from corpusloom.sources.unknown import as_json, parsed
-
-#: Rows of a sheet, by the workbook format.
-SHEET_ROWS = 1_048_576
+from corpusloom.sources.workbooks import SHEET_ROWS, write_book
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -89,55 +85,15 @@ def write_json(spark: SparkSession, path: str, document: dict[str, Any]) -> None
     files.write_bytes(spark, path, (json.dumps(document, ensure_ascii=False, indent=2) + "\n").encode())
 
 
-def _column(index: int) -> str:
-    name = ""
-    while index >= 0:
-        name, index = chr(65 + index % 26) + name, index // 26 - 1
-    return name
-
-
-def workbook(rows: list[list[Any]], header: list[str], widths: list[int], sheet: str = "translations") -> bytes:
-    """A workbook of one sheet: header row, frozen; cells as inline text, numbers and booleans as such."""
-
-    def cell(value: Any, row: int, column: int) -> str:
-        at = f"{_column(column)}{row}"
-        if value is None:
-            return ""
-        if isinstance(value, bool):
-            return f'<c r="{at}" t="b"><v>{int(value)}</v></c>'
-        if isinstance(value, int | float):
-            return f'<c r="{at}"><v>{value!r}</v></c>'
-        text = "".join(ch for ch in str(value) if ch in "\t\n\r" or ord(ch) >= 32)
-        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
-
-    lines = [f'<row r="{i}">{"".join(cell(v, i, j) for j, v in enumerate(r))}</row>' for i, r in enumerate([header, *rows], 1)]
-    columns = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(widths, 1))
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    freeze = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-    package = "http://schemas.openxmlformats.org/package/2006"
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    parts = {
-        "[Content_Types].xml": f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
-        "_rels/.rels": f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'{head}<worksheet xmlns="{main}">{freeze}<cols>{columns}</cols><sheetData>{"".join(lines)}</sheetData></worksheet>',
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return out.getvalue()
-
-
 def write_workbook(table: DataFrame, path: str, order: tuple[str, ...] = ()) -> int:
-    """The table as a workbook, for people to read; returns its rows. More than a sheet holds is refused."""
+    """The table as one workbook, for people to read; returns its rows. It is made on the driver, so more than a sheet
+    holds is refused: ``workbooks.write_workbooks`` writes a folder of them where the rows are."""
     out = table.orderBy(*order) if order else table
     rows = [list(r) for r in out.limit(SHEET_ROWS).collect()]
     if len(rows) >= SHEET_ROWS:
         raise ValueError(f"a sheet holds {SHEET_ROWS} rows with its header; write Parquet or CSV instead")
     widths = {r.name: r.width for r in column_widths(table).collect()}
-    files.write_bytes(table.sparkSession, path, workbook(rows, table.columns, [widths[c] for c in table.columns]))
+    out = io.BytesIO()
+    write_book(out, rows, table.columns, [widths[c] for c in table.columns])
+    files.write_bytes(table.sparkSession, path, out.getvalue())
     return len(rows)

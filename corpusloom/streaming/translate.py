@@ -41,7 +41,23 @@ JOB = "prompt_id string, code string, canonical string, natural string"
 DONE = JOB + ", literal string, robot_natural string, literal_back string, natural_back string"
 
 
-def _batch_runner(load: Load, back_load: Load | None, batch_size: int):
+#: Characters of a batch as the model sees it, with each sentence padded to the longest.
+BUDGET = 1 << 16
+
+
+def cuts(lengths: list[int], most: int, budget: int) -> list[tuple[int, int]]:
+    """Batches of rising lengths: ``most`` rows at most, ``budget`` characters with padding at most or one row."""
+    out, start = [], 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start == most or (i - start + 1) * n > budget):
+            out.append((start, i))
+            start = i
+    return [*out, (start, len(lengths))] if lengths else out
+
+
+def _batch_runner(load: Load, back_load: Load | None, batch_size: int, budget: int):
+    """Translates rows that come by language and length."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Translator | None = None
         backward: Translator | None = None
@@ -49,20 +65,19 @@ def _batch_runner(load: Load, back_load: Load | None, batch_size: int):
             model = model or load()
             if back_load is not None:
                 backward = backward or (model if back_load is load else back_load())
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size].copy()
-                for code, rows in part.groupby("code", sort=True):
-                    target = V.LANGUAGES[code][1]
+            for code, rows in frame.groupby("code", sort=False):
+                target = V.LANGUAGES[code][1]
+                # like lengths together pad less
+                lengths = rows["canonical"].fillna("").astype(str).str.len().cummax().tolist()
+                for a, b in cuts(lengths, batch_size, budget):
+                    part = rows.iloc[a:b].copy()
                     for source, column, back in (("canonical", "literal", "literal_back"), ("natural", "robot_natural", "natural_back")):
-                        # like lengths together pad less
-                        sentences = rows[source].fillna("").astype(str)
-                        order = sentences.str.len().sort_values(kind="stable").index
-                        made = model.translate(list(sentences[order]), V.SOURCE_CODE, target)
-                        part.loc[order, column] = made
-                        part.loc[order, back] = backward.translate(list(made), target, V.SOURCE_CODE) if backward else None
-                for column in ("literal_back", "natural_back"):
-                    part[column] = part[column].astype(object).where(part[column].notna(), None)
-                yield part[[c.split()[0] for c in DONE.split(", ")]]
+                        made = list(model.translate(part[source].fillna("").astype(str).tolist(), V.SOURCE_CODE, target))
+                        part[column] = made
+                        part[back] = backward.translate(made, target, V.SOURCE_CODE) if backward else None
+                    for column in ("literal_back", "natural_back"):
+                        part[column] = part[column].astype(object).where(part[column].notna(), None)
+                    yield part[[c.split()[0] for c in DONE.split(", ")]]
 
     return run
 
@@ -79,9 +94,12 @@ def jobs(records: DataFrame, *, whole_records: bool = False) -> DataFrame:
     return open_
 
 
-def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify: bool = True, batch_size: int = 32, engine: str = "the translation model", source_order: bool = False) -> DataFrame:
+def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify: bool = True, batch_size: int = 32, budget: int = BUDGET, engine: str = "the translation model", source_order: bool = False) -> DataFrame:
     """Translations of jobs with their verification and notes: one Python stage, the checks in Catalyst.
 
+    Jobs are dealt evenly by their key, then each task takes its own by language and length, so a batch is of one
+    language and of like lengths; keys, not places, tell whose a translation is.
+
     ``back`` makes the model of the way back to the source language; without it the same model goes both ways.
 
     A model that isn't deterministic must have its result written before it is used twice.
@@ -92,7 +110,8 @@ def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify:
     # the model costs most by far: its work is dealt evenly, however the records came to lie
     parts = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = todo.select("prompt_id", "code", "canonical", "natural").repartition(parts, "prompt_id", "code")
-    raw = dealt.mapInPandas(_batch_runner(load, (back or load) if verify else None, batch_size), DONE)
+    dealt = dealt.sortWithinPartitions("code", F.length("canonical"), "prompt_id")
+    raw = dealt.mapInPandas(_batch_runner(load, (back or load) if verify else None, batch_size, budget), DONE)
     for name in ("literal", "robot_natural"):
         cleaned = F.col(name)
         for code, (_, target) in V.LANGUAGES.items():

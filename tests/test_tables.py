@@ -1,8 +1,10 @@
 """Tables with versions, unknown keys of records, streams of changes, selection and look-up: against plain Python."""
 
 import hashlib
+import io
 import json
 import threading
+import zipfile
 
 import numpy as np
 import pytest
@@ -16,6 +18,7 @@ from corpusloom.plans import commands as C
 from corpusloom.sources import files
 from corpusloom.sources import records as S
 from corpusloom.sources import unknown as U
+from corpusloom.sources import workbooks as W
 from corpusloom.sources.snapshots import CommitConflict, SnapshotTable, upsert
 from corpusloom.streaming import changes, translate as M
 
@@ -245,3 +248,60 @@ def test_phrases_of_a_table(spark):
         want.setdefault(i, set()).update(p for p in phrases if t and p and p.strip() and p in t)
     assert got == {i: sorted(ps, key=str.encode) for i, ps in want.items() if ps}
     assert len(got) > 60
+
+
+# --- workbooks and batches --------------------------------------------------------------------------------
+
+
+def test_workbooks_of_many_tasks(spark, tmp_path):
+    rows = [(f"{i:04d}", ["a<b>&", None, "न", " two  \n lines "][i % 4], i / 4, i % 2 == 0) for i in range(250)]
+    df = spark.createDataFrame(rows, "id string, text string, x double, even boolean").repartition(4)
+    path = f"file://{tmp_path}/books"
+    W.write_workbooks(df, path, ("id",))
+    got = W.read_workbooks(spark, path).orderBy("file", "sheet", "row").collect()
+    assert [r.cells["id"] for r in got] == [r[0] for r in rows]
+    assert [r.cells.get("text") for r in got] == [r[1] for r in rows] and [float(r.cells["x"]) for r in got] == [r[2] for r in rows]
+    W.write_workbooks(df, path)
+    several = W.read_workbooks(spark, path).collect()
+    assert len(several) == 250 and len({r.file for r in several}) == 4
+    W.write_workbooks(df.where("id < '0010'"), path)
+    assert W.read_workbooks(spark, path).count() == 10 and not (tmp_path / "books/_temporary").exists()
+    W.write_workbooks(df.where("id < '0005'"), path, overwrite=False)
+    assert W.read_workbooks(spark, path).count() == 15
+    with pytest.raises(Exception):  # noqa: B017  a task that fails leaves what was there
+        W.write_workbooks(df.withColumn("x", F.when(F.col("id") == "0077", F.raise_error(F.lit("no"))).otherwise(F.col("x"))), path)
+    assert W.read_workbooks(spark, path).count() == 15 and not (tmp_path / "books/_temporary").exists()
+
+
+def test_sheets_of_a_workbook():
+    out = io.BytesIO()
+    assert W.write_book(out, ([i, True, None] for i in range(10)), ["n", "b", "z"], [5, 6, 7], sheet_rows=5) == 10
+    with zipfile.ZipFile(out) as z:
+        assert [z.read(f"xl/worksheets/sheet{i}.xml").count(b"<row ") for i in (1, 2, 3)] == [5, 5, 3] and z.read("xl/workbook.xml").count(b"<sheet ") == 3
+    W.write_book(out := io.BytesIO(), [], ["n"], [5])
+    with zipfile.ZipFile(out) as z:
+        assert z.read("xl/worksheets/sheet1.xml").count(b"<row ") == 1
+
+
+class Watched(M.EchoTranslator):
+    """Writes each batch it is given into its texts."""
+
+    def translate(self, sentences, source, target):
+        longest = max(map(len, sentences))
+        return [f"{len(sentences)} {longest} {sum(map(len, sentences))}" for _ in sentences]
+
+
+def test_batches_of_like_lengths(spark):
+    assert M.cuts([], 3, 100) == [] and M.cuts([5, 5, 5, 5], 3, 100) == [(0, 3), (3, 4)] and M.cuts([1, 40, 60, 500, 501], 9, 100) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    rng = np.random.default_rng(1)
+    rows = [(f"p{i:04d}", c, "x" * int(rng.integers(1, 400)), "y") for i in range(300) for c in ("hi", "te")]
+    todo = spark.createDataFrame(rows, "prompt_id string, code string, canonical string, natural string")
+    made = M.translate(todo, Watched, verify=False, batch_size=16, budget=4000).collect()
+    assert {(r.prompt_id, r.code) for r in made} == {r[:2] for r in rows}
+    size = {r[:2]: len(r[2]) for r in rows}
+    padded = used = 0
+    for r in made:
+        n, longest, total = map(int, r.literal.split(" "))
+        assert n <= 16 and (n == 1 or n * longest <= 4000) and size[r.prompt_id, r.code] <= longest
+        padded, used = padded + longest, used + total / n
+    assert used / padded > 0.85  # of what a model would read is text
