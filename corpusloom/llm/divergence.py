@@ -28,7 +28,6 @@ SLICES = 8
 _PLAIN = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
-
 def _padded(got: pa.Table) -> list[bytes]:
     """The terms of each text between single spaces."""
     return [b" " + b" ".join(terms) + b" " if (terms := text.translate(_PLAIN).split()) else b" " for text in bytes_of(got.column("text"))]
@@ -37,8 +36,8 @@ def _padded(got: pa.Table) -> list[bytes]:
 def _frequencies(got: pa.Table) -> pa.Table:
     """In how many of a block's documents each term is."""
     dfs: Counter[bytes] = Counter()
-    for text in _padded(got):
-        dfs.update(set(text.split()))
+    for text in bytes_of(got.column("text")):
+        dfs.update(set(text.translate(_PLAIN).split()))
     return pa.table([*_same(got, BLOCK, len(dfs)), pa.array([t.decode() for t in dfs], pa.string()), pa.array(dfs.values(), pa.int64())], [*BLOCK, "term", "n"])
 
 
@@ -117,10 +116,11 @@ def _common_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _share(n: Column | str, total: Column | str, kinds: Column | str) -> Column:
-    """1 + floor(UNIT * (n + 1) / (total + kinds)), by decimals: the product can be beyond a long's range."""
+    """1 + floor(UNIT * (n + 1) / (total + kinds)), by decimals where the product is beyond a long's range."""
     n, total, kinds = (F.col(x) if isinstance(x, str) else x for x in (n, total, kinds))
-    up, down = F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + kinds).cast("decimal(20,0)")
-    return F.when(total + kinds > 0, F.lit(1).cast("long") + F.call_function("div", up, down))
+    short = F.call_function("div", F.lit(UNIT).cast("long") * (n + 1), total + kinds)
+    long = F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)"), (total + kinds).cast("decimal(20,0)"))
+    return F.when(total + kinds > 0, F.lit(1).cast("long") + F.when(n < 9 * UNIT, short).otherwise(long))
 
 
 def _f(p: Column, q: Column) -> Column:

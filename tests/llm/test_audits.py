@@ -158,6 +158,12 @@ def test_divergence_of_many_blocks(spark, monkeypatch, docs):  # noqa: F811
     assert sorted(map(tuple, divergence.audit(docs.repartition(20)).collect())) == want and want
 
 
+def test_shares_beyond_a_long(spark):
+    rows = [(n, t, k) for n in (0, 7, 8_999_999_999, 9_000_000_000, 10**12, 10**17) for t, k in ((n, 1), (3 * n, 10**6), (0, 0))]
+    got = spark.createDataFrame(rows, "n long, t long, k long").select("n", "t", "k", divergence._share("n", "t", "k").alias("p")).collect()
+    assert [r.p for r in got] == [1 + 10**9 * (n + 1) // (t + k) if t + k else None for n, t, k in rows]
+
+
 # --- panes ----------------------------------------------------------------------------------------
 
 
