@@ -130,6 +130,7 @@ WINDOW = 64
 #: Words for licence in the languages of the corpus.
 _LICENCE = {"licence", "licences", "licenses", "lizenz", "licencia", "licenza", "licença"}
 _OWN = {"license", "licence", "licensed", "gnu", "gpl", "lgpl", "agpl", "mozilla", "spdx", "cc", "bsd", "mpl", "epl", "gplv3", "gplv2", "agplv3", "cc0", "unlicense", "affero", "isc"}
+_SIGNS = b"\"'()[]{}<>*_.,;:!?-%$#"
 _PART = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
 
 
@@ -261,6 +262,11 @@ class LicenceModel:
         self.kept, self.turned_away = float((stated >= self.cut).mean()), float((foreign < self.cut).mean())
         said = {f: [x for n in NAMES[f] for x in ((f"{n} license", f"{n} licensed", f"license {n}") if n in _COMMON else (n,))] for f in FAMILIES}
         self.proofs = [(f, Counter(zip(t, t[1:], strict=False)) if len(t) > 1 else Counter(t)) for f in FAMILIES for s in (*TEMPLATES[f], *said[f]) for t in [tokens(s)]]
+        #: Word pair or single word -> the proofs that have it, and how often.
+        self.holding: dict = {}
+        for i, (_, proof) in enumerate(self.proofs):
+            for key, n in proof.items():
+                self.holding.setdefault(key, []).append((i, n))
 
     def _fit(self, x: np.ndarray, truth: np.ndarray, use: np.ndarray, rounds: int, decay: float) -> np.ndarray:
         x, truth = x[use], truth[use]
@@ -286,16 +292,25 @@ class LicenceModel:
     def confirmed(self, words: list[str]) -> set[str]:
         """The families of which a template or name is in the words. The best fits come first, of equals the longest, and take their pairs along."""
         left, single = Counter(zip(words, words[1:], strict=False)), Counter(words)
-        out = set()
-        open_ = self.proofs
+        out: set[str] = set()
+        hits = Counter()
+        for key, n in (*left.items(), *single.items()):
+            for i, m in self.holding.get(key, ()):
+                hits[i] += min(n, m)
+        open_ = [i for i, n in hits.items() if n >= CONFIRM * self.proofs[i][1].total()]
         while open_:
-            fits = [(sum((proof & (left if isinstance(next(iter(proof)), tuple) else single)).values()), proof, f) for f, proof in open_]
-            fits = [(n / proof.total(), n, f, proof) for n, proof, f in fits if n >= CONFIRM * proof.total()]
+            fits = []
+            for i in open_:
+                family, proof = self.proofs[i]
+                n = sum(min(m, (left if type(k) is tuple else single)[k]) for k, m in proof.items())
+                if n >= CONFIRM * proof.total():
+                    fits.append((n == proof.total(), n, n / proof.total(), family, i))
             if not fits:
                 break
-            _, _, family, proof = max(fits, key=lambda x: (x[0] == 1, x[1], x[0]))
+            *_, family, best = max(fits)
             out.add(family)
-            if isinstance(next(iter(proof)), tuple):
+            proof = self.proofs[best][1]
+            if type(next(iter(proof))) is tuple:
                 taken = left & proof
                 left = left - proof
                 for a, b in taken:
@@ -303,7 +318,7 @@ class LicenceModel:
                 single = +single
             else:
                 single = single - proof
-            open_ = [(f, p) for _, _, f, p in fits]
+            open_ = [i for *_, i in fits]
         return out
 
     def judge(self, p: np.ndarray, words: list[str]) -> dict[str, tuple[float, bool]]:
@@ -342,10 +357,15 @@ class _Ids(dict):
     def __init__(self, words: dict[str, int]):
         super().__init__()
         self.words = words
+        self.plain = {w.encode(): (i * 4 + 2,) for w, i in words.items()} | {w.encode(): (words["license"] * 4 + 2,) for w in _LICENCE}
 
     def __missing__(self, raw: bytes) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
             self.clear()
+        core = raw.strip(_SIGNS)
+        if core.isalpha():  # ASCII letters only, by far the most: one part
+            out = self[raw] = self.plain.get(core.lower(), (2,))
+            return out
         ids = [0] if raw == b"\0" else [self.words.get(p, 0) for p in parts(raw.decode("utf-8", "replace"))] or [-1]  # signs only: no word
         out = self[raw] = tuple(i * 4 + 2 * (n == 0) + (raw == b"\0") for n, i in enumerate(ids))
         return out
@@ -369,16 +389,19 @@ def windows(n: int) -> list[tuple[int, int]]:
 
 
 def _promising(model: LicenceModel, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which windows can reach even odds for anything: a bound that adds the largest gain of each word and pair, counted
-    as often as they occur. Windows that fall short of it are not looked at; none of them could be found."""
-    gain = np.maximum(model.weights, 0).max(axis=1)
+    """Which windows can reach even odds for anything: a bound that adds the gains of words and pairs, none of the losses, for each
+    family, as often as they occur. Windows that fall short of it are not looked at; none of them could be found."""
+    gain = np.maximum(model.weights, 0)
     gain[0] = 0
     both = ids[:-1] * model.size + ids[1:]
     at = np.minimum(np.searchsorted(model.pairs, both), len(model.pairs) - 1)
-    pair = np.where(model.pairs[at] == both, gain[model.size + at], 0)
-    words, pairs = (np.concatenate([[0.0], np.cumsum(g, dtype=np.float64)]) for g in (gain[ids], pair))
-    best = words[end] - words[begin] + pairs[np.maximum(end - 1, begin)] - pairs[begin]
-    return np.flatnonzero((end > begin) & (best + model.weights[-1].max() > -1e-3))
+    pair = np.flatnonzero(model.pairs[at] == both)
+    known = np.flatnonzero(ids)
+    best = np.zeros((len(begin), gain.shape[1]))
+    for where, what, stop in ((known, ids[known], end), (pair, model.size + at[pair], np.maximum(end - 1, begin))):
+        total = np.concatenate([np.zeros((1, gain.shape[1])), np.cumsum(gain[what], axis=0, dtype=np.float64)])
+        best += total[np.searchsorted(where, stop)] - total[np.searchsorted(where, begin)]
+    return np.flatnonzero((end > begin) & (best + model.weights[-1] > -1e-3).any(axis=1))
 
 
 def _scan(model: LicenceModel, keep: list[str]):
