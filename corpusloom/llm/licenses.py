@@ -118,6 +118,8 @@ _OTHER = (
 )
 #: Words of statements that also stand alone, in other languages too.
 _STRAY = ("mit", "by", "des mit", "mit und", "mit der", "by the", "free", "public", "general", "open", "version", "license", "work", "software", "apache", "source", "sa", "nc", "4.0", "2.0", "3", "is licensed", "the terms", "under the", "expat", "creative", "commons", "is mit", "simplified", "new", "only", "the eclipse", "eclipse", "later", "library", "isc", "sous", "bajo", "unter", "con", "bsd", "mozilla")
+#: Frequent words of plain prose in the languages of the corpus, "mit" and "sous" among them.
+_PROSE = "the of and to in is that for it with as on by this be at are from or an not have der die das und mit ist zu den von ein nicht les des et la le sous est dans une que los las el por con bajo en un se".split()
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES,)
 _RELATIVES = ("gpl", "lgpl", "agpl")
@@ -202,6 +204,11 @@ def examples(seed: int = 11) -> list[tuple[list[str], frozenset[str], int]]:
     for i, w in enumerate(_STRAY):
         for most in (1, 2, 3, 6, 12, 30):
             add(w, set(), i, most)
+    for i in range(1200):  # plain prose, at any density of frequent words
+        n, share = int(rng.integers(1, WINDOW + 1)), rng.random()
+        few = [pick(_PROSE) for _ in range(int(rng.integers(1, 12)))]
+        marks = 0.5 * rng.random() * (i % 3 == 0)  # numbers and letters, as identifiers fall into
+        out.append(([pick(few) if rng.random() < share else pick("0123456789abcdef") if rng.random() < marks else invent() for _ in range(n)], frozenset(), i % len(_APART)))
     vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in tokens(t)} - _OWN)
     for i in range(900):
         n = int(rng.integers(1, WINDOW))
@@ -219,7 +226,7 @@ class LicenceModel:
 
     def __init__(self, rounds: int = 100, decay: float = 2e-4):
         data = examples()
-        self.words = {w: i + 1 for i, w in enumerate(sorted({w for s in (*_OTHER, *_STRAY, *_SAID, *_BOTH, *_NAMELESS, *(x for f in FAMILIES for x in (*TEMPLATES[f], *NAMES[f]))) for w in tokens(s)}))}
+        self.words = {w: i + 1 for i, w in enumerate(sorted({w for s in (*_PROSE, *_OTHER, *_STRAY, *_SAID, *_BOTH, *_NAMELESS, *(x for f in FAMILIES for x in (*TEMPLATES[f], *NAMES[f]))) for w in tokens(s)}))}
         self.size = len(self.words) + 1  # 0 is any other word
         rows = [np.array([self.words.get(w, 0) for w in t], np.int64) for t, _, _ in data]
         seen, often = np.unique(np.concatenate([r[:-1] * self.size + r[1:] for r, (_, f, _) in zip(rows, data, strict=True) if f]), return_counts=True)

@@ -315,6 +315,7 @@ def test_licences(spark, empty):
     texts = {
         1: ("Some words here.\nReleased under the MIT License.", {"mit"}), 2: ("Licensed under the Apache License, Version 2.0.", {"apache"}), 3: ("This work is licensed under the GNU General Public License, version 3.", {"gpl"}),
         4: ("Licensed under CC BY-NC 4.0.", {"cc"}), 5: ("Der Mann geht mit der Frau. By and by.", set()), 6: (None, set()), 7: ("", set()), 8: ("Licensed under the Zorblax Public License.", {"unknown"}), 9: ("and " * 500, set()),
+        12: ("Er geht mit der Frau, mit dem Kind und mit dem Hund. " * 5, set()), 13: ("The this of that on in. Is the that of this. By on as is the that.", set()), 14: ('token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" From reha', set()),
         10: ("Dual licensed under the MIT license or Apache-2.0.", {"mit", "apache"}), 11: ("*** -- !!!\n\n ... ", set()),
     }
     model = licenses.trained()
