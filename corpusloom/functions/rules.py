@@ -33,8 +33,11 @@ def first_rule(text: Column, rules: Iterable[tuple[str, Sequence[str]]], default
 
 
 def present(text: Column, vocabulary: Sequence[str]) -> Column:
-    """The entries that the text holds, in the vocabulary's order."""
-    return F.filter(strings(vocabulary), lambda p: F.contains(text, p))
+    """The entries that the text holds, in the vocabulary's order.
+
+    The outer lambda holds the text: an expression would be worked out anew for every entry.
+    """
+    return F.get(F.transform(F.array(text), lambda t: F.filter(strings(vocabulary), lambda p: F.contains(t, p))), F.lit(0))
 
 
 def first_present(text: Column, vocabulary: Sequence[str]) -> Column:

@@ -98,3 +98,15 @@ def test_verification(spark, source, back, expected):
 def test_source_order_accepts_the_source(spark):
     df = VF.normalized(spark.createDataFrame([("Turn left, walk forward, and stop.",)], "a string"), a=F.col("a"))
     assert df.select(VF.keeps_source_order(F.col("a"), F.col("a"), V.ACTIONS + V.DIRECTIONS)).first()[0]
+
+
+def test_runs_of_spaces(spark):
+    spaces = ["a b", " a b ", "a  b", "a \tb", "a\t b", "　a\x1c \x85b\xa0", "a\nb", "  ", " \t ", ""]
+    assert values(spark, spaces, v=X.normalize_space("t")) == [" ".join(t.split()) for t in spaces]
+
+
+def test_a_text_is_worked_out_once_for_all_phrases(spark):
+    df = spark.createDataFrame([("Turn left and stop",)], "t string").select(VF.phrases_in(X.normalize_for_match("t"), V.ACTIONS).alias("v"))
+    assert df.first().v == ["turn", "stop"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "regexp_replace" not in plan.split("filter(", 1)[1]
