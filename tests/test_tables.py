@@ -106,6 +106,17 @@ def test_plain_data_is_a_first_version(spark, tmp_path):
     assert sorted(r.value for r in one.read(schema="value string").collect()) == ['{"a": 1}', '{"a": 2}']
 
 
+def test_lines_are_compressed(spark, tmp_path):
+    line = '{"a": "' + "the same again and again " * 40 + '", "n": %d}'
+    rows = spark.createDataFrame([(line % i,) for i in range(500)], "value string").coalesce(1)
+    for kind in ("text", "json"):
+        table = SnapshotTable(spark, f"file://{tmp_path}/{kind}", kind)
+        table.append(rows)
+        table.append(rows.limit(1))
+        assert sorted(r.value for r in table.read(schema="value string").collect()) == sorted([line % i for i in range(500)] + [line % 0])
+        assert sum(f.stat().st_size for f in (tmp_path / kind).glob("data-*/part-*")) < 500 * len(line) / 20
+
+
 # --- unknown keys --------------------------------------------------------------------------------------
 
 
