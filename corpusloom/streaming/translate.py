@@ -128,26 +128,33 @@ def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify:
     return done.withColumn("translation_notes", notes).select("prompt_id", "code", "literal", "robot_natural", "verification", "translation_notes")
 
 
-def planned(records: DataFrame) -> DataFrame:
-    """The open ``jobs`` with what a commit needs to say what it has changed: the manifest's ``shown`` row, and ``was``, what counts take from it."""
+def planned(records: DataFrame, *, shown: bool = True) -> DataFrame:
+    """The open ``jobs`` with what a commit needs to say what it has changed: tier and ``was``, what counts take from
+    it, and the manifest's ``shown`` row, unless nobody asks for it."""
     rows = manifest(records, counted=True)
     row = F.struct(*(F.col(c) for c in rows.columns if c != "was"))
     english = F.col("instruction_en")
-    return rows.where(~F.col("was.complete")).select("prompt_id", F.col("language").alias("code"), english["canonical"].alias("canonical"), english["robot_natural"].alias("natural"), row.alias("shown"), "was")
+    return rows.where(~F.col("was.complete")).select("prompt_id", F.col("language").alias("code"), english["canonical"].alias("canonical"), english["robot_natural"].alias("natural"), "tier", "was", *((row.alias("shown"),) if shown else ()))
 
 
-def changed(plan: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of translations and their jobs: rows of the manifest as they are now, and (tier, code, was, n), by how much counts change."""
+def changed(plan: DataFrame, made: DataFrame) -> DataFrame:
+    """Of translations and their jobs: rows of the manifest as they are now."""
     both = plan.join(made, ["prompt_id", "code"])
     row = F.col("shown")
     now = row.withField("translation_target", F.struct("literal", "robot_natural")).withField("verification", F.col("verification"))
     now = now.withField("review_assignment.status", F.lit("pending_bilingual_review")).withField("notes", F.col("translation_notes"))
+    return both.select(now.alias("shown")).select("shown.*")
+
+
+def moved(plan: DataFrame, made: DataFrame) -> DataFrame:
+    """(tier, code, was, n): by how much counts change. What is counted is drawn from the texts before they would be shuffled."""
     checks = (F.coalesce(F.col("verification")[c], F.lit(False)).alias(c) for c in V.CHECKS)
     done = F.lit("model_translated")
     is_ = F.struct(done.alias("status"), F.lit("pending_bilingual_review").alias("review"), *checks, block_complete(done, F.col("literal"), F.col("robot_natural")).alias("complete"))
-    steps = F.array(F.struct(F.col("was").alias("was"), F.lit(-1).alias("n")), F.struct(is_.alias("was"), F.lit(1).alias("n")))
-    moved = both.select(row["tier"].alias("tier"), "code", F.explode(steps).alias("s")).groupBy("tier", "code", F.col("s.was").alias("was")).agg(F.sum("s.n").alias("n"))
-    return both.select(now.alias("shown")).select("shown.*"), moved
+    both = plan.select("prompt_id", "code", "tier", "was").join(made.select("prompt_id", "code", is_.alias("is_")), ["prompt_id", "code"])
+    both = both.groupBy("tier", "code", "was", "is_").agg(F.count(F.lit(1)).alias("n"))
+    steps = F.array(F.struct("was", (-F.col("n")).alias("n")), F.struct(F.col("is_").alias("was"), F.col("n").alias("n")))
+    return both.select("tier", "code", F.explode(steps).alias("s")).groupBy("tier", "code", F.col("s.was").alias("was")).agg(F.sum("s.n").alias("n"))
 
 
 class Commit(Protocol):
@@ -168,7 +175,7 @@ def translate_resumably(
     """
     spark = records.sparkSession
     table = SnapshotTable(spark, path)
-    todo = planned(records)
+    todo = planned(records, shown=after is not None)
     held = table.latest()
     if held is not None:
         todo = todo.join(table.read(held).select("prompt_id", "code"), ["prompt_id", "code"], "left_anti")
@@ -182,16 +189,16 @@ def translate_resumably(
     counts = dict(counts or {})
     for commit in range(0 if last is None else last + 1):
         part = plan.where(F.col("commit") == commit).drop("commit")
-        moved: list[DataFrame] = []
+        written: list[DataFrame] = []
 
-        def fold(notes: dict, made: DataFrame, part: DataFrame = part, moved: list[DataFrame] = moved) -> dict:
-            moved[:] = [*changed(part, made)]
-            return {"run": name, "counts": [[*key[:4], list(key[4]), key[5], n] for key, n in plus(counts, tallied(moved[1])).items()]}
+        def fold(notes: dict, made: DataFrame, part: DataFrame = part, written: list[DataFrame] = written) -> dict:
+            written[:] = [made]
+            return {"run": name, "counts": [[*key[:4], list(key[4]), key[5], n] for key, n in plus(counts, tallied(moved(part, made))).items()]}
 
         version = table.append(translate(part, load, batch_size=batch_size, **options), run=(name, commit), fold=fold)
         counts = {(*c[:4], tuple(c[4]), c[5]): c[6] for c in version.notes["counts"]}
         if after:
-            after(min((commit + 1) * batches_a_commit, total), total, counts, moved[0])
+            after(min((commit + 1) * batches_a_commit, total), total, counts, changed(part, written[0]))
     files.delete(spark, plan_path)
     if table.latest() is None:
         return translate(todo.limit(0), load, batch_size=batch_size, **options)

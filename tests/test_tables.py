@@ -316,3 +316,10 @@ def test_batches_of_like_lengths(spark):
         assert n <= 16 and (n == 1 or n * longest <= 4000) and size[r.prompt_id, r.code] <= longest
         padded, used = padded + longest, used + total / n
     assert used / padded > 0.85  # of what a model would read is text
+
+
+def test_a_plan_without_listeners_holds_no_manifest(spark):
+    from corpusloom.operators import lifecycle as L
+
+    ready = L.make_ready(G.entry_columns(spark.createDataFrame([("T1", "Walk.", 1, False)], "tier string, prompt string, number long, review_required boolean")))
+    assert "shown" in M.planned(ready).columns and "shown" not in M.planned(ready, shown=False).columns
