@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ DONE = JOB + ", literal string, robot_natural string, literal_back string, natur
 
 #: Characters of a batch as the model sees it, with each sentence padded to the longest.
 BUDGET = 1 << 16
+#: Characters of sources after which a task hands its translations on.
+HELD = 1 << 21
 
 
 def cuts(lengths: list[int], most: int, budget: int) -> list[tuple[int, int]]:
@@ -58,26 +61,42 @@ def cuts(lengths: list[int], most: int, budget: int) -> list[tuple[int, int]]:
 def _batch_runner(load: Load, back_load: Load | None, batch_size: int, budget: int):
     """Translates rows that come by language and length."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in DONE.split(", ")]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Translator | None = None
         backward: Translator | None = None
-        for frame in frames:
+        for batch in rows:
+            if not batch.num_rows:
+                continue
             model = model or load()
             if back_load is not None:
                 backward = backward or (model if back_load is load else back_load())
-            for code, rows in frame.groupby("code", sort=False):
-                target = V.LANGUAGES[code][1]
+            given = {n: [t or "" for t in batch.column(n).to_pylist()] for n in ("canonical", "natural")}
+            made: dict[str, list[str | None]] = {n: [] for n in names[4:]}
+            start = end = held = 0
+
+            def out(start: int, end: int, batch: pa.RecordBatch = batch, made: dict = made) -> pa.RecordBatch:
+                columns = [*(batch.column(n).slice(start, end - start) for n in names[:4]), *(pa.array(made[n], pa.string()) for n in names[4:])]
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            for code, run_ in groupby(batch.column("code").to_pylist()):
+                target, first, n = V.LANGUAGES[code][1], end, sum(1 for _ in run_)
                 # like lengths together pad less
-                lengths = rows["canonical"].fillna("").astype(str).str.len().cummax().tolist()
+                lengths = list(accumulate((len(t) for t in given["canonical"][first : first + n]), max))
                 for a, b in cuts(lengths, batch_size, budget):
-                    part = rows.iloc[a:b].copy()
                     for source, column, back in (("canonical", "literal", "literal_back"), ("natural", "robot_natural", "natural_back")):
-                        made = list(model.translate(part[source].fillna("").astype(str).tolist(), V.SOURCE_CODE, target))
-                        part[column] = made
-                        part[back] = backward.translate(made, target, V.SOURCE_CODE) if backward else None
-                    for column in ("literal_back", "natural_back"):
-                        part[column] = part[column].astype(object).where(part[column].notna(), None)
-                    yield part[[c.split()[0] for c in DONE.split(", ")]]
+                        texts = list(model.translate(given[source][first + a : first + b], V.SOURCE_CODE, target))
+                        made[column] += texts
+                        made[back] += backward.translate(texts, target, V.SOURCE_CODE) if backward else [None] * len(texts)
+                    end, held = first + b, held + (b - a) * lengths[b - 1]
+                    if held > HELD:
+                        yield out(start, end)
+                        start, held = end, 0
+                        for texts in made.values():
+                            texts.clear()
+            if end > start:
+                yield out(start, end)
 
     return run
 
@@ -109,9 +128,10 @@ def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify:
     ship(todo.sparkSession)
     # the model costs most by far: its work is dealt evenly, however the records came to lie
     parts = int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = todo.select("prompt_id", "code", "canonical", "natural").repartition(parts, "prompt_id", "code")
+    # a record's languages go together: its texts are said once more side by side, which the shuffle packs
+    dealt = todo.select("prompt_id", "code", "canonical", "natural").repartition(parts, "prompt_id")
     dealt = dealt.sortWithinPartitions("code", F.length("canonical"), "prompt_id")
-    raw = dealt.mapInPandas(_batch_runner(load, (back or load) if verify else None, batch_size, budget), DONE)
+    raw = dealt.mapInArrow(_batch_runner(load, (back or load) if verify else None, batch_size, budget), DONE)
     for name in ("literal", "robot_natural"):
         cleaned = F.col(name)
         for code, (_, target) in V.LANGUAGES.items():

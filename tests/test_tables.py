@@ -323,3 +323,14 @@ def test_a_plan_without_listeners_holds_no_manifest(spark):
 
     ready = L.make_ready(G.entry_columns(spark.createDataFrame([("T1", "Walk.", 1, False)], "tier string, prompt string, number long, review_required boolean")))
     assert "shown" in M.planned(ready).columns and "shown" not in M.planned(ready, shown=False).columns
+
+
+def test_a_record_of_many_batches_is_handed_on_in_pieces():
+    import pyarrow as pa
+
+    texts = ["x" * 400_000, None] + ["y" * 700_000] * 9
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array(["hi"] * n), pa.array(texts), pa.array(texts)], ["prompt_id", "code", "canonical", "natural"])
+    out = list(M._batch_runner(M.EchoTranslator, M.EchoTranslator, 32, M.BUDGET)(iter([batch])))
+    assert len(out) > 2 and [i for b in out for i in b.column("prompt_id").to_pylist()] == [str(i) for i in range(n)]
+    assert [t for b in out for t in b.column("literal").to_pylist()] == ["[hin] " + (t or "") for t in texts]
