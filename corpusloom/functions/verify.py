@@ -27,7 +27,7 @@ def phrases_in(text: Column, phrases: Sequence[str]) -> Column:
 
 def keeps_set(source: Column, candidate: Column, phrases: Sequence[str]) -> Column:
     """Every phrase of the source is in the candidate; true if it has none."""
-    return F.size(F.array_except(phrases_in(source, phrases), phrases_in(candidate, phrases))) == 0
+    return F.forall(phrases_in(source, phrases), lambda p: F.contains(candidate, p))
 
 
 def keeps_vocabulary_order(source: Column, candidate: Column, phrases: Sequence[str]) -> Column:
@@ -35,24 +35,39 @@ def keeps_vocabulary_order(source: Column, candidate: Column, phrases: Sequence[
 
     This is the corpus's own test. It asks for the vocabulary's order, so a faithful translation may fail.
     """
-    places = F.transform(phrases_in(source, phrases), lambda p: F.instr(candidate, p))
+    return _rising(candidate, phrases_in(source, phrases))
+
+
+def _rising(candidate: Column, phrases: Column) -> Column:
+    places = F.transform(phrases, lambda p: F.instr(candidate, p))
     return F.forall(places, lambda x: x > 0) & (places == F.array_sort(places))
 
 
 def keeps_source_order(source: Column, candidate: Column, phrases: Sequence[str]) -> Column:
     """The phrases of the source, in the order of the source, first occur in the candidate in that order."""
-    found = F.array_sort(F.transform(phrases_in(source, phrases), lambda p: F.struct(F.instr(source, p).alias("at"), p.alias("p"))))
-    places = F.transform(found, lambda x: F.instr(candidate, x["p"]))
-    return F.forall(places, lambda x: x > 0) & (places == F.array_sort(places))
+    return _rising(candidate, _as_in(source, phrases_in(source, phrases)))
+
+
+def _as_in(source: Column, phrases: Column) -> Column:
+    """Phrases of the source by their first places in it."""
+    return F.transform(F.array_sort(F.transform(phrases, lambda p: F.struct(F.instr(source, p).alias("at"), p.alias("p")))), lambda x: x["p"])
 
 
 def verification(canonical: Column, natural: Column, literal_back: Column, natural_back: Column, *, source_order: bool = False) -> Column:
-    """A struct of the four checks, each of both forms, over normalised texts."""
-    pairs = ((canonical, literal_back), (natural, natural_back))
-    ordered = keeps_source_order if source_order else keeps_vocabulary_order
-    both = lambda test, phrases: test(*pairs[0], phrases) & test(*pairs[1], phrases)
-    checks = (both(keeps_set, V.ACTIONS), both(ordered, V.ACTIONS + V.DIRECTIONS), both(keeps_set, V.DIRECTIONS), both(keeps_set, V.SAFETY))
-    return F.struct(*(c.alias(n) for c, n in zip(checks, V.CHECKS, strict=True)))
+    """A struct of the four checks, each of both forms, over normalised texts.
+
+    Each vocabulary is looked up once in each source; in a back-translation only what its source has is looked for.
+    """
+    found = lambda s, c: F.struct(s.alias("s"), c.alias("c"), *(phrases_in(s, v).alias(n) for n, v in (("a", V.ACTIONS), ("d", V.DIRECTIONS), ("f", V.SAFETY))))
+
+    def tested(x: Column) -> Column:
+        every = F.concat(x["a"], x["d"])
+        order = _rising(x["c"], _as_in(x["s"], every) if source_order else every)
+        a, d, f = (F.forall(x[n], lambda p: F.contains(x["c"], p)) for n in "adf")
+        return F.struct(*(c.alias(n) for c, n in zip((a, order, d, f), V.CHECKS, strict=True)))
+
+    forms = F.transform(F.array(found(canonical, literal_back), found(natural, natural_back)), tested)
+    return F.get(F.transform(F.array(forms), lambda two: F.struct(*((two[0][n] & two[1][n]).alias(n) for n in V.CHECKS))), F.lit(0))
 
 
 def skipped_verification() -> Column:
