@@ -181,31 +181,30 @@ def merge_translations(records: DataFrame, translations: DataFrame, *, model: st
     """Writes translations into the blocks of their records and rolls the record's state up.
 
     ``translations``: prompt_id, code, literal, robot_natural, verification, translation_notes; one row a
-    key. Records without one stay as they are. One shuffle of the translations by prompt_id, one join.
+    key. Records without one stay as they are. One shuffle of the translations by prompt_id, one join. Each field is
+    a column of its own until the end: those that nobody reads are neither shuffled nor joined.
     """
-    new = F.struct("literal", "robot_natural", "verification", "translation_notes")
-    wide = translations.groupBy("prompt_id").agg(*(F.max(F.when(F.col("code") == c, new)).alias(f"_{c}") for c in V.LANGUAGES))
+    fields = ("literal", "robot_natural", "verification", "translation_notes")
+    own = lambda c: (F.max(F.when(F.col("code") == c, F.lit(True))).alias(f"_{c}"), *(F.max(F.when(F.col("code") == c, F.col(n))).alias(f"_{c}_{n}") for n in fields))
+    wide = translations.groupBy("prompt_id").agg(*(x for c in V.LANGUAGES for x in own(c)))
     joined = records.join(wide, "prompt_id", "left")
     columns = {}
     forms = F.col("instruction_multilingual")
     for c in V.LANGUAGES:
-        b, u = F.col(block_name(c)), F.col(f"_{c}")
-        updated = (
-            b.withField("literal", u["literal"])
-            .withField("robot_natural", u["robot_natural"])
-            .withField("status", F.lit("model_translated"))
-            .withField("translation_notes", u["translation_notes"])
-            .withField("verification", u["verification"])
-            .withField("review.review_status", F.lit("pending_bilingual_review"))
-            .withField("provenance.translation_model", F.lit(model))
-            .withField("provenance.translation_method", F.lit(method))
-        )
-        columns[block_name(c)] = F.when(u.isNotNull(), updated).otherwise(b)
-        form = forms[c].withField("literal", u["literal"]).withField("robot_natural", u["robot_natural"])
-        columns["instruction_multilingual"] = columns.get("instruction_multilingual", forms).withField(c, F.when(u.isNotNull(), form).otherwise(forms[c]))
+        b, new = F.col(block_name(c)), F.col(f"_{c}").isNotNull()
+        values = {n: F.col(f"_{c}_{n}") for n in fields}
+        values |= {"status": F.lit("model_translated"), "review.review_status": F.lit("pending_bilingual_review"), "provenance.translation_model": F.lit(model), "provenance.translation_method": F.lit(method)}
+        updated = b
+        for path, value in values.items():
+            updated = updated.withField(path, F.when(new, value).otherwise(reduce(lambda x, n: x[n], path.split("."), b)))
+        columns[block_name(c)] = updated
+        form = forms[c]
+        for n in ("literal", "robot_natural"):
+            form = form.withField(n, F.when(new, values[n]).otherwise(forms[c][n]))
+        columns["instruction_multilingual"] = columns.get("instruction_multilingual", forms).withField(c, form)
     merged = joined.withColumns(columns)
     touched = reduce(lambda a, b: a | b, [F.col(f"_{c}").isNotNull() for c in V.LANGUAGES])
-    return rolled_up(merged, touched).drop(*(f"_{c}" for c in V.LANGUAGES))
+    return rolled_up(merged, touched).drop(*(f"_{c}{n}" for c in V.LANGUAGES for n in ("", *(f"_{n}" for n in fields))))
 
 
 def rolled_up(records: DataFrame, touched: Column) -> DataFrame:

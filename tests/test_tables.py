@@ -334,3 +334,16 @@ def test_a_record_of_many_batches_is_handed_on_in_pieces():
     out = list(M._batch_runner(M.EchoTranslator, M.EchoTranslator, 32, M.BUDGET)(iter([batch])))
     assert len(out) > 2 and [i for b in out for i in b.column("prompt_id").to_pylist()] == [str(i) for i in range(n)]
     assert [t for b in out for t in b.column("literal").to_pylist()] == ["[hin] " + (t or "") for t in texts]
+
+
+def test_what_nobody_reads_of_translations_is_not_shuffled(spark):
+    from corpusloom.operators import lifecycle as L
+
+    ready = L.make_ready(G.entry_columns(spark.createDataFrame([("T1", "Walk.", 1, False)], "tier string, prompt string, number long, review_required boolean")))
+    done = spark.createDataFrame([("kimodo_000001", "hi", "x", "y", (True, True, True, True), ["n"])], "prompt_id string, code string, literal string, robot_natural string, verification struct<action_preservation:boolean,order_preservation:boolean,direction_preservation:boolean,safety_preservation:boolean>, translation_notes array<string>")
+    merged = L.merge_translations(ready, done, model="m", method="t")
+    row = merged.first()
+    assert (row.translation_hi.literal, row.translation_hi.translation_notes, row.translation_hi.provenance.translation_model, row.instruction_multilingual.hi.robot_natural) == ("x", ["n"], "m", "y")
+    assert row.translation_bn.status == "pending" and row.translation_bn.literal is None and row.pipeline.stage == "translation_in_progress"
+    plan = merged.select("prompt_id", F.col("translation_hi.status").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translation_notes" not in plan.split("Aggregate", 1)[1].splitlines()[0]
