@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import scratch
+
 #: Letters of the key by which pieces of words meet.
 KEY = 3
 
@@ -29,7 +31,8 @@ def phrases_of_table(texts: DataFrame, phrases: DataFrame, *, key: str = "doc_id
 
     A phrase is in a text if it is a substring, as for vocabularies that are given as lists. That costs one test for each
     phrase and text; here the texts' distinct words are a table, phrases find theirs in it by pieces of ``KEY`` letters and
-    only what has them is tested. Phrases and texts have words parted by single spaces. Hot words are split by
+    only what has them is tested. Phrases and texts have words parted by single spaces. The words that matter are
+    written first: while they are few, the texts' words meet them without a shuffle. Else hot words are split by
     adaptive joins, as each join is followed by no grouping until texts meet their own candidates.
 
     Empty phrases and nulls are in no text; a key that is repeated has what any of its texts holds.
@@ -47,6 +50,9 @@ def phrases_of_table(texts: DataFrame, phrases: DataFrame, *, key: str = "doc_id
     keyed = dictionary.select("word", F.explode(F.array_distinct(pieces)).alias("key"))
     fits = F.when(F.col("side") == "end", F.endswith("word", "piece")).when(F.col("side") == "start", F.startswith("word", "piece")).otherwise(F.contains("word", "piece"))
     found = part.join(keyed, "key").where(fits).select("phrase", "word").unionAll(whole)
+    spark, path = texts.sparkSession, f"{scratch(texts.sparkSession, 'phrases')}/found"
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
 
     may = words.join(found, "word").select("_id", "phrase").groupBy("_id").agg(F.collect_set("phrase").alias("may"))
     held = rows.join(may, "_id").select("_id", F.filter("may", lambda p: F.contains("_text", p)).alias("held")).where(F.size("held") > 0)

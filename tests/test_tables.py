@@ -347,3 +347,9 @@ def test_what_nobody_reads_of_translations_is_not_shuffled(spark):
     assert row.translation_bn.status == "pending" and row.translation_bn.literal is None and row.pipeline.stage == "translation_in_progress"
     plan = merged.select("prompt_id", F.col("translation_hi.status").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert "translation_notes" not in plan.split("Aggregate", 1)[1].splitlines()[0]
+
+
+def test_the_words_of_phrases_meet_texts_without_a_shuffle_while_few(spark):
+    texts = spark.createDataFrame([(i, f"w{i} turn left") for i in range(50)], "doc_id long, text string")
+    plan = phrases_of_table(texts, spark.createDataFrame([("turn left",)], "phrase string"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [word" in plan
