@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import rules as R
 from corpusloom.functions import text as X
 from corpusloom.functions import vocab as V
+from corpusloom.session import scratch
 from corpusloom.sources.unknown import without
 
 
@@ -120,7 +121,7 @@ def long_form(records: DataFrame, *keep: str | Column, fields: tuple[str, ...])
 
 def text_given(c: Column) -> Column:
     """Not null and not blank."""
-    return X.normalize_space(F.coalesce(c, F.lit(""))) != ""
+    return F.regexp_like(F.coalesce(c, F.lit("")), F.lit(X.TEXT))
 
 
 def block_complete(status: Column, literal: Column, natural: Column) -> Column:
@@ -151,12 +152,19 @@ def batches(records: DataFrame, order: str, size: int, most: int | None = None)
 def numbered_by(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
     """Adds row, from 0 in ``order`` (ties in no fixed order): ranges are counted first, then numbered side by side.
 
-    The ranges come from a bounded sample; their numbers are exact all the same.
+    The ranges come from a bounded sample; their numbers are exact all the same. ``order`` is written once, so sampling and
+    counting don't work the rows out anew.
     """
-    bounds = [r[0] for r in df.where(F.col(order).isNotNull()).select(order).orderBy(F.rand(7)).limit(50 * ranges).orderBy(order).collect()][::50]
+    spark = df.sparkSession
+    path = f"{scratch(spark, 'order')}/keys"
+    df.select(order).write.parquet(path)
+    keys = spark.read.schema(df.select(order).schema).parquet(path)
+    if df.columns == [order]:
+        df = keys
+    bounds = [r[0] for r in keys.where(F.col(order).isNotNull()).select(order).orderBy(F.rand(7)).limit(50 * ranges).orderBy(order).collect()][::50]
     part = reduce(lambda a, b: a + F.when(F.col(order) >= F.lit(b), 1).otherwise(0), bounds, F.lit(0)) if bounds else F.lit(0)
-    dealt = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    dealt, counted = (x.withColumn("_part", F.coalesce(part, F.lit(-1))) for x in (df, keys))
+    sizes = counted.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     return dealt.withColumn("_row", within).join(before, "_part").withColumn("row", F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")

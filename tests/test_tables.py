@@ -318,22 +318,19 @@ def test_batches_of_like_lengths(spark):
     assert used / padded > 0.85  # of what a model would read is text
 
 
-def test_a_plan_without_listeners_holds_no_manifest(spark):
+def test_numbers_are_dealt_from_keys_written_once(spark):
     from corpusloom.operators import lifecycle as L
 
-    ready = L.make_ready(G.entry_columns(spark.createDataFrame([("T1", "Walk.", 1, False)], "tier string, prompt string, number long, review_required boolean")))
-    assert "shown" in M.planned(ready).columns and "shown" not in M.planned(ready, shown=False).columns
+    seen = spark.sparkContext.accumulator(0)
 
+    def told(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
 
-def test_a_record_of_many_batches_is_handed_on_in_pieces():
-    import pyarrow as pa
-
-    texts = ["x" * 400_000, None] + ["y" * 700_000] * 9
-    n = len(texts)
-    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array(["hi"] * n), pa.array(texts), pa.array(texts)], ["prompt_id", "code", "canonical", "natural"])
-    out = list(M._batch_runner(M.EchoTranslator, M.EchoTranslator, 32, M.BUDGET)(iter([batch])))
-    assert len(out) > 2 and [i for b in out for i in b.column("prompt_id").to_pylist()] == [str(i) for i in range(n)]
-    assert [t for b in out for t in b.column("literal").to_pylist()] == ["[hin] " + (t or "") for t in texts]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(f"{i:03d}",) for i in range(200)]).mapPartitions(told), "k string")
+    assert sorted((r.k, r.batch) for r in L.batches(df, "k", 7).collect()) == [(f"{i:03d}", i // 7) for i in range(200)]
+    assert seen.value == 200  # sampling, counting and numbering made each row anew
 
 
 def test_what_nobody_reads_of_translations_is_not_shuffled(spark):
@@ -353,3 +350,21 @@ def test_the_words_of_phrases_meet_texts_without_a_shuffle_while_few(spark):
     texts = spark.createDataFrame([(i, f"w{i} turn left") for i in range(50)], "doc_id long, text string")
     plan = phrases_of_table(texts, spark.createDataFrame([("turn left",)], "phrase string"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [word" in plan
+
+
+def test_a_plan_without_listeners_holds_no_manifest(spark):
+    from corpusloom.operators import lifecycle as L
+
+    ready = L.make_ready(G.entry_columns(spark.createDataFrame([("T1", "Walk.", 1, False)], "tier string, prompt string, number long, review_required boolean")))
+    assert "shown" in M.planned(ready).columns and "shown" not in M.planned(ready, shown=False).columns
+
+
+def test_a_record_of_many_batches_is_handed_on_in_pieces():
+    import pyarrow as pa
+
+    texts = ["x" * 400_000, None] + ["y" * 700_000] * 9
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array(["hi"] * n), pa.array(texts), pa.array(texts)], ["prompt_id", "code", "canonical", "natural"])
+    out = list(M._batch_runner(M.EchoTranslator, M.EchoTranslator, 32, M.BUDGET)(iter([batch])))
+    assert len(out) > 2 and [i for b in out for i in b.column("prompt_id").to_pylist()] == [str(i) for i in range(n)]
+    assert [t for b in out for t in b.column("literal").to_pylist()] == ["[hin] " + (t or "") for t in texts]
