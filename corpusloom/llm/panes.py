@@ -16,13 +16,12 @@ WAIT, KEEP = 6 * HOUR, 4 * DAY
 ERA = 4_383_000 * DAY
 FED = "click_id long, kind string, event long, hour long, cents long"
 PANES = "kind string, hour long, n_rows long, cents long"
-#: For the session of the streaming query. One batch a start: nothing runs but what was fed. Many small stores: they
-#: reserve no disk ahead, and those of an ended start are closed soon.
+#: For the session of the streaming query. One batch a start: nothing runs but what was fed. Sums live in the executors' heap,
+#: a short row a pane that isn't closed, of one version: a native store a partition and start takes megabytes even if it is
+#: empty, so hundreds of partitions would take gigabytes for a few thousand panes. Those of an ended start are let go soon.
 SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+    "spark.sql.streaming.maxBatchesToRetainInMemory": "1",
     "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
@@ -85,7 +84,7 @@ class Feed:
 def _advance(session: SparkSession, feed: Feed, checkpoint: str, watermark: int | None, keep: int) -> None:
     """Starts the query on its checkpoint, lets it take what was fed since, and ends it.
 
-    Panes are sums by hour and kind in RocksDB. Their end and the watermark tell Spark which to forget.
+    Panes are sums by hour and kind in its state. Their end and the watermark tell Spark which to forget.
     """
     rows = session.readStream.schema(f"{FED}, batch int").parquet(feed.path).where(~past(watermark, keep))
     timed = rows.withColumn("time", F.timestamp_micros(F.col("event") + ERA)).withWatermark("time", f"{keep // 1000} milliseconds")
@@ -114,9 +113,9 @@ def revisions(clicks: DataFrame, *, batches: int = BATCHES, wait: int = WAIT, ke
     due; ``retract`` and ``replace`` for panes written before that have new rows; after the last batch ``final``
     for all not written yet.
 
-    The state after a batch and after the one before it, read with the statestore reader, are compared to find what
-    changed; a table of its own, the lifecycle, holds which panes have been written and aren't closed. Everything but a
-    number a batch stays in tables dealt by pane.
+    The state after a batch, read with the statestore reader, is compared with what was held after the one before it, to
+    find what changed; that table also tells which panes have been written and aren't closed. Everything but a number a
+    batch stays in tables dealt by pane.
 
     Edge cases: rows without ts, arrived_at or click_id belong to no batch and are left out. Rows of one click_id count as
     one, that of the smallest (batch, event time, kind, cents). A null kind is ``none``; a null or non-finite value
@@ -131,16 +130,15 @@ def revisions(clicks: DataFrame, *, batches: int = BATCHES, wait: int = WAIT, ke
     feed.stage(fed(clicks, batches))
     latest = {r.batch: r.event for r in spark.read.schema(f"{FED}, batch int").parquet(feed.staged).groupBy("batch").agg(F.max("event").alias("event")).collect()}  # a number a batch
 
-    before, lifecycle = spark.createDataFrame([], PANES), spark.createDataFrame([], "kind string, hour long, emitted int")
+    held = spark.createDataFrame([], f"{PANES}, written boolean")
     records, watermark = [], None
     for batch in range(batches):
         rows = feed.give(batch)
         _advance(session, feed, checkpoint, watermark, keep)
-        after = work.save(_state(session, checkpoint, batch))
-
-        b, a = (x.select("kind", "hour", F.struct("n_rows", "cents").alias(n)) for x, n in ((before, "b"), (after, "a")))
-        panes = b.join(a, ["kind", "hour"], "full").join(lifecycle, ["kind", "hour"], "left")
-        due, written = past(watermark, wait), F.col("emitted").isNotNull()
+        before = held.select("kind", "hour", F.struct("n_rows", "cents").alias("b"), "written")
+        after = _state(session, checkpoint, batch).select("kind", "hour", F.struct("n_rows", "cents").alias("a"))
+        panes = before.join(after, ["kind", "hour"], "full")
+        due, written = past(watermark, wait), F.coalesce("written", F.lit(False))
         now = F.coalesce("a", "b")  # a pane that is due and closed at once has left the state
         changed = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a.n_rows") != F.col("b.n_rows"))
         none = F.lit(None).cast("struct<record:string,n_rows:bigint,cents:bigint>")
@@ -151,13 +149,12 @@ def revisions(clicks: DataFrame, *, batches: int = BATCHES, wait: int = WAIT, ke
         revised = written & changed
         made = [F.when(~written & due, entry("emit", now)), F.when(revised, entry("retract", F.col("b"))), F.when(revised, entry("replace", F.col("a")))]
         made.append(F.when(~written & ~due, entry("final", now)) if batch == batches - 1 else none)
-        panes = work.save(panes.select("kind", "hour", F.when(written | due, F.coalesce("emitted", F.lit(batch))).alias("emitted"), F.filter(F.array(*made), lambda x: x.isNotNull()).alias("made")))
+        panes = work.save(panes.select("kind", "hour", "a.n_rows", "a.cents", (written | due).alias("written"), F.filter(F.array(*made), lambda x: x.isNotNull()).alias("made")))
         told = panes.select("kind", "hour", F.explode("made").alias("m")).select(F.lit(batch).cast("long").alias("batch"), "m.record", "kind", "hour", F.lit(-1).cast("long").alias("click_id"), "m.n_rows", "m.cents")
         late = rows.where(past(watermark, keep)).select(F.lit(batch).cast("long").alias("batch"), F.lit("late").alias("record"), "kind", "hour", "click_id", F.lit(1).cast("long").alias("n_rows"), "cents")
         records += [told, late]
 
-        lifecycle = work.save(panes.where("emitted is not null").where(~past(watermark, keep)).select("kind", "hour", "emitted"))
-        before = after
+        held = panes.where("n_rows is not null").select("kind", "hour", "n_rows", "cents", "written")
         if batch in latest:
             watermark = max(latest[batch], latest[batch] if watermark is None else watermark)
     out = records[0]

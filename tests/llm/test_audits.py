@@ -245,3 +245,21 @@ def test_panes_of_few_batches(spark):
     odd = spark.createDataFrame([(1, day, day, "view", float("nan"), 1, "", 2, "")], CLICKS)
     assert [(r.record, r.cents) for r in panes.revisions(odd).collect()] == [("final", 0)]
     assert panes.revisions(odd.limit(0)).count() == 0
+
+
+def test_panes_in_many_partitions_open_no_native_store(spark, monkeypatch):
+    """211 partitions of native stores, for each start and read, took gigabytes of an executor; a batch writes one table."""
+    held, saved = [], []
+    state, save = panes._state, panes.Workspace.save
+    monkeypatch.setattr(panes, "_state", lambda session, checkpoint, batch: (held.append(checkpoint), state(session, checkpoint, batch))[1])
+    monkeypatch.setattr(panes.Workspace, "save", lambda self, df: (saved.append(1), save(self, df))[1])
+    rows = clicks_of(np.random.default_rng(5), 200, dt.datetime(2024, 3, 1), 12, 30)
+    df = spark.createDataFrame([(*r, 1, "", 2, "") for r in rows], CLICKS)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = sorted((r.batch, r.record, r.kind, r.hour, r.click_id, r.n_rows, r.cents) for r in panes.revisions(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == told(rows) and len(saved) == panes.BATCHES
+    log = "\n".join(r.value for r in spark.read.text(f"{held[0]}/offsets/0").collect())
+    assert "HDFSBackedStateStoreProvider" in log and "RocksDB" not in log.split("providerClass")[1][:120]
