@@ -137,8 +137,8 @@ def _band(size: Column) -> Column:
     return F.floor(F.log(F.greatest(size.cast("double"), F.lit(1.0))) * 28).cast("int")
 
 
-def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of ``members`` (id, component) in two components whose sets can be linked; some can't.
+def _across(members: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """All pairs (a, b) of ``members`` (id, component) in two components whose sets can be linked; some can't. Saved, each once.
 
     Sets are read in one order, with what no other component has first and then from rare to frequent. A link of
     sizes m and n takes 100 * both >= percent * (m + n - both) for ``both`` common shingles, and in either set all
@@ -150,7 +150,10 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
     # pairs inside the component that has a shingle most often aren't formed
     held = held.groupBy("shingle").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("most"), (F.min("component") < F.max("component")).alias("several"))
-    rows = rows.join(held.where("several").drop("several"), "shingle")
+    several = work.save(held.where("several").drop("several"))
+    work.release()
+    # most shingles are of one component: a bitmap keeps most of those out of the shuffle, the join the rest
+    rows = maybe_in(rows, "shingle", several.select("shingle")).where("maybe").select("row.*").join(several, "shingle")
     own = Window.partitionBy("id", "part")
     before = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "shingle")) - 1
     rows = rows.withColumn("rest", F.col("size") - before).withColumn("rare", F.col("component") != F.col("most"))
@@ -162,7 +165,10 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fit &= (F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.id") < F.col("x.id")))
     fit &= (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.size") + F.col("y.size"))
     met = [larger.where("rare").join(smaller, fit), larger.where("not rare").join(smaller.where("rare"), fit)]
-    return met[0].unionAll(met[1]).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    out = work.save(met[0].unionAll(met[1]).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    work.drop(several)
+    work.release()
+    return out
 
 
 def near_dedup(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
@@ -221,10 +227,12 @@ def grouped(tables: DataFrame, sizes: DataFrame, texts: DataFrame, shingle_words
     met = met.groupBy("n", "mark0", "mark1").agg(F.min("key").alias("key"))
     shared = work.save(tables.join(met.select("key", "n"), "key"))
     work.drop(tables)
+    work.release()
     # the text that others are copies of meets more of them than they do each other: it makes the best centre
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
     buckets = work.save(shared.join(weight.join(sizes, "id"), "id").select("key", "id", "weight", "lo", "hi"))
     work.drop(shared)
+    work.release()
 
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     # a set too many, where the bitmap lets one pass, costs less than a shuffle of the texts
@@ -235,7 +243,9 @@ def grouped(tables: DataFrame, sizes: DataFrame, texts: DataFrame, shingle_words
     # sets whose sizes differ too much aren't linked; an id of several texts has the sizes lo to hi
     fit = (100 * F.col("hi") >= percent * F.col("c.lo")) & (100 * F.col("c.hi") >= percent * F.col("lo"))
     tested = work.save(others.where(fit).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
+    work.release()
     links = _linked(tested, sets, percent, work)
+    work.release()
     labels = connected_components(links, work)
     work.release()
 
@@ -243,7 +253,10 @@ def grouped(tables: DataFrame, sizes: DataFrame, texts: DataFrame, shingle_words
     placed = others.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", component)
     apart = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one < two").select("key")
     members = work.save(placed.join(apart, "key").select("id", "component").distinct())
-    rest = work.save(_across(members, sets, percent).distinct().join(tested, ["a", "b"], "left_anti"))
+    work.release()
+    met = _across(members, sets, percent, work)
+    rest = work.save(met.join(tested, ["a", "b"], "left_anti"))
+    work.drop(met)
     more = _linked(rest, sets, percent, work)
     if not more.isEmpty():
         labels = connected_components(links.union(more), work)

@@ -177,12 +177,15 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, shingle_words
     met = work.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     work.release()
     tables = work.save(maybe_in(rows, "key", met).where("maybe").select("row.*").join(met, "key").distinct())
+    # signatures take most of what was saved, and nothing needs them from here on
+    base = work.save(signed.select("doc_id", "n_shingles", "set_hash"))
+    work.drop(signed, met)
     work.release()
+    usable = base.where("n_shingles > 0 and doc_id is not null")
     sizes = usable.groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     labels = grouped(tables, sizes, texts, shingle_words, percent, work)
-    work.drop(met)
 
-    base = signed.select("doc_id", "n_shingles", "set_hash").join(copies, "set_hash", "left").withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")))
+    base = base.join(copies, "set_hash", "left").withColumn("id", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")))
     return base.join(labels, base.id == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 

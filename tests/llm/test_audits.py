@@ -4,6 +4,7 @@ import datetime as dt
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -77,6 +78,20 @@ def test_jaccard_join(spark, docs, empty):  # noqa: F811
     assert partenum.jaccard_join(empty).count() == 0
 
 
+def test_signatures_are_gone_before_texts_are_compared(spark, docs, monkeypatch):  # noqa: F811
+    """They take most of the disk, so they go once it is known who meets."""
+    left, grouped = [], partenum.grouped
+
+    def watched(*args):
+        root = Path(re.sub("^file:/*", "/", args[-1].root))
+        left.extend(c for p in root.iterdir() for c in spark.read.parquet(f"file://{p}").columns)
+        return grouped(*args)
+
+    monkeypatch.setattr(partenum, "grouped", watched)
+    assert partenum.jaccard_join(docs).count() == docs.count()
+    assert "set_hash" in left and "keys" not in left
+
+
 def test_jaccard_join_near_the_threshold(spark):
     """Texts that share a passage with all others, at likenesses just above and below the threshold; repeats; no doc_id."""
     rng = np.random.default_rng(3)
