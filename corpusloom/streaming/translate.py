@@ -119,6 +119,8 @@ def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify:
     Jobs are dealt evenly by their key, then each task takes its own by language and length, so a batch is of one
     language and of like lengths; keys, not places, tell whose a translation is.
 
+    A job whose canonical text is null has no literal translation; a blank one has what the model makes of it.
+
     ``back`` makes the model of the way back to the source language; without it the same model goes both ways.
 
     A model that isn't deterministic must have its result written before it is used twice.
@@ -137,6 +139,8 @@ def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify:
         for code, (_, target) in V.LANGUAGES.items():
             cleaned = F.when(F.col("code") == code, X.sanitize_decoded(name, target)).otherwise(cleaned)
         raw = raw.withColumn(name, cleaned)
+    # the model is given the empty text where there is none, which doesn't make a translation of it
+    raw = raw.withColumn("literal", F.when(F.col("canonical").isNotNull(), F.col("literal")))
     for name in ("literal_back", "natural_back"):
         raw = raw.withColumn(name, X.sanitize_decoded(name, V.SOURCE_CODE))
     if verify:

@@ -368,3 +368,20 @@ def test_a_record_of_many_batches_is_handed_on_in_pieces():
     out = list(M._batch_runner(M.EchoTranslator, M.EchoTranslator, 32, M.BUDGET)(iter([batch])))
     assert len(out) > 2 and [i for b in out for i in b.column("prompt_id").to_pylist()] == [str(i) for i in range(n)]
     assert [t for b in out for t in b.column("literal").to_pylist()] == ["[hin] " + (t or "") for t in texts]
+
+
+@pytest.mark.parametrize("name", ["translate_stub", "translate_notes", "pending_jobs"])
+def test_blank_and_missing_texts_are_echoed_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as E
+
+    texts = ["", "  \n ", None, " Walk \t on. ", "Stop.", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    duck = duckdb.connect()
+    for table in ("documents", "labels"):
+        duck.sql(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    got = E.queries()[name](spark, str(tmp_path))
+    want = duck.sql(f"select {', '.join(got.columns)} from ({E.oracle_sql()[name]})").fetchall()
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
