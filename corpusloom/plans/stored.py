@@ -29,6 +29,8 @@ def unknown_keys_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     for translation, stored and read again."""
     clicks = read(spark, sf_dir, "clicks").where("click_id is not null")
     clicks = clicks.where(F.try_parse_json("props").isNotNull() & F.startswith(F.trim("props"), F.lit("{")))
+    # lines are many times as long as clicks, and a compressed file is read by one task: many files keep all cores busy
+    clicks = clicks.select("click_id", "props").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     line = F.format_string('{"prompt_id":"%d","props":%s,"tier":"T1","instruction_en":{"canonical":"turn left","shown":%s},"metadata":{"split":"dev","seen":%s}}', "click_id", "props", "props", "props")
     raw, ready = (SnapshotTable(spark, f"{scratch(spark, 'unknown')}/{n}", "text") for n in ("raw", "ready"))
     raw.replace(clicks.select(line.alias("value")))

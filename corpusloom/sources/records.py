@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from corpusloom.operators.report import column_widths
 from corpusloom.sources import files
 from corpusloom.sources.snapshots import SnapshotTable, Version
-from corpusloom.sources.unknown import as_json, parsed
+from corpusloom.sources.unknown import as_lines, parsed
 from corpusloom.sources.workbooks import SHEET_ROWS, write_book
 
 
@@ -55,7 +55,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, version:
 def lines_of(df: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """The JSON text of each record in ``order``, unknown keys where they were."""
     out = df.orderBy(*order) if order else df
-    return out.select(as_json(out))
+    return as_lines(out)
 
 
 def write_jsonl(df: DataFrame, path: str, order: tuple[str, ...] = (), *, single: bool = False) -> None:

@@ -385,3 +385,15 @@ def test_blank_and_missing_texts_are_echoed_as_in_sql(spark, tmp_path, name):
     got = E.queries()[name](spark, str(tmp_path))
     want = duck.sql(f"select {', '.join(got.columns)} from ({E.oracle_sql()[name]})").fetchall()
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_lines_are_parsed_once_and_written_at_once(spark):
+    kind = "struct<id:long,a:struct<x:int,b:struct<y:string>>,n:struct<z:int>>"
+    lines = spark.createDataFrame([(x,) for x in ('{"id":1,"a":{"x":2,"b":{"y":"q\\"}","u":[1,{"w":null}]}},"m":{"id":7},"n":null}', '{"id":2,"n":{"z":3,"end":0}}', '{"id":3}')], "value string")
+    got = U.parsed(lines, spark.createDataFrame([], kind[7:-1]).schema)
+    want = ['{"id":1,"a":{"x":2,"b":{"y":"q\\"}","u":[1,{"w":null}]}},"n":null,"m":{"id":7}}', '{"id":2,"a":null,"n":{"z":3,"end":0}}', '{"id":3,"a":null,"n":null}']
+    out = S.lines_of(got)
+    assert [r.value for r in out.collect()] == want
+    count = lambda df, word: df._jdf.queryExecution().analyzed().toString().count(word)
+    # a struct more is a look-up more, not a parsing or a writing more
+    assert (count(got, "parse_json"), count(out, "to_json(")) == (1, 2)
