@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vocab as V
 from corpusloom.functions.rules import present
-from corpusloom.functions.text import normalize_for_match
+from corpusloom.functions.text import match_form, normalize_for_match
 
 
-def normalized(df: DataFrame, **texts: Column) -> DataFrame:
-    """Adds each text as it is matched, under its name; a missing one is the empty text."""
-    return df.withColumns({n: normalize_for_match(F.coalesce(c, F.lit(""))) for n, c in texts.items()})
+def normalized(df: DataFrame, *, spaced: bool = False, **texts: Column) -> DataFrame:
+    """Adds each text as it is matched, under its name; a missing one is the empty text. ``spaced`` texts have single spaces already."""
+    form = match_form if spaced else normalize_for_match
+    return df.withColumns({n: form(F.coalesce(c, F.lit(""))) for n, c in texts.items()})
 
 
 def phrases_in(text: Column, phrases: Sequence[str]) -> Column:

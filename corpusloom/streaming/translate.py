@@ -101,6 +101,30 @@ def _batch_runner(load: Load, back_load: Load | None, batch_size: int, budget: i
     return run
 
 
+def _cleaned(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """Adds to a runner the cleaning of what the model has made, and single spaces in what it was given, which is only
+    compared from there on: the texts are at hand, and each pattern over them in Catalyst costs more than the rest of a task."""
+
+    names = [c.split()[0] for c in DONE.split(", ")]
+
+    def cleaned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(rows):
+            codes = batch.column("code").to_pylist()
+            columns = [batch.column(n) for n in names[:2]]
+            for n in names[2:]:
+                texts = batch.column(n).to_pylist()
+                if n in names[2:4]:
+                    made = [t if t is None else " ".join(t.split()) for t in texts]
+                elif n in ("literal", "robot_natural"):
+                    made = [t if t is None else X.sanitized_text(t, V.LANGUAGES[c][1]) for t, c in zip(texts, codes, strict=True)]
+                else:
+                    made = [t if t is None else X.sanitized_text(t, V.SOURCE_CODE) for t in texts]
+                columns.append(pa.array(made, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return cleaned
+
+
 def jobs(records: DataFrame, *, whole_records: bool = False) -> DataFrame:
     """prompt_id, code, canonical, natural of what is to be translated: incomplete languages, or with
     ``whole_records`` all languages of records with any."""
@@ -133,18 +157,11 @@ def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify:
     # a record's languages go together: its texts are said once more side by side, which the shuffle packs
     dealt = todo.select("prompt_id", "code", "canonical", "natural").repartition(parts, "prompt_id")
     dealt = dealt.sortWithinPartitions("code", F.length("canonical"), "prompt_id")
-    raw = dealt.mapInArrow(_batch_runner(load, (back or load) if verify else None, batch_size, budget), DONE)
-    for name in ("literal", "robot_natural"):
-        cleaned = F.col(name)
-        for code, (_, target) in V.LANGUAGES.items():
-            cleaned = F.when(F.col("code") == code, X.sanitize_decoded(name, target)).otherwise(cleaned)
-        raw = raw.withColumn(name, cleaned)
+    raw = dealt.mapInArrow(_cleaned(_batch_runner(load, (back or load) if verify else None, batch_size, budget)), DONE)
     # the model is given the empty text where there is none, which doesn't make a translation of it
     raw = raw.withColumn("literal", F.when(F.col("canonical").isNotNull(), F.col("literal")))
-    for name in ("literal_back", "natural_back"):
-        raw = raw.withColumn(name, X.sanitize_decoded(name, V.SOURCE_CODE))
     if verify:
-        raw = VF.normalized(raw, _a=F.col("canonical"), _b=F.col("natural"), _c=F.col("literal_back"), _d=F.col("natural_back"))
+        raw = VF.normalized(raw, spaced=True, _a=F.col("canonical"), _b=F.col("natural"), _c=F.col("literal_back"), _d=F.col("natural_back"))
         done = raw.withColumn("verification", VF.verification(*(F.col(c) for c in ("_a", "_b", "_c", "_d")), source_order=source_order))
     else:
         done = raw.withColumn("verification", VF.skipped_verification())

@@ -120,3 +120,27 @@ def test_a_text_is_worked_out_once_for_all_phrases(spark):
     assert df.first().v == ["turn", "stop"]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in plan and "regexp_replace" not in plan.split("filter(", 1)[1]
+
+
+def test_cleaning_in_a_task_is_the_columns(spark):
+    texts = ["<s> hin_Deva  a hin Deva </s>", "[hin] \t x\x1c\x85y\u3000", "", " <pad>", "a<unk>b eng_Latn", "no mark", "hin\nDeva", "<<s>s>"]
+    for target in ("hin_Deva", V.SOURCE_CODE):
+        assert values(spark, texts, v=X.sanitize_decoded("t", target)) == [X.sanitized_text(t, target) for t in texts]
+
+
+def test_plain_letters_tell_which_texts_are_searched(spark):
+    texts = ["Then CONTINUE TO B.", "Then cont\u0131nue to B.", "Then go  to B.", "Ergo toward B.", "So turn back.", "x" * 300 + " go to B."]
+    assert values(spark, texts, v=X.robot_natural("t")) == ["Then move to B.", "Then move to B.", "Then go to B.", "Ergo toward B.", "So turn around.", "X" + "x" * 299 + " move to B."]
+    one = spark.createDataFrame([(t,) for t in ("Go right away", "towards  it", "at  once", "directly", "plain")], "t string").select("t", X.normalize_for_match("t").alias("v"))
+    assert dict(one.collect()) == {"Go right away": "go", "towards  it": "toward it", "at  once": "", "directly": "", "plain": "plain"}
+
+
+def test_model_output_is_not_searched_by_patterns(spark):
+    """Four texts a job went through a pattern for cleaning and two for matching; what is left is behind a search for letters."""
+    from corpusloom.streaming import translate as M
+
+    todo = spark.createDataFrame([("p", "hi", "Walk \n on", "Walk on."), ("q", "te", None, None)], "prompt_id string, code string, canonical string, natural string")
+    made = M.translate(todo, M.EchoTranslator)
+    got = {r.prompt_id: r for r in made.collect()}
+    assert (got["p"].literal, got["q"].literal, got["p"].translation_notes[2]) == ("[hin] Walk on", None, "Literal back-translation: Walk on")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 4
