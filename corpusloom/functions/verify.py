@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vocab as V
 from corpusloom.functions.rules import present
-from corpusloom.functions.text import match_form, normalize_for_match
+from corpusloom.functions.text import normalize_for_match
 
 
-def normalized(df: DataFrame, *, spaced: bool = False, **texts: Column) -> DataFrame:
-    """Adds each text as it is matched, under its name; a missing one is the empty text. ``spaced`` texts have single spaces already."""
-    form = match_form if spaced else normalize_for_match
-    return df.withColumns({n: form(F.coalesce(c, F.lit(""))) for n, c in texts.items()})
+def normalized(df: DataFrame, **texts: Column) -> DataFrame:
+    """Adds each text as it is matched, under its name; a missing one is the empty text."""
+    return df.withColumns({n: normalize_for_match(F.coalesce(c, F.lit(""))) for n, c in texts.items()})
 
 
 def phrases_in(text: Column, phrases: Sequence[str]) -> Column:
@@ -71,6 +70,16 @@ def verification(canonical: Column, natural: Column, literal_back: Column, natur
     return F.get(F.transform(F.array(forms), lambda two: F.struct(*((two[0][n] & two[1][n]).alias(n) for n in V.CHECKS))), F.lit(0))
 
 
+def checked(source: str, candidate: str, *, source_order: bool = False) -> tuple[bool, bool, bool, bool]:
+    """The four checks of one form, over texts as they are matched, for a task that has them at hand: a look-up in a
+    Python text costs a fraction of one in a column."""
+    a, d, f = ([p for p in phrases if p in source] for phrases in (V.ACTIONS, V.DIRECTIONS, V.SAFETY))
+    every = sorted(a + d, key=lambda p: (source.find(p), p)) if source_order else a + d
+    places = [candidate.find(p) for p in every]
+    order = all(x >= 0 for x in places) and places == sorted(places)
+    return all(p in candidate for p in a), order, all(p in candidate for p in d), all(p in candidate for p in f)
+
+
 def skipped_verification() -> Column:
     """What a run without a verifier records: all four true."""
     return F.struct(*(F.lit(True).alias(n) for n in V.CHECKS))
@@ -92,4 +101,4 @@ def notes(checks: Column, literal_back: Column, natural_back: Column, verified:
     return F.when(verified, long).otherwise(F.array(made, F.lit("Automatic back-translation verification was skipped for this run.")))
 
 
-__all__ = ["keeps_set", "keeps_source_order", "keeps_vocabulary_order", "normalized", "notes", "phrases_in", "skipped_verification", "verification"]
+__all__ = ["checked", "keeps_set", "keeps_source_order", "keeps_vocabulary_order", "normalized", "notes", "phrases_in", "skipped_verification", "verification"]

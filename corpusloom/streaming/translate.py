@@ -101,26 +101,30 @@ def _batch_runner(load: Load, back_load: Load | None, batch_size: int, budget: i
     return run
 
 
-def _cleaned(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """Adds to a runner the cleaning of what the model has made, and single spaces in what it was given, which is only
-    compared from there on: the texts are at hand, and each pattern over them in Catalyst costs more than the rest of a task."""
+#: What a task hands on: translations without special tokens, and the checks of both forms.
+MADE = "prompt_id string, code string, literal string, robot_natural string, literal_back string, natural_back string, verification struct<" + ", ".join(f"{c}: boolean" for c in V.CHECKS) + ">"
 
-    names = [c.split()[0] for c in DONE.split(", ")]
+
+def _cleaned(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], verify: bool, source_order: bool):
+    """Adds to a runner the cleaning of what the model has made and the checks: the texts are at hand, and searching them in
+    Catalyst costs more than the rest of a task."""
 
     def cleaned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(rows):
-            codes = batch.column("code").to_pylist()
-            columns = [batch.column(n) for n in names[:2]]
-            for n in names[2:]:
-                texts = batch.column(n).to_pylist()
-                if n in names[2:4]:
-                    made = [t if t is None else " ".join(t.split()) for t in texts]
-                elif n in ("literal", "robot_natural"):
-                    made = [t if t is None else X.sanitized_text(t, V.LANGUAGES[c][1]) for t, c in zip(texts, codes, strict=True)]
-                else:
-                    made = [t if t is None else X.sanitized_text(t, V.SOURCE_CODE) for t in texts]
-                columns.append(pa.array(made, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            given = batch.to_pydict()
+            codes = given["code"]
+            clean = lambda n, targets: [t if t is None else X.sanitized_text(t, x) for t, x in zip(given[n], targets, strict=True)]
+            targets, sources = [V.LANGUAGES[c][1] for c in codes], [V.SOURCE_CODE] * len(codes)
+            made = {n: clean(n, x) for n, x in (("literal", targets), ("robot_natural", targets), ("literal_back", sources), ("natural_back", sources))}
+            checks: list[tuple | None] = [None] * len(codes)
+            if verify:
+                both = [[X.match_text(t or "") for t in texts] for texts in (given["canonical"], given["natural"], made["literal_back"], made["natural_back"])]
+                checks = [tuple(x and y for x, y in zip(VF.checked(a, c, source_order=source_order), VF.checked(b, d, source_order=source_order), strict=True)) for a, b, c, d in zip(*both, strict=True)]
+            # the model is given the empty text where there is none, which doesn't make a translation of it
+            made["literal"] = [None if s is None else t for s, t in zip(given["canonical"], made["literal"], strict=True)]
+            kind = pa.struct([(c, pa.bool_()) for c in V.CHECKS])
+            said = pa.array([None if x is None else dict(zip(V.CHECKS, x, strict=True)) for x in checks], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("prompt_id"), batch.column("code"), *(pa.array(x, pa.string()) for x in made.values()), said], ["prompt_id", "code", *made, "verification"])
 
     return cleaned
 
@@ -138,7 +142,7 @@ def jobs(records: DataFrame, *, whole_records: bool = False) -> DataFrame:
 
 
 def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify: bool = True, batch_size: int = 32, budget: int = BUDGET, engine: str = "the translation model", source_order: bool = False) -> DataFrame:
-    """Translations of jobs with their verification and notes: one Python stage, the checks in Catalyst.
+    """Translations of jobs with their verification and notes: one Python stage, which has the texts at hand.
 
     Jobs are dealt evenly by their key, then each task takes its own by language and length, so a batch is of one
     language and of like lengths; keys, not places, tell whose a translation is.
@@ -157,14 +161,8 @@ def translate(todo: DataFrame, load: Load, *, back: Load | None = None, verify:
     # a record's languages go together: its texts are said once more side by side, which the shuffle packs
     dealt = todo.select("prompt_id", "code", "canonical", "natural").repartition(parts, "prompt_id")
     dealt = dealt.sortWithinPartitions("code", F.length("canonical"), "prompt_id")
-    raw = dealt.mapInArrow(_cleaned(_batch_runner(load, (back or load) if verify else None, batch_size, budget)), DONE)
-    # the model is given the empty text where there is none, which doesn't make a translation of it
-    raw = raw.withColumn("literal", F.when(F.col("canonical").isNotNull(), F.col("literal")))
-    if verify:
-        raw = VF.normalized(raw, spaced=True, _a=F.col("canonical"), _b=F.col("natural"), _c=F.col("literal_back"), _d=F.col("natural_back"))
-        done = raw.withColumn("verification", VF.verification(*(F.col(c) for c in ("_a", "_b", "_c", "_d")), source_order=source_order))
-    else:
-        done = raw.withColumn("verification", VF.skipped_verification())
+    made = dealt.mapInArrow(_cleaned(_batch_runner(load, (back or load) if verify else None, batch_size, budget), verify, source_order), MADE)
+    done = made if verify else made.withColumn("verification", VF.skipped_verification())
     notes = VF.notes(F.col("verification"), F.coalesce("literal_back", F.lit("")), F.coalesce("natural_back", F.lit("")), F.lit(verify), engine)
     return done.withColumn("translation_notes", notes).select("prompt_id", "code", "literal", "robot_natural", "verification", "translation_notes")
 

@@ -136,11 +136,20 @@ def test_plain_letters_tell_which_texts_are_searched(spark):
 
 
 def test_model_output_is_not_searched_by_patterns(spark):
-    """Four texts a job went through a pattern for cleaning and two for matching; what is left is behind a search for letters."""
+    """Four texts a job went through a pattern for cleaning and two for matching."""
     from corpusloom.streaming import translate as M
 
     todo = spark.createDataFrame([("p", "hi", "Walk \n on", "Walk on."), ("q", "te", None, None)], "prompt_id string, code string, canonical string, natural string")
     made = M.translate(todo, M.EchoTranslator)
     got = {r.prompt_id: r for r in made.collect()}
     assert (got["p"].literal, got["q"].literal, got["p"].translation_notes[2]) == ("[hin] Walk on", None, "Literal back-translation: Walk on")
-    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 4
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 0
+
+
+def test_checks_in_a_task_are_the_columns(spark):
+    texts = ["Walk forward, then turn left at once and stop.", "Turn İeft; go straight away towards the ßafe door", "STOP if uncertain. \u212aneel.", "", "slow  down \t behind", "left wait walk", "turn left walk forward"]
+    pairs = [(a, b) for a in texts for b in texts]
+    df = VF.normalized(spark.createDataFrame(pairs, "a string, b string"), x=F.col("a"), y=F.col("b"))
+    for source_order in (False, True):
+        want = [tuple(r.v) for r in df.select(VF.verification(F.col("x"), F.col("x"), F.col("y"), F.col("y"), source_order=source_order).alias("v")).collect()]
+        assert want == [VF.checked(X.match_text(a), X.match_text(b), source_order=source_order) for a, b in pairs]
